@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 SLICE_BYTES = 2 << 20
 _CHUNK = 1 << 18
