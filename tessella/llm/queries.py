@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing, ngram_join, quality, secrets, tokens, urlfilter
+from tessella.llm import lm, mixing, ngram_join, quality, secrets, tokens, urlfilter
 from tessella.llm._util import table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -39,6 +39,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes_of(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH parts AS (
   SELECT page_id,
