@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontam, lm, mixing, ngram_join, quality, secrets, tokens, urlfilter
+from tessella.llm import decontam, lm, mixing, ngram_join, quality, secrets, substring, tokens, urlfilter, warc
 from tessella.llm._util import table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -25,6 +25,16 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.records_of_pages(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return found.select(F.col("id").alias("page_id"), "url_key", F.col("response_id"), "verdict", headers.alias("headers"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.find_repeats(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_words", F.col("first_key").alias("first_doc_id"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -60,6 +70,21 @@ SELECT page_id, host, path,
 FROM parts
 """
 
+OP4_SQL = r"""
+WITH keyed AS (
+  SELECT page_id, md5(html) AS tag, regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', ''), '', '') AS rest FROM pages),
+named AS (
+  SELECT page_id, tag, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '') || regexp_extract(rest, '^[^/?]*(.*)$', 1), '/$', '') AS url_key FROM keyed),
+asof_ AS (
+  SELECT v.page_id, v.url_key, v.tag, r.page_id AS response_id, r.tag AS response_tag
+  FROM named v LEFT JOIN LATERAL (SELECT page_id, tag FROM named r WHERE r.url_key = v.url_key AND r.page_id * 10 < v.page_id * 10 + 4005 ORDER BY r.page_id DESC LIMIT 1) r ON true)
+SELECT page_id, url_key, response_id,
+  CASE WHEN response_id IS NULL THEN 'no_response' WHEN tag = response_tag THEN 'resolved' ELSE 'mismatch' END AS verdict,
+  CASE WHEN response_id IS NOT NULL AND tag = response_tag THEN 'content-type=text/html;date=' || (page_id + 400) || ';etag=W/' || tag || ';server=origin'
+       ELSE 'date=' || (page_id + 400) || ';etag=W/' || tag || ';server=edge' END AS headers
+FROM asof_
+"""
+
 OP6_SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, text,
@@ -88,4 +113,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op6_source_mixing": OP6_SQL}
+    return {"op1_url_filter": OP1_SQL, "op4_warc_revisits": OP4_SQL, "op6_source_mixing": OP6_SQL}
