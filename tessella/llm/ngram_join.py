@@ -271,3 +271,21 @@ def classes_of(df: DataFrame, n: int, num: int, den: int, key: str = "doc_id", t
     named = named.join(whole, "root", "left").select("s", F.coalesce("of_all", "least").alias("component"))
     out = sets.where("n > 0").join(named, "s", "left").unionByName(sets.where("n = 0").withColumn("component", F.col("k")))
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def keep_first(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose key is the least of its class; of rows with equal keys and sets one.
+
+    Documents without words and rows without a key belong to no class and stay.
+    """
+    keyed = df.where(F.col(key).isNotNull())
+    if keyed.groupBy(key).count().where("count > 1").limit(1).count():  # rows need ids that hold
+        rows = staged(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        rows = rows.withColumn("__key", F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("k"), F.col("__row").alias("r"))))
+    else:
+        rows = df.withColumn("__key", F.col(key))
+    found = staged(classes_of(rows, n, num, den, "__key", text), "classes")
+    gone = found.where("n_shingles > 0 AND __key IS NOT NULL AND component_id <> __key").select("__key")
+    if gone.count() <= BROADCAST_DOCS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, "__key", "left_anti").select(*df.columns)
