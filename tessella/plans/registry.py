@@ -1,15 +1,48 @@
-"""All registered queries of the engine with their SQL."""
+"""All registered queries of the engine with their SQL.
+
+A module of this package registers its queries with ``query``; SQL is given where SQL can express one.
+"""
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a function of (spark, sf_dir)."""
+
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        if key in _QUERIES:
+            raise ValueError(f"{key} is registered twice")
+        _QUERIES[key] = f
+        if sql:
+            _SQL[key] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    package = importlib.import_module("tessella.plans")
+    for m in pkgutil.iter_modules(package.__path__):
+        if m.name.startswith("q_"):
+            importlib.import_module(f"tessella.plans.{m.name}")
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
