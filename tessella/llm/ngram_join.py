@@ -175,6 +175,25 @@ def forest(sets: list[np.ndarray], sides: list[int], num: int, den: int) -> Iter
                 yield i, j
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by digest and set: (set, first set of its digest), each once a batch."""
+    held: tuple[int, int] | None = None
+    for batch in batches:
+        d, s = (batch.column(c).to_numpy() for c in ("d", "s"))
+        if not len(d):
+            continue
+        new = np.ones(len(d), bool)
+        new[1:] = d[1:] != d[:-1]
+        start = np.flatnonzero(new)
+        first = np.repeat(s[start], np.diff(np.append(start, len(d))))
+        if held and held[0] == d[0]:
+            first[: start[1] if len(start) > 1 else len(d)] = held[1]
+        held = (int(d[-1]), int(first[-1]))
+        at = s != first
+        pairs = np.unique(np.stack([s[at], first[at]], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["s", "first"])
+
+
 def _frequent(docs: DataFrame, n: int) -> np.ndarray:
     """N-grams of more than a few documents of a bounded sample."""
     sample = docs.where("t IS NOT NULL").select("k", "t", F.xxhash64("k").alias("h")).orderBy("h").limit(SAMPLE).select("t")
@@ -220,9 +239,9 @@ def classes_of(df: DataFrame, n: int, num: int, den: int, key: str = "doc_id", t
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).view(np.int64)), pa.array(np.concatenate(keys))], ["d", "s"])
 
     sets = staged(docs.mapInArrow(light, f"k {kind}, n long, s long"), "sets")
-    rows = docs.select("t").mapInArrow(digests, "d long, s long").repartition("d")
-    meet = rows.groupBy("d").agg(F.min("s").alias("first"), F.max("s").alias("last")).where("first < last").drop("last")
-    clusters = components(rows.join(meet, "d").where("s <> first").select("s", "first").distinct())
+    # equal digests lie next to each other in a partition, so one shuffle of the rows is enough
+    rows = docs.select("t").mapInArrow(digests, "d long, s long").repartition("d").sortWithinPartitions("d", "s")
+    clusters = components(rows.mapInArrow(_stars, "s long, first long").distinct())
     # one document of each set to verify, with its cluster and the chunks of that
     first = sets.where("n > 0 AND k IS NOT NULL").groupBy("s").agg(F.min("k").alias("k"), F.min("n").alias("n"))
     chosen = staged(clusters.withColumnRenamed("u", "s").join(first, "s"), "chosen")
