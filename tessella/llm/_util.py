@@ -47,3 +47,9 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sampled(df: DataFrame, rows: int, seed: int = 5) -> DataFrame:
+    """About ``rows`` rows of ``df``, each drawn by itself, so that no task gathers them."""
+    total = df.count()
+    return df if total <= rows else df.sample(rows / total, seed)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import _text
 from tessella.llm._graph import components
-from tessella.llm._util import staged
+from tessella.llm._util import sampled, staged
 
 #: Size classes grow by this ratio.
 RATIO = 1.3
@@ -196,7 +196,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frequent(docs: DataFrame, n: int) -> np.ndarray:
     """N-grams of more than a few documents of a bounded sample."""
-    sample = docs.where("t IS NOT NULL").select("k", "t", F.xxhash64("k").alias("h")).orderBy("h").limit(SAMPLE).select("t")
+    sample = sampled(docs.select("t"), SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +205,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
                 if sets:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["g"])
 
-    counts = sample.repartition(8).mapInArrow(run, "g long").groupBy("g").count().where("count >= 4")
+    counts = sample.mapInArrow(run, "g long").groupBy("g").count().where("count >= 4")
     rows = counts.orderBy(F.desc("count"), "g").limit(FREQUENT).select("g").toArrow()
     return np.sort(rows.column("g").to_numpy().view(np.uint64)) if rows.num_rows else np.zeros(0, np.uint64)
 
