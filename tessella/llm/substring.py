@@ -4,7 +4,8 @@ A unit is a line, or in a line of more than ``LONG`` words a stretch between wor
 such borders move with the text, so a passage that repeats inside other lines still shares its inner
 units.  Units are normalised (A-Z lowered, white space ignored) and digested.  Digests are grouped over
 all documents; the occurrence with the lowest rank is kept, and every run of consecutive later
-occurrences of at least ``LEAST`` words is a repeat, given by its offsets in the original text.
+occurrences is a repeat, given by its offsets in the original text, if it has ``LEAST`` words from long
+lines or twice as many in all, so that a few short lines that many texts share don't make one.
 
 The rank is the key, then the place in the text; null keys come first.  Among rows of equal keys the
 order is that of the rows read.  A null or empty text has no units.  Digests have 64 bits; a repeat has
@@ -26,13 +27,13 @@ from tessella.llm._util import staged
 LONG, EVERY, LEAST = 16, 6, 20
 
 
-def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(digest, start, end, words, document) of every unit; starts and ends are code points."""
+def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, start, end, words, document, is of a long line) of every unit; starts and ends are code points."""
     data, hashes, starts, ends, bounds = _text.words(column)
     n = len(hashes)
     if not n:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none, none
+        return none.astype(np.uint64), none, none, none, none, none.astype(bool)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     line = np.cumsum(data == 10)[starts]
     border = np.ones(n, bool)
@@ -49,7 +50,7 @@ def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     _, offsets = _text.flat(column)
     base = offsets[doc[first]]
     points = lambda at: at - base - (later[at] - later[base])
-    return digest, points(starts[first]), points(ends[first + sizes - 1]), sizes, doc[first]
+    return digest, points(starts[first]), points(ends[first + sizes - 1]), sizes, doc[first], long[first]
 
 
 def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
@@ -59,10 +60,10 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _text.slices(batch, "t"):
-                digest, start, end, size, doc = units(part.column("t"))
+                digest, start, end, size, doc, long = units(part.column("t"))
                 if len(digest):
                     number = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                    arrays = [pa.array(x.astype(np.int32)) for x in (number, start, end, size)]
+                    arrays = [pa.array(x.astype(np.int32)) for x in (number, start, end, 2 * size + long)]
                     yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(doc)), part.column("row").take(pa.array(doc)), pa.array(digest.view(np.int64)), *arrays], ["k", "row", "d", "i", "s", "e", "w"])
 
     docs = df.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("row") if "_row" not in df.columns else F.col("_row").alias("row"), F.col(text).alias("t"))
@@ -70,8 +71,8 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     firsts = found.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "row", "i")).alias("f")).where("n > 1")
     again = found.join(firsts.select("d", "f"), "d").where("NOT (row = f.row AND i = f.i)")
     island = F.col("i") - F.row_number().over(Window.partitionBy("row").orderBy("i"))
-    runs = again.withColumn("island", island).groupBy("row", "island").agg(F.first("k").alias("k"), F.min("s").alias("start"), F.max("e").alias("end"), F.sum("w").alias("n_words"), F.min("f.k").alias("first_key"))
-    return runs.where(F.col("n_words") >= least).select(F.col("k").alias(key), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_words", "first_key", "row")
+    runs = again.withColumn("island", island).groupBy("row", "island").agg(F.first("k").alias("k"), F.min("s").alias("start"), F.max("e").alias("end"), F.sum(F.expr("w div 2")).alias("n_words"), F.sum(F.expr("(w div 2) * (w % 2)")).alias("n_long"), F.min("f.k").alias("first_key"))
+    return runs.where((F.col("n_long") >= least) | (F.col("n_words") >= 2 * least)).select(F.col("k").alias(key), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_words", "first_key", "row")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
