@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` by a reliable checkpoint, which cuts lineage and outlives executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local session without one gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        folder = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
 
-    The folder is that of ``spark.checkpoint.dir``; only a local session without one gets its own.
-    """
+def stage(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` by a reliable checkpoint, which cuts lineage and outlives executors."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessella-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
