@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +13,10 @@ from tessella.operators.retrieval import top
 
 
 def signatures(vector: Column, dim: int, tables: int, bits: int, seed: int = 3) -> Column:
-    """Array of one bucket number a table; the planes are literals of the expression."""
+    """Array of one bucket number a table; the planes are one constant of the expression."""
     planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
-    bit = lambda p: (dot(vector, F.array(*map(F.lit, p.tolist()))) > 0).cast("long")
-    return F.array(*(sum((bit(p) * (1 << j) for j, p in enumerate(t)), F.lit(0)) for t in planes))
+    constant = F.from_json(F.lit(json.dumps(planes.round(6).tolist())), "array<array<array<double>>>")
+    return F.transform(constant, lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda s, p: s * 2 + (dot(vector, p) > 0).cast("long")))
 
 
 def ann(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query: str, dim: int, k: int = 10, tables: int = 16, bits: int = 4) -> DataFrame:
