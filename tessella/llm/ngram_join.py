@@ -10,7 +10,8 @@ counts is a row; points that share a digest meet.  This loses no link: ``m = D +
 ``z + 1`` equal ones, so a point with at most ``z`` blocks without rare n-grams need not show those, and
 frequent n-grams, found in a bounded sample, can be left out of digests altogether.
 
-Verification.  Points that meet, directly or over others, are a cluster.  A cluster is dealt into chunks
+Verification.  Pairs of points that meet are left if their bound falls short (of a digest that many
+points share, one pair each stays unseen).  What still meets, directly or over others, is a cluster.  A cluster is dealt into chunks
 of bounded size, and every pair of chunks is a task with a packed R-tree over the points: a node stores
 the largest counts below it, subtrees and points whose summed minima fall short are left, and the rest
 is verified on the sets themselves.  Only a spanning forest of the links leaves a task, so the rows that
@@ -26,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
@@ -45,6 +47,8 @@ FREQUENT = 50_000
 #: Groups of the R-tree's points, its leaf size, and the n-grams and documents of one chunk.
 GROUPS, LEAF = 64, 24
 CHUNK_NGRAMS, CHUNK_DOCS = 1_500_000, 3000
+#: Sets of one digest up to which all their pairs are compared by point before clusters are formed.
+FEW = 6
 #: Documents up to which the list of those to verify is broadcast (16 bytes each).
 BROADCAST_DOCS = 1_000_000
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -175,23 +179,66 @@ def forest(sets: list[np.ndarray], sides: list[int], num: int, den: int) -> Iter
                 yield i, j
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by digest and set: (set, first set of its digest), each once a batch."""
-    held: tuple[int, int] | None = None
+def point_of(s: np.ndarray) -> bytes | None:
+    """Group counts as 16-bit numbers, in more groups for larger sets; None if a count is too large."""
+    groups = 1 << min(13, max(5, int(len(s) / 8).bit_length()))
+    counts = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return None if counts.max(initial=0) > 65535 else counts.astype(np.uint16).tobytes()
+
+
+def may_link(a: bytes | None, b: bytes | None, num: int, den: int) -> bool:
+    """Can sets with these points be linked?  The overlap is at most the sum of the smaller counts."""
+    if a is None or b is None:
+        return True
+    p, q = sorted((np.frombuffer(x, np.uint16).astype(np.int64) for x in (a, b)), key=len)
+    q = q.reshape(-1, len(p)).sum(0)  # the same hash in fewer groups
+    return int(np.minimum(p, q).sum()) * (num + den) >= num * int(p.sum() + q.sum())
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (x, y, sure) of rows sorted by digest and set, each once a batch.
+
+    Of a digest with up to ``FEW`` sets all pairs, of one with more each set with the first; these are
+    sure to be kept, as a pair that is left out could be a link.
+    """
+
+    def out(pairs: list[np.ndarray], stars: list[np.ndarray]) -> pa.RecordBatch:
+        empty = np.zeros((0, 2), np.int64)
+        p, q = (np.unique(np.concatenate([empty, *x]), axis=0) for x in (pairs, stars))
+        both = np.concatenate([p, q])
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) >= len(p))], ["x", "y", "sure"])
+
+    def pairs_of(s: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        found = []
+        for k in range(2, FEW + 1):
+            rows = s[start[size == k][:, None] + np.arange(k)]
+            found += [rows[:, [i, j]] for i in range(k) for j in range(i + 1, k)]
+        return found
+
+    left_d = left_s = np.zeros(0, np.int64)
+    star: tuple[int, int] | None = None  # digest and first set of the last large group
     for batch in batches:
-        d, s = (batch.column(c).to_numpy() for c in ("d", "s"))
+        d, s = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((left_d, "d"), (left_s, "s")))
         if not len(d):
             continue
-        new = np.ones(len(d), bool)
-        new[1:] = d[1:] != d[:-1]
-        start = np.flatnonzero(new)
-        first = np.repeat(s[start], np.diff(np.append(start, len(d))))
-        if held and held[0] == d[0]:
-            first[: start[1] if len(start) > 1 else len(d)] = held[1]
-        held = (int(d[-1]), int(first[-1]))
-        at = s != first
-        pairs = np.unique(np.stack([s[at], first[at]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["s", "first"])
+        again = np.zeros(len(d), bool)
+        again[1:] = (d[1:] == d[:-1]) & (s[1:] == s[:-1])
+        d, s = d[~again], s[~again]
+        start = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+        size = np.diff(np.append(start, len(d)))
+        large = size > FEW
+        first = s[start]
+        if star and d[0] == star[0]:
+            large[0], first[0] = True, star[1]
+        keep = len(d) if large[-1] else start[-1]
+        star = (int(d[-1]), int(first[-1])) if large[-1] else None
+        left_d, left_s = d[keep:], s[keep:]
+        whole = np.repeat(large, size)
+        stars = np.stack([s[whole], np.repeat(first, size)[whole]], 1)
+        ends = slice(None) if large[-1] else slice(-1)
+        yield out(pairs_of(s, start[ends][~large[ends]], size[ends][~large[ends]]), [stars[stars[:, 0] != stars[:, 1]]])
+    if len(left_d):
+        yield out(pairs_of(left_s, np.array([0]), np.array([len(left_s)])), [])
 
 
 def _frequent(docs: DataFrame, n: int) -> np.ndarray:
@@ -219,8 +266,8 @@ def classes_of(df: DataFrame, n: int, num: int, den: int, key: str = "doc_id", t
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _text.slices(batch, "t"):
-                found = [(len(s), set_key(s)) for s in ngram_sets(part.column("t"), n)]
-                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["k", "n", "s"])
+                found = [(len(s), set_key(s), point_of(s)) for s in ngram_sets(part.column("t"), n)]
+                yield pa.RecordBatch.from_arrays([part.column("k"), *(pa.array([x[i] for x in found], kind_) for i, kind_ in enumerate((pa.int64(), pa.int64(), pa.binary())))], ["k", "n", "s", "p"])
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies met by this task give their rows once
@@ -238,10 +285,18 @@ def classes_of(df: DataFrame, n: int, num: int, den: int, key: str = "doc_id", t
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).view(np.int64)), pa.array(np.concatenate(keys))], ["d", "s"])
 
-    sets = staged(docs.mapInArrow(light, f"k {kind}, n long, s long"), "sets")
+    sets = staged(docs.mapInArrow(light, f"k {kind}, n long, s long, p binary"), "sets")
     # equal digests lie next to each other in a partition, so one shuffle of the rows is enough
     rows = docs.select("t").mapInArrow(digests, "d long, s long").repartition("d").sortWithinPartitions("d", "s")
-    clusters = components(rows.mapInArrow(_stars, "s long, first long").distinct())
+    met = staged(rows.mapInArrow(_meetings, "x long, y long, sure boolean").groupBy("x", "y").agg(F.max("sure").alias("sure")), "met")
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([may_link(x, y, num, den) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    points = sets.where("n > 0").groupBy("s").agg(F.first("p").alias("p"))
+    pairs = met.where("NOT sure").join(points.select(F.col("s").alias("x"), F.col("p").alias("px")), "x").join(points.select(F.col("s").alias("y"), F.col("p").alias("py")), "y")
+    clusters = components(met.where("sure").select("x", "y").unionByName(pairs.where(near("px", "py")).select("x", "y")))
     # one document of each set to verify, with its cluster and the chunks of that
     first = sets.where("n > 0 AND k IS NOT NULL").groupBy("s").agg(F.min("k").alias("k"), F.min("n").alias("n"))
     chosen = staged(clusters.withColumnRenamed("u", "s").join(first, "s"), "chosen")
@@ -288,6 +343,7 @@ def classes_of(df: DataFrame, n: int, num: int, den: int, key: str = "doc_id", t
     named = least.join(linked, "s", "left").withColumn("root", F.coalesce("root", "s"))
     whole = named.join(linked.select("s"), "s").groupBy("root").agg(F.min("least").alias("of_all"))
     named = named.join(whole, "root", "left").select("s", F.coalesce("of_all", "least").alias("component"))
+    sets = sets.drop("p")
     out = sets.where("n > 0").join(named, "s", "left").unionByName(sets.where("n = 0").withColumn("component", F.col("k")))
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
