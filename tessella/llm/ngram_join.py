@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import _text
 from tessella.llm._graph import components
-from tessella.llm._util import sampled, staged
+from tessella.llm._util import fresh, sampled, staged
 
 #: Size classes grow by this ratio.
 RATIO = 1.3
@@ -353,14 +353,16 @@ def keep_first(df: DataFrame, n: int = 5, num: int = 4, den: int = 5, key: str =
 
     Documents without words and rows without a key belong to no class and stay.
     """
+    name = fresh(df, "__key")
     keyed = df.where(F.col(key).isNotNull())
     if keyed.groupBy(key).count().where("count > 1").limit(1).count():  # rows need ids that hold
-        rows = staged(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
-        rows = rows.withColumn("__key", F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("k"), F.col("__row").alias("r"))))
+        row = fresh(df, "__row")
+        rows = staged(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+        rows = rows.withColumn(name, F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("k"), F.col(row).alias("r"))))
     else:
-        rows = df.withColumn("__key", F.col(key))
-    found = staged(classes_of(rows, n, num, den, "__key", text), "classes")
-    gone = found.where("n_shingles > 0 AND __key IS NOT NULL AND component_id <> __key").select("__key")
+        rows = df.withColumn(name, F.col(key))
+    found = staged(classes_of(rows, n, num, den, name, text), "classes")
+    gone = found.where((F.col("n_shingles") > 0) & F.col(name).isNotNull() & (F.col("component_id") != F.col(name))).select(name)
     if gone.count() <= BROADCAST_DOCS:
         gone = F.broadcast(gone)
-    return rows.join(gone, "__key", "left_anti").select(*df.columns)
+    return rows.join(gone, name, "left_anti").select(*df.columns)

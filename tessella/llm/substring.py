@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import _text
-from tessella.llm._util import staged
+from tessella.llm._util import fresh, staged
 
 LONG, EVERY, LEAST = 16, 6, 20
 
@@ -53,8 +53,11 @@ def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return digest, points(starts[first]), points(ends[first + sizes - 1]), sizes, doc[first], long[first]
 
 
-def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """key, start, end, n_words, first_key, row for every repeat; ``first_key`` has the earliest occurrence of its units."""
+def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, row: str | None = None) -> DataFrame:
+    """key, start, end, n_words, first_key, row for every repeat; ``first_key`` has the earliest occurrence of its units.
+
+    ``row`` names a column with a number for each row; without it rows are numbered here.
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +69,7 @@ def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least:
                     arrays = [pa.array(x.astype(np.int32)) for x in (number, start, end, 2 * size + long)]
                     yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(doc)), part.column("row").take(pa.array(doc)), pa.array(digest.view(np.int64)), *arrays], ["k", "row", "d", "i", "s", "e", "w"])
 
-    docs = df.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("row") if "_row" not in df.columns else F.col("_row").alias("row"), F.col(text).alias("t"))
+    docs = df.select(F.col(key).alias("k"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(text).alias("t"))
     found = staged(docs.mapInArrow(run, f"k {kind}, row long, d long, i int, s int, e int, w int"), "units")
     firsts = found.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "row", "i")).alias("f")).where("n > 1")
     again = found.join(firsts.select("d", "f"), "d").where("NOT (row = f.row AND i = f.i)")
@@ -85,10 +88,15 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """``df`` with the repeats cut out of ``text``, and ``removed``: their offsets in the original text."""
-    kept = staged(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    spans = find_repeats(kept, key, text, least).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    joined = kept.join(spans.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
+    """``df`` with the repeats cut out of ``text``, and ``removed``: their offsets in the original text.
+
+    Other columns stay as they are, whatever their names, but for one named ``removed``, which is replaced.
+    """
+    df = df.drop("removed")
+    row = fresh(df, "_row")
+    kept = staged(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    spans = find_repeats(kept, key, text, least, row).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    joined = kept.join(spans.select(F.col("row").alias(row), "removed"), row, "left").drop(row)
     pieces = F.expr(f"""aggregate(removed, struct(cast('' AS string) AS s, 0L AS at),
         (x, r) -> struct(concat(x.s, substring(`{text}`, cast(x.at AS int) + 1, cast(r.start - x.at AS int))) AS s, r.end AS at),
         x -> concat(x.s, substring(`{text}`, cast(x.at AS int) + 1)))""")

@@ -22,7 +22,7 @@ ROWS = [
     (1, BODY, "a"), (1, BODY, "a"), (2, NEAR, "a"), (3, None, None), (4, "", "b"), (5, " \t\n ", "b"), (6, "one two", "b"), (7, "One two", "b"),
     (None, "a key of none\x00 é 😀 token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"", None), (8, "ab " * 60_000, "c"), (9, "x" * 200_000, "c"), (10, BODY, "c"),
 ]
-CLASH = ["k", "t", "n", "s", "kept", "n_words", "size", "target", "component", "row", "d", "__key", "__row", "bucket"]
+CLASH = ["k", "t", "n", "s", "kept", "n_words", "size", "target", "component", "row", "d", "__key", "__row", "_row", "bucket"]
 
 
 @pytest.fixture(scope="module")
@@ -203,6 +203,9 @@ def test_repeats_equal_plain_search(spark, docs, none):
     assert rows(substring.find_repeats(none)) == []
     hard = rows(substring.find_repeats(docs))
     assert {r["doc_id"] for r in hard if r["first_key"] == 1} >= {1, 2, 10}
+    whole = rows(substring.remove_repeats(docs))
+    assert len(whole) == len(ROWS) and all(r[c] == 1 for r in whole for c in CLASH)
+    assert sorted(len(r["removed"] or []) > 0 for r in whole if r["doc_id"] == 1) == [False, True]
 
 
 # 6
@@ -339,6 +342,7 @@ def test_ngram_join(spark, sf_docs, docs, none, n, num, den):
     assert rows(ngram_join.classes_of(none, n, num, den)) == []
     kept = rows(ngram_join.keep_first(docs, n, num, den))
     assert sorted(str(r["doc_id"]) for r in kept if r["doc_id"] not in (2,)) == sorted(["1", "3", "4", "5", "6", "8", "9", "None"])
+    assert all(r[c] == 1 for r in kept for c in CLASH)
 
 
 def test_ngram_join_in_chunks(spark, monkeypatch):
