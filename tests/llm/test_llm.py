@@ -265,6 +265,21 @@ def test_leaks_equal_plain_search(spark):
     assert len(want & got) >= 0.95 * len(want) and len(got) <= 1.2 * len(want)
 
 
+def test_leaks_in_many_documents(spark):
+    """An item that a third of the documents hold, and one of words that every document has, are found in each."""
+    rng = np.random.default_rng(8)
+    lexicon = [f"w{i}" for i in range(3000)]
+    common = [f"c{i}" for i in range(40)]
+    text = lambda n: " ".join(common[i] if u < 0.5 else lexicon[j] for u, i, j in zip(rng.random(n), rng.integers(0, 40, n), rng.integers(0, 3000, n), strict=True))
+    hot, plain = " ".join(f"hot{i}" for i in range(36)), " ".join(rng.permutation(common)[:30])
+    items = [(0, hot), (1, plain), *((i, text(40)) for i in range(2, 60))]
+    put = lambda i: hot if i % 3 == 0 else plain if i % 30 == 1 else items[2 + i % 58][1] if i % 3 == 1 else ""
+    d = spark.createDataFrame([(i, f"{text(150)} {put(i)} {text(130)}") for i in range(300)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in rows(decontam.find_leaks(d, spark.createDataFrame(items, "item_id long, text string")))}
+    want = {(i, 0) for i in range(0, 300, 3)} | {(i, 1) for i in range(1, 300, 30)} | {(i, 2 + i % 58) for i in range(1, 300, 3) if i % 30 != 1}
+    assert want <= got and len(got) <= 1.1 * len(want)
+
+
 def test_common_length():
     rng = np.random.default_rng(3)
     for _ in range(50):
