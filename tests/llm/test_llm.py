@@ -280,6 +280,45 @@ def test_leaks_in_many_documents(spark):
     assert want <= got and len(got) <= 1.1 * len(want)
 
 
+def plain_leaks(docs, benchmark, texts, items):
+    """Pairs that pass the checks of the common subsequence and the answer anywhere in the text, without candidates."""
+    b = decontam.prepare(docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t")), benchmark)[0]
+    found = set()
+    for k, t in texts:
+        h = decontam.words(pa.array([t]))[0]
+        for (i, _), w, answer in zip(items, b.words, b.answers, strict=True):
+            if k % 1000 == i and decontam.common_length(w, h) >= decontam.COMMON * len(w) and np.isin(answer, h).mean() >= decontam.ANSWER:
+                found.add((k, i))
+    return found
+
+
+def test_long_items(spark):
+    """Copies and paraphrases (every third word changed, so that no run of three stays) of items of 100 to 500 words."""
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(f"w{int(3000 * u * u)}" for u in rng.random(n))
+    items = [(i, text(n)) for i, n in enumerate((30, 59, 100, 100, 150, 200, 300, 400, 500, 500))]
+    para = lambda t: " ".join("other" if k % 3 == 2 else w for k, w in enumerate(t.split()))
+    parts = [(i, t) for i, t in items] + [(1000 + i, para(t)) for i, t in items] + [(200 + i, "") for i in range(80)]
+    texts = [(k, f"{text(137)} {t} {text(150)}") for k, t in parts]
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = plain_leaks(d, b, texts, items)
+    assert {(i, i) for i in range(10)} <= want and len(want) > 15
+    assert {(r["doc_id"], r["item_id"]) for r in rows(decontam.find_leaks(d, b))} == want
+
+
+def test_paraphrases_equal_brute_force(spark):
+    """Planted paraphrases of a benchmark larger than the rank, against the checks without candidates."""
+    rng = np.random.default_rng(10)
+    text = lambda n: " ".join(f"w{int(4000 * u * u)}" for u in rng.random(n))
+    items = [(i, text(int(rng.integers(20, 60)))) for i in range(300)]
+    para = lambda t: " ".join("other" if u < 0.15 else w for w, u in zip(t.split(), rng.random(len(t.split())), strict=True) if u < 0.85)
+    texts = [(i, f"{text(int(rng.integers(20, 200)))} {para(t)} {text(100)}") for i, t in items]
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = plain_leaks(d, b, texts, items)
+    got = {(r["doc_id"], r["item_id"]) for r in rows(decontam.find_leaks(d, b))}
+    assert len(want) > 200 and len(want & got) >= 0.9 * len(want)
+
+
 def test_common_length():
     rng = np.random.default_rng(3)
     for _ in range(50):
