@@ -15,7 +15,7 @@ from tessella.operators import windows as O
 from tessella.operators.ann import ann
 from tessella.operators.chunking import pieces
 from tessella.operators.embedding import vector_of
-from tessella.plans import q_graph
+from tessella.plans import q_graph, q_retrieval
 from tessella.plans.q_scalars import mood_of
 from tessella.sources import readers, sinks
 
@@ -121,6 +121,17 @@ def test_ann_recall(spark, sf):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_registered_index_recall(spark, size):
+    sf = f"/root/testdata/{size}"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    exact = {(r.query, r.vec_id) for r in R.nearest(e, q, "vec_id", "embedding", "query", 10).collect()}
+    found = {(r.query, r.vec_id) for r in q_retrieval.ret_hnsw(spark, sf).collect()}
+    print("recall", size, len(exact & found) / len(exact))
+    assert len(exact & found) / len(exact) >= 0.9
+
+
 def test_chunks_cover_the_text():
     text = ". ".join("word" + str(i) for i in range(400))
     assert all(p in text for p in pieces(text)) and "".join(pieces("")) == ""
