@@ -1,8 +1,9 @@
 """Substring dedup by hashing lines and parts of long lines.
 
-A unit is a line, or in a line of more than ``LONG`` words a stretch between words whose hash says so;
-such borders move with the text, so a passage that repeats inside other lines still shares its inner
-units.  Units are normalised (A-Z lowered, white space ignored) and digested.  Digests are grouped over
+A unit is a line, or in a line of more than ``LONG`` words a stretch between words that have the least
+hash of some ``WINDOW`` words in a row.  Such borders move with the text, and windows within a passage choose
+the same in every line that holds it, so of L words at least L - 4 WINDOW + 3 are in shared whole units: a
+passage of over 50 words inside long lines always has ``LEAST``.  Units are normalised (A-Z lowered, white space ignored) and digested.  Digests are grouped over
 all documents; the occurrence with the lowest rank is kept, and every run of consecutive later
 occurrences is a repeat, given by its offsets in the original text, if it has ``LEAST`` words from long
 lines or twice as many in all, so that a few short lines that many texts share don't make one.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from tessella.llm import _text
 from tessella.llm._util import fresh, staged
 
-LONG, EVERY, LEAST = 16, 6, 20
+LONG, WINDOW, LEAST = 16, 8, 20
 
 
 def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,7 +41,12 @@ def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     border[1:] = (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
     of_line = np.cumsum(border) - 1
     long = np.bincount(of_line)[of_line] > LONG
-    border[1:] |= long[1:] & (hashes[:-1] % np.uint64(EVERY) == 0)
+    if n >= WINDOW:
+        inside = np.flatnonzero(long[: n - WINDOW + 1] & (of_line[: n - WINDOW + 1] == of_line[WINDOW - 1 :]))
+        least = np.lib.stride_tricks.sliding_window_view(_text.mix(hashes), WINDOW)
+        for i in range(0, len(inside), 100_000):
+            some = inside[i : i + 100_000]
+            border[some + least[some].argmin(1)] = True
     first = np.flatnonzero(border)
     sizes = np.diff(np.append(first, n))
     place = (np.arange(n) - np.repeat(first, sizes)).astype(np.uint64)

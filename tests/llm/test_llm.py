@@ -243,6 +243,16 @@ def test_targets_equal_resharing(spark):
     assert got == pytest.approx(goal)
 
 
+def test_shared_passages_of_51_words(spark):
+    """A passage of 51 words inside long lines is found whatever its words are."""
+    rng = np.random.default_rng(12)
+    text = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 10**9, n))
+    shared = [text(51) for _ in range(1000)]
+    texts = [(2 * i + j, f"{text(30)} {s} {text(30)}") for i, s in enumerate(shared) for j in (0, 1)]
+    got = {r["doc_id"] for r in rows(substring.find_repeats(spark.createDataFrame(texts, "doc_id long, text string")))}
+    assert got == {2 * i + 1 for i in range(1000)}
+
+
 # 7
 
 
