@@ -20,13 +20,20 @@ QUERY_BLOCK = 10_000
 def nearest(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query: str, k: int, score: Column | None = None) -> DataFrame:
     """The ``k`` nearest rows of each query by cosine (or ``score`` of it), with ``score`` and ``rank``.
 
-    ``queries`` has columns ``query`` and ``q``.  A set larger than ``QUERY_BLOCK`` is refused: it is to
-    be given in blocks.
+    ``queries`` has columns ``query`` and ``q``.  A set larger than ``QUERY_BLOCK`` is taken in blocks
+    by the hash of the query, of half that size on average.
     """
-    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries; give them in blocks")
-    scored = corpus.crossJoin(F.broadcast(queries)).withColumn("score", cosine(F.col(vector), F.col("q")) if score is None else score)
-    return top(scored, [query], key, k)
+    n = queries.count()
+    blocks = 1 if n <= QUERY_BLOCK else -(-2 * n // QUERY_BLOCK)
+
+    def best(some: DataFrame) -> DataFrame:
+        scored = corpus.crossJoin(F.broadcast(some)).withColumn("score", cosine(F.col(vector), F.col("q")) if score is None else score)
+        return top(scored, [query], key, k)
+
+    if blocks == 1:
+        return best(queries)
+    block = F.pmod(F.xxhash64(query), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [best(queries.where(block == i)) for i in range(blocks)])
 
 
 def top(scored: DataFrame, by: list[str], key: str, k: int) -> DataFrame:

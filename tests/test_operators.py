@@ -132,6 +132,15 @@ def test_registered_index_recall(spark, size):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_nearest_takes_queries_in_blocks(spark, sf, monkeypatch):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    found = lambda: sorted((r.query, r.rank, r.vec_id) for r in R.nearest(e, q, "vec_id", "embedding", "query", 3).collect())
+    whole = found()
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    assert q.count() > 7 and found() == whole
+
+
 def test_chunks_cover_the_text():
     text = ". ".join("word" + str(i) for i in range(400))
     assert all(p in text for p in pieces(text)) and "".join(pieces("")) == ""
