@@ -192,9 +192,18 @@ def sq_fsrs_review(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT space, count(*) AS n, md5(substr(string_agg(md5(text), chr(10) ORDER BY doc_id), 1, 4000)) AS digest FROM (SELECT *, CASE WHEN lang IN ('de', 'es') THEN 'daily' WHEN lang = 'fr' THEN 'system' ELSE 'academic' END AS space FROM documents WHERE n_chars > 15000) GROUP BY space")
 def sq_consolidate(spark: SparkSession, d: str) -> DataFrame:
+    return consolidated(table(spark, d, "documents").where("n_chars > 15000"))
+
+
+@query()
+def sq_consolidate_all(spark: SparkSession, d: str) -> DataFrame:
+    return consolidated(table(spark, d, "documents"))
+
+
+def consolidated(docs: DataFrame) -> DataFrame:
     space = F.when(F.col("lang").isin("de", "es"), "daily").when(F.col("lang") == "fr", "system").otherwise("academic")
     # the text of a space ends at 4000 characters: the first 124 digests of 32 and a line end fill it
-    ranked = table(spark, d, "documents").where("n_chars > 15000").select(space.alias("space"), "doc_id", F.md5("text").alias("h"))
+    ranked = docs.select(space.alias("space"), "doc_id", F.md5("text").alias("h"))
     n = ranked.groupBy("space").agg(F.count(F.lit(1)).alias("n"))
     first = O.first_of(ranked, ["space"], ["doc_id"], 124).groupBy("space").agg(F.array_sort(F.collect_list(F.struct("doc_id", "h"))).alias("hs"))
     return n.join(first, "space").select("space", "n", F.md5(F.substring(F.array_join(F.col("hs.h"), "\n"), 1, 4000)).alias("digest"))

@@ -1,5 +1,6 @@
 """Golden cases and invariants of the operators."""
 
+import hashlib
 import math
 import random
 
@@ -15,7 +16,7 @@ from tessella.operators import windows as O
 from tessella.operators.ann import ann
 from tessella.operators.chunking import pieces
 from tessella.operators.embedding import vector_of
-from tessella.plans import q_graph, q_retrieval
+from tessella.plans import q_graph, q_retrieval, q_sources
 from tessella.plans.q_scalars import mood_of
 from tessella.sources import readers, sinks
 
@@ -141,6 +142,14 @@ def test_nearest_takes_queries_in_blocks(spark, sf, monkeypatch):
     assert q.count() > 7 and found() == whole
 
 
+def test_consolidates_every_document(spark, sf):
+    spaces = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect():
+        spaces.setdefault({"de": "daily", "es": "daily", "fr": "system"}.get(r.lang, "academic"), []).append(hashlib.md5(r.text.encode()).hexdigest())
+    want = {(s, len(h), hashlib.md5("\n".join(h)[:4000].encode()).hexdigest()) for s, h in spaces.items()}
+    assert {(r.space, r.n, r.digest) for r in q_sources.sq_consolidate_all(spark, sf).collect()} == want
+
+
 def test_chunks_cover_the_text():
     text = ". ".join("word" + str(i) for i in range(400))
     assert all(p in text for p in pieces(text)) and "".join(pieces("")) == ""
