@@ -45,6 +45,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; both sides hold several at a time.
+BATCH_BYTES = 4 << 20
+
+
+def slim(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold at most ``BATCH_BYTES``, which this sets where they hold more."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(str(conf.get(name)).rstrip("b")) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores after it until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}
