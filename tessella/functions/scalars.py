@@ -32,6 +32,11 @@ def first_match(rules: Sequence[tuple[Column, str]], default: str | None) -> Col
     return out.otherwise(F.lit(default))
 
 
+def ascii_bounds(pattern: str) -> str:
+    """A pattern whose ``\\b`` sees ASCII letters, digits and underscores only, whatever the Java version."""
+    return pattern.replace("\\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 

@@ -125,6 +125,102 @@ CODE_LANGUAGES = [
     (["function ", "const ", "let ", "=>"], "javascript"), (["#!/bin/bash", "echo ", "grep "], "bash"),
 ]
 DOMAIN_RULES = [
+    ("backend", ["backend", "server", "api", "rest", "graphql", "microservice", "endpoint", "middleware", "express", "fastapi", "django", "spring", "node", "nginx", "apache"]),
+    ("devops", ["devops", "docker", "kubernetes", "k8s", "deploy", "ci/cd", "terraform", "ansible", "jenkins", "github actions", "monitoring", "prometheus", "grafana"]),
+    ("database", ["database", "sql", "nosql", "postgresql", "mysql", "mongodb", "redis", "elasticsearch", "sharding", "replication", "indexing", "query"]),
+    ("distributed-systems", ["distributed", "consensus", "raft", "paxos", "cap theorem", "eventual consistency", "message queue", "kafka", "rabbitmq", "pub/sub", "service mesh"]),
+    ("algorithms", ["algorithm", "data structure", "sorting", "searching", "graph", "tree", "dynamic programming", "hash", "heap", "stack", "queue"]),
+    ("networking", ["networking", "tcp", "udp", "http", "dns", "ssl", "tls", "websocket", "load balancer", "cdn", "firewall", "latency"]),
+    ("ai-ml", ["machine learning", "deep learning", "neural network", "transformer", "llm", "gpt", "bert", "cnn", "rnn", "embedding", "fine-tuning", "rag", "prompt engineering"]),
+    ("security", ["security", "authentication", "authorization", "oauth", "jwt", "encryption", "vulnerability", "penetration", "firewall", "xss", "csrf", "injection"]),
+    ("programming", ["python", "javascript", "typescript", "java", "c++", "c#", "go", "rust", "ruby", "php", "swift", "kotlin", "compiler", "interpreter"]),
+    ("system-design", ["system design", "architecture", "scalability", "performance", "caching", "load balancing", "microservices", "monolith", "event-driven"]),
+    ("cloud", ["cloud", "aws", "gcp", "azure", "serverless", "lambda", "ec2", "s3", "cloudformation", "iaas", "paas", "saas"]),
+    ("math", ["math", "calculus", "linear algebra", "statistics", "probability", "optimization", "differential", "integral", "matrix"]),
     ("physics", ["physics", "mechanics", "thermodynamics", "electromagnetism", "quantum", "relativity", "optics", "energy", "force", "momentum"]),
     ("social-science", ["psychology", "sociology", "philosophy", "economics", "politics", "history", "anthropology", "cognitive", "behavioral", "emotion", "motivation"]),
 ]
+CATEGORY_DOMAINS = [
+    ("Backend", "backend"), ("DevOps", "devops"), ("Database", "database"), ("AI", "ai-ml"), ("Math", "math"), ("Algorithms", "algorithms"), ("Security", "security"),
+    ("Networking", "networking"), ("System Design", "system-design"), ("Cloud", "cloud"), ("Physics", "physics"), ("Social", "social-science"),
+]
+
+QUERY_DOMAINS = [
+    ("backend", [
+        "backend", "server", "api", "database", "sql", "nosql", "rest", "graphql", "microservice", "docker", "kubernetes", "devops", "ci/cd", "deploy", "cloud", "aws", "gcp",
+        "azure", "linux", "nginx", "apache", "redis", "kafka", "rabbitmq", "grpc", "websocket", "oauth", "jwt", "cdn", "load balancer", "scaling", "sharding", "replication",
+        "caching", "indexing", "query optimization", "distributed system", "consensus", "raft", "paxos", "cap theorem", "eventual consistency", "message queue", "pub/sub",
+        "service mesh", "observability", "monitoring", "logging", "tracing",
+    ]),
+    ("frontend", [
+        "frontend", "react", "vue", "angular", "javascript", "typescript", "css", "html", "webpack", "vite", "nextjs", "nuxt", "spa", "pwa", "responsive", "accessibility",
+        "seo", "dom", "virtual dom", "state management", "redux", "zustand", "tailwind", "sass", "less",
+    ]),
+    ("algorithms", [
+        "algorithm", "data structure", "sorting", "searching", "graph", "tree", "dynamic programming", "greedy", "backtracking", "big o", "complexity", "hash", "heap", "stack",
+        "queue", "linked list", "binary search", "bfs", "dfs", "dijkstra", "shortest path", "minimum spanning tree", "topological sort",
+    ]),
+    ("ml_ai", [
+        "machine learning", "deep learning", "neural network", "transformer", "llm", "gpt", "bert", "cnn", "rnn", "lstm", "gan", "reinforcement learning", "supervised",
+        "unsupervised", "classification", "regression", "clustering", "embedding", "fine-tuning", "prompt engineering", "rag", "vector database", "attention mechanism",
+        "backpropagation", "gradient descent", "overfitting", "underfitting", "cross validation",
+    ]),
+    ("physics", [
+        "physics", "mechanics", "thermodynamics", "electromagnetism", "quantum", "relativity", "optics", "fluid dynamics", "statistical mechanics", "particle physics", "nuclear",
+        "astrophysics", "cosmology", "string theory", "wave", "energy", "force", "momentum", "entropy", "schrodinger", "heisenberg", "maxwell", "newton", "einstein",
+    ]),
+    ("social", [
+        "psychology", "sociology", "philosophy", "economics", "politics", "history", "anthropology", "linguistics", "cognitive", "behavioral", "social", "culture", "society",
+        "ethics", "morality", "consciousness", "perception", "memory", "learning", "motivation", "emotion", "personality", "mental health", "therapy", "counseling",
+    ]),
+]
+QUERY_CATEGORIES = [("backend", "Backend"), ("algorithms", "Algorithms"), ("ml_ai", "AI")]
+
+PERSONA_THERAPIST = [
+    r"\bmệt\b|\bstress\b|\blo lắng\b|\bbuồn\b|\bchán\b|\bnản\b|\báp lực\b",
+    r"\bdeadline\b|\bsập\b|\bcrash\b|\bburnout\b|\bkiệt sức\b|\bcô đơn\b",
+    r"\btâm sự\b|\bkể nghe\b|\btrò chuyện\b|\bgiải tỏa\b|\bcảm xúc\b",
+    r"\btình cảm\b|\bhạnh phúc\b|\bvui\b|\bđau\b|\bmất ngủ\b|\bngủ không ngon\b",
+    r"\bchào\b|\bhi\b|\bhello\b|\bhey\b|\bcảm ơn\b|\bthank\b|\bxin lỗi\b",
+    r"\bbạn là ai\b|\btên bạn\b|\bbạn tên gì\b|\bai tạo ra bạn\b|\bbạn biết gì\b",
+    r"\bbạn khỏe không\b|\bnhư thế nào\b|\bthế nào\b|\bgì vậy\b|\bsao\b",
+    r"lắng nghe|tâm sự|kể chuyện|sự cố|chán ghét",
+    r"\bmệt\b|\bmỏi\b|\bmệt mỏi\b|\bchán ghét\b|\bbực bội\b",
+]
+PERSONA_TECHNICAL = [
+    r"\bcode\b|\bviết\b|\bchạy\b|\bcompile\b|\bdebug\b|\bfunction\b|\bclass\b|\bmethod\b",
+    r"\bapi\b|\blibrary\b|\bframework\b|\bscript\b|\bmodule\b|\bpackage\b",
+    r"\bdocker\b|\bkubernetes\b|\bk8s\b|\bdeploy\b|\bci\/cd\b|\bpipeline\b|\bserver\b",
+    r"\bdatabase\b|\bsql\b|\bnosql\b|\bredis\b|\bmongodb\b|\bpostgres\b",
+    r"\barchitecture\b|\bmicroservices\b|\bmonolith\b|\bscalab\b|\bperformance\b|\bcache\b",
+    r"\balgorithm\b|\bthuật toán\b|\bsort\b|\bsearch\b|\btree\b|\bgraph\b|\bhash\b",
+    r"\bhttp\b|\btcp\b|\budp\b|\bdns\b|\bssl\b|\btls\b|\bwebsocket\b|\brest\b",
+    r"\bgit\b|\bgithub\b|\bvscode\b|\blinux\b|\bterminal\b|\bbash\b|\bnginx\b",
+]
+
+ENTITY_STOP = ["như thế nào", "là gì", "tại sao", "thế nào", "có thể", "những gì", "được không"]
+ENTITY_NAMES = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
+ENTITY_TERMS = r"\b[a-z]+(?:[A-Z][a-z]+)+\b|\b[a-z]+(?:_[a-z]+)+\b|\b[A-Z]{2,}\b"
+
+TOPICS = r"(?i)(?:^|\n)#+\s+(.+)|(?:topic|subject|about|về)\s*:\s*(.+)"
+FUNCTIONS = r"(?:void|int|char|bool|float|double|long|string|auto|public|private|protected|static|def|function|class)\s+\w+\s*\([^)]*\)\s*\{[^}]*\}"
+
+BRANCHES = {
+    "javascript": r"\b(if|else\s+if|for|while|do|switch|case|catch|&&|\|\||\?)\b",
+    "python": r"\b(if|elif|else|for|while|except|and|or|with|assert)\b",
+    "java": r"\b(if|else\s+if|for|while|do|switch|case|catch|&&|\|\||\?)\b",
+    "c": r"\b(if|else\s+if|for|while|do|switch|case|&&|\|\||\?)\b",
+    "cpp": r"\b(if|else\s+if|for|while|do|switch|case|catch|&&|\|\||\?|try|throw)\b",
+    "csharp": r"\b(if|else\s+if|for|while|do|switch|case|catch|&&|\|\||\?|try|throw)\b",
+    "go": r"\b(if|else|for|switch|case|select|&&|\|\|)\b",
+    "rust": r"\b(if|else|for|while|loop|match|&&|\|\||\?)\b",
+}
+SEVERITY_COSTS = [("critical", 15), ("error", 10), ("warning", 5), ("info", 2)]
+CATCH_EMPTY = r"catch\s*\([^)]*\)\s*\{\s*\}"
+CONSOLE = r"console\.(log|debug|info)\s*\("
+CREDENTIALS = r"(?i)(password|secret|api_key|token|apikey)\s*[:=]\s*['\"][^'\"]{8,}['\"]"
+SQL_BUILT = r"(query|execute|exec)\s*\(\s*['\"`].*\$\{|(query|execute|exec)\s*\(\s*['\"`]\s*\+"
+EVAL, VAR = r"\beval\s*\(", r"\bvar\s+"
+ASYNC, TRY = r"async|await|Promise|\.then\(", r"try\s*\{"
+TODO = r"(?i)TODO|FIXME|HACK|XXX"
+MAGIC = r"[^a-zA-Z_](\d{2,})"

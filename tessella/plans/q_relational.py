@@ -65,16 +65,6 @@ def filt_recent(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").where("ts >= timestamp_ntz '2024-02-01 00:00:00' - INTERVAL 7 DAYS").select("event_id")
 
 
-def _bounded(words: list[str]) -> str:
-    return "\\b(" + "|".join(w.replace(".", "\\.") for w in words) + ")\\b"
-
-
-@query(f"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), {Q.text(_bounded(W.JOB_REQUIRED))}) AND NOT regexp_matches(lower(text), {Q.text(_bounded(W.JOB_EXCLUDED))})")
-def filt_keyword_gate(spark: SparkSession, d: str) -> DataFrame:
-    t = F.lower("text")
-    return table(spark, d, "documents").where(t.rlike(_bounded(W.JOB_REQUIRED)) & ~t.rlike(_bounded(W.JOB_EXCLUDED))).select("doc_id")
-
-
 @query(f"""SELECT doc_id, CASE WHEN {Q.any_of("t", W.RELEVANCE_NEGATIVE)} AND NOT {Q.any_of("t", W.RELEVANCE_POSITIVE)} THEN 0.2::DOUBLE WHEN {Q.any_of("t", W.RELEVANCE_POSITIVE)} THEN 0.7 WHEN {Q.count_of("t", W.RELEVANCE_WEAK)} >= 2 THEN 0.5 ELSE 0.3 END AS score
  FROM (SELECT doc_id, lower(text) AS t FROM documents)""")
 def filt_relevance(spark: SparkSession, d: str) -> DataFrame:
@@ -102,33 +92,6 @@ def filt_scope(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", r.alias("reason"))
 
 
-_LOGS = ["request timeout 30s", "OOM killed", "all good", "HTTP 401 unauthorized", "rate limit hit", "ECONNRESET by peer", "FATAL exit"]
-_LOG_TYPE = Q.case([(f"regexp_matches(lower(line), {Q.text(p)})", t) for p, t, _ in W.LOG_RULES], "NULL")
-_LOG_SEVERITY = Q.case([(f"regexp_matches(lower(line), {Q.text(p)})", s) for p, _, s in W.LOG_RULES], "NULL")
-
-
-@query(f"SELECT user_id, type, severity, count(*) AS n FROM (SELECT user_id, {_LOG_TYPE} AS type, {_LOG_SEVERITY} AS severity FROM (SELECT user_id, {_LOGS}[event_id % 7 + 1] AS line FROM events)) WHERE type IS NOT NULL GROUP BY ALL")
-def filt_log(spark: SparkSession, d: str) -> DataFrame:
-    line = F.lower(F.element_at(F.array(*map(F.lit, _LOGS)), (F.col("event_id") % 7 + 1).cast("int")))
-    kind = S.first_match([(F.col("line").rlike(p), t) for p, t, _ in W.LOG_RULES], None)
-    severity = S.first_match([(F.col("line").rlike(p), s) for p, _, s in W.LOG_RULES], None)
-    e = table(spark, d, "events").select("user_id", line.alias("line")).select("user_id", kind.alias("type"), severity.alias("severity")).where("type IS NOT NULL")
-    return e.groupBy("user_id", "type", "severity").agg(F.count(F.lit(1)).alias("n"))
-
-
-_AUDIT = [f"len(regexp_extract_all(lower(html), {Q.text(p)}))" for p, _ in W.AUDIT_RULES]
-_HIGH = [h for h, (_, s) in zip(_AUDIT, W.AUDIT_RULES, strict=True) if s == "high"]
-_MEDIUM = [h for h, (_, s) in zip(_AUDIT, W.AUDIT_RULES, strict=True) if s == "medium"]
-
-
-@query(f"SELECT page_id, ({' + '.join(_AUDIT)})::INT AS hits, CASE WHEN {' + '.join(_HIGH)} > 0 THEN 'high' WHEN {' + '.join(_MEDIUM)} > 0 THEN 'medium' WHEN {' + '.join(_AUDIT)} > 0 THEN 'low' ELSE 'none' END AS risk FROM pages")
-def filt_audit(spark: SparkSession, d: str) -> DataFrame:
-    hits = [(F.regexp_count(F.lower("html"), F.lit(p)), s) for p, s in W.AUDIT_RULES]
-    some = lambda k: sum((h for h, s in hits if s == k), F.lit(0)) > 0
-    total = sum((h for h, _ in hits), F.lit(0))
-    return table(spark, d, "pages").select("page_id", total.cast("int").alias("hits"), F.when(some("high"), "high").when(some("medium"), "medium").when(total > 0, "low").otherwise("none").alias("risk"))
-
-
 @query(f"SELECT page_id, CASE WHEN {Q.any_of('lower(url)', W.ROUTE_NAMES)} OR {Q.any_of('lower(substr(html, 1, 500))', W.ROUTE_TEXTS)} THEN 'system' ELSE 'academic' END AS route FROM pages")
 def filt_doc_route(spark: SparkSession, d: str) -> DataFrame:
     head = F.lower(F.substring("html", 1, 500))  # the rule is about the head of a text

@@ -260,23 +260,6 @@ def sc_ground(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(few).alias("unsupported"))
 
 
-_DOMAINS = [("frontend", ["react", "css", "html", "dom", "spa", "seo", "less"]), ("algorithms", ["algorithm", "sorting", "tree", "hash", "heap", "stack", "queue", "graph"]), ("physics", ["quantum", "wave", "energy", "force"])]
-
-
-@query(f"""SELECT conv_id, turn, round(greatest(0.0, 1 - 0.2 * ((length(q) < 5)::INT + (length(q) > 200)::INT + (length(q) - length(replace(q, '?', '')) > 2)::INT + (a + b + c = 0 AND length(q) > 10)::INT)), 6) AS score,
- CASE WHEN greatest(a, b, c) = 0 THEN NULL WHEN a >= b AND a >= c THEN 'frontend' WHEN b >= c THEN 'algorithms' ELSE 'physics' END AS domain
- FROM (SELECT conv_id, turn, trim(lower(text)) AS q, {", ".join(f"{Q.count_of('lower(text)', w)} AS {n}" for n, (_, w) in zip("abc", _DOMAINS, strict=True))} FROM conversations)""")
-def sc_query_quality(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "conversations").select("conv_id", "turn", F.trim(F.lower("text")).alias("q"))
-    for n, (_, w) in zip("abc", _DOMAINS, strict=True):
-        t = t.withColumn(n, S.count_of(F.col("q"), w))
-    a, b, c, n = F.col("a"), F.col("b"), F.col("c"), F.length("q")
-    flag = lambda x: x.cast("int")
-    issues = flag(n < 5) + flag(n > 200) + flag(n - F.length(F.replace(F.col("q"), F.lit("?"), F.lit(""))) > 2) + flag((a + b + c == 0) & (n > 10))
-    domain = F.when(F.greatest(a, b, c) == 0, None).when((a >= b) & (a >= c), "frontend").when(b >= c, "algorithms").otherwise("physics")
-    return t.select("conv_id", "turn", F.round(F.greatest(F.lit(0.0), 1 - 0.2 * issues), 6).alias("score"), domain.alias("domain"))
-
-
 MOOD_SQL = f"""
 WITH h AS (SELECT conv_id, turn, conv_id * 7 % 24 AS hour, length(text) AS n, {Q.count_of("lower(text)", W.POSITIVE)} AS p, {Q.count_of("lower(text)", W.NEGATIVE)} AS g, {Q.count_of("lower(text)", W.STRESSED)} AS s, {Q.count_of("lower(text)", W.CELEBRATING)} AS c FROM conversations),
 mood AS (SELECT conv_id, turn, CASE WHEN c > 0 THEN 'celebrating' WHEN s >= 2 OR (s > 0 AND g > 0) THEN 'stressed' WHEN hour < 5 AND (g > 0 OR n < 10) THEN 'burnout' WHEN hour < 5 OR hour >= 22 THEN 'tired'
@@ -321,18 +304,6 @@ def sc_implicit(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.round(S.implicit_signal(F.col("event_type") == "click", F.col("value") * 2000), 6).alias("score"))
 
 
-_PERSONA = (["\\b(hi|hello|hey|thank)\\b", "\\b(stress|crash|burnout|deadline)\\b"], ["\\b(code|compile|debug|function|class|method)\\b", "\\b(api|library|framework|script|module|package)\\b", "\\b(sort|search|tree|graph|hash|algorithm)\\b"])
-
-
-@query(f"""SELECT conv_id, turn, CASE WHEN th > 0.4 AND th > te THEN 'THERAPIST' ELSE 'TECHNICAL' END AS persona, round(CASE WHEN (th > 0.4 AND th > te) THEN th WHEN te > 0.5 THEN te ELSE 0.5 END, 6) AS confidence
- FROM (SELECT conv_id, turn, least(({" + ".join(f"regexp_matches(lower(text), {Q.text(p)})::INT" for p in _PERSONA[0])}) / 2.0, 1.0) AS th, least(({" + ".join(f"regexp_matches(lower(text), {Q.text(p)})::INT" for p in _PERSONA[1])}) / 3.0, 1.0) AS te FROM conversations)""")
-def sc_persona(spark: SparkSession, d: str) -> DataFrame:
-    th, te = (F.least(sum((F.lower("text").rlike(p).cast("int") for p in ps), F.lit(0)) / by, F.lit(1.0)) for ps, by in zip(_PERSONA, (2.0, 3.0), strict=True))
-    t = table(spark, d, "conversations").select("conv_id", "turn", th.alias("th"), te.alias("te"))
-    own = (F.col("th") > 0.4) & (F.col("th") > F.col("te"))
-    return t.select("conv_id", "turn", F.when(own, "THERAPIST").otherwise("TECHNICAL").alias("persona"), F.round(F.when(own, F.col("th")).when(F.col("te") > 0.5, F.col("te")).otherwise(0.5), 6).alias("confidence"))
-
-
 @query(f"SELECT conv_id, turn, {Q.case([(f'regexp_matches(lower(text), {Q.text(p)})', n) for n, p in W.INTENTS], Q.text('GENERAL'))} AS intent FROM conversations")
 def sc_intent_regex(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", S.first_match([(F.lower("text").rlike(p), n) for n, p in W.INTENTS], "GENERAL").alias("intent"))
@@ -351,38 +322,12 @@ def sc_bm25_weight(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", F.when(F.lower("text").rlike(f"\\b({W.CODE_WORDS})\\b"), 0.7).when(n <= 3, 0.6).when(n > 10, 0.3).otherwise(0.5).alias("weight"))
 
 
-@query("SELECT item_id, list_transform(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*'), lambda x: lower(x))[1:5]::VARCHAR AS entities FROM benchmark")
-def sc_ner_regex(spark: SparkSession, d: str) -> DataFrame:
-    found = F.slice(F.transform(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+(?: [A-Z][a-z]+)*"), F.lit(0)), F.lower), 1, 5)
-    return table(spark, d, "benchmark").select("item_id", F.concat(F.lit("["), F.array_join(found, ", "), F.lit("]")).alias("entities"))
-
-
 @query(f"SELECT doc_id, array_to_string(list_filter({W.JOB_TAGS}, lambda k: contains(lower(text), k))[1:10], ',') AS tags FROM documents")
 def sc_tags(spark: SparkSession, d: str) -> DataFrame:
     hits = F.filter(F.array(*map(F.lit, W.JOB_TAGS)), lambda k: F.lower(F.col("text")).contains(k))
     return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(hits, 1, 10), ",").alias("tags"))
 
 
-@query(f"SELECT doc_id, {Q.case([('regexp_matches(lower(substr(text, 1, 2000)), ' + Q.text(chr(92) + 'b(' + p + ')' + chr(92) + 'b') + ')', n) for p, n in W.REPO_CLASSES], Q.text('Backend'))} AS category FROM documents")
-def sc_category(spark: SparkSession, d: str) -> DataFrame:
-    t = F.lower(F.substring("text", 1, 2000))  # the classifier reads the head of a text by definition
-    return table(spark, d, "documents").select("doc_id", S.first_match([(t.rlike(f"\\b({p})\\b"), n) for p, n in W.REPO_CLASSES], "Backend").alias("category"))
-
-
-CODE = "'# t\\n```' || ['js', 'py', ''][event_id % 3 + 1] || '\\nconst x = ' || event_id || '; // a line of code here\\n```\\nend'"
-
-
-@query("SELECT event_id, ['js', 'py', ''][event_id % 3 + 1] AS marked, 'javascript' AS guessed, length('const x = ' || event_id || '; // a line of code here')::INT AS n FROM events")
-def sc_codeblocks(spark: SparkSession, d: str) -> DataFrame:
-    mark = F.element_at(F.array(F.lit("js"), F.lit("py"), F.lit("")), (F.col("event_id") % 3 + 1).cast("int"))
-    text = F.concat(F.lit("# t\n```"), mark, F.lit("\nconst x = "), F.col("event_id"), F.lit("; // a line of code here\n```\nend"))
-    pattern = "```(\\w+)?\\n([\\s\\S]*?)```"
-    b = table(spark, d, "events").select("event_id", F.explode(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("c"))).alias("b"))
-    b = b.select("event_id", F.col("b.m").alias("marked"), F.trim(F.regexp_replace("b.c", "\\n", " ")).alias("code")).where("length(code) > 20")
-    guess = S.first_match([(S.any_of(F.col("code"), w), n) for w, n in W.CODE_LANGUAGES], "cpp")
-    return b.select("event_id", "marked", guess.alias("guessed"), F.length("code").alias("n"))
-
-
 @query("SELECT n_nationkey, substr(sha256('nation:' || lower(trim(n_name))), 1, 16) AS id FROM nation")
 def sc_sha_id(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", S.sha_id(F.lit("nation"), F.col("n_name")).alias("id"))

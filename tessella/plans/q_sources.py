@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
 from tessella.functions import words as W
-from tessella.operators import code as C
 from tessella.operators import sequences as Seq
 from tessella.operators import storage as St
 from tessella.operators import windows as O
@@ -390,12 +389,6 @@ def x_error_pattern(spark: SparkSession, d: str) -> DataFrame:
     return some.unionByName(none)
 
 
-@query("SELECT key, round(best, 6) AS best FROM (SELECT lower(regexp_replace(url, '[?#].*$', '')) AS key, max(page_id % 100 / 100.0) AS best FROM pages GROUP BY 1) ORDER BY best DESC, key LIMIT 15")
-def x_notify_rank(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages").groupBy(F.lower(F.regexp_replace("url", "[?#].*$", "")).alias("key")).agg(F.max(F.col("page_id") % 100 / 100.0).alias("best"))
-    return p.select("key", F.round("best", 6).alias("best")).orderBy(F.desc("best"), "key").limit(15)
-
-
 @query()
 def x_topic_ttl(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).groupBy("event_type").agg(F.array_sort(F.collect_set(F.floor(F.col("us") / 60_000_000) * 60_000_000)).alias("t"))
@@ -409,33 +402,6 @@ def x_user_query_ttl(spark: SparkSession, d: str) -> DataFrame:
     return e.select("user_id", "q", F.size(O.accepted(F.col("t"), 3_600_000_000)).alias("accepted"))
 
 
-_RULES = [*W.DOMAIN_RULES, ("backend", ["api", "server"]), ("french", ["é", "è"])]
-
-
-@query(f"SELECT doc_id, {Q.case([(Q.any_of('lower(text)', w), n) for n, w in _RULES], Q.text('general'))} AS domain FROM documents")
-def x_domain_rules(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", S.first_match([(S.any_of(F.lower("text"), w), n) for n, w in _RULES], "general").alias("domain"))
-
-
-@query(f"SELECT domain, count(*) AS n FROM (SELECT CASE WHEN lang <> 'en' THEN lang ELSE {Q.case([(Q.any_of('lower(text)', w), n) for n, w in _RULES], Q.text('general'))} END AS domain FROM documents) GROUP BY domain")
-def x_backfill(spark: SparkSession, d: str) -> DataFrame:
-    found = S.first_match([(S.any_of(F.lower("text"), w), n) for n, w in _RULES], "general")
-    return table(spark, d, "documents").select(F.when(F.col("lang") != "en", F.col("lang")).otherwise(found).alias("domain")).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT page_id, CASE WHEN contains(url, 'github.com') THEN 'github' WHEN contains(url, 'youtube.com') OR contains(url, 'youtu.be') THEN 'youtube' WHEN contains(url, 'arxiv.org') THEN 'arxiv' WHEN contains(url, 'stackoverflow.com') THEN 'stackoverflow' ELSE 'web' END AS kind FROM pages")
-def x_url_type(spark: SparkSession, d: str) -> DataFrame:
-    rules = [(["github.com"], "github"), (["youtube.com", "youtu.be"], "youtube"), (["arxiv.org"], "arxiv"), (["stackoverflow.com"], "stackoverflow")]
-    return table(spark, d, "pages").select("page_id", S.first_match([(S.any_of(F.col("url"), w), k) for w, k in rules], "web").alias("kind"))
-
-
-@query("SELECT page_id, row_number() OVER (PARTITION BY url ORDER BY page_id) = 1 AS fresh FROM pages")
-def x_url_bloom(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages")
-    first = p.groupBy("url").agg(F.min("page_id").alias("first"))
-    return p.join(first, p["url"].eqNullSafe(first["url"])).select("page_id", (F.col("page_id") == F.col("first")).alias("fresh"))
-
-
 @query("SELECT user_id, asked, round(correct * 100.0 / asked, 4) AS accuracy, array_to_string(top, ',') AS top FROM (SELECT user_id, sum(n)::BIGINT AS asked, sum(c)::BIGINT AS correct, list(event_type ORDER BY c::DOUBLE / n DESC, event_type)[1:3] AS top FROM (SELECT user_id, event_type, count(*) AS n, sum((value > 50)::INT) AS c FROM events GROUP BY ALL) GROUP BY user_id)")
 def x_profile_totals(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("value") > 50).cast("int")).alias("c"))
@@ -449,30 +415,6 @@ def x_dag_order(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderpriority", "o_orderkey")).alias("place"))
 
 
-# Code and documents with code
-
-
-@query("SELECT page_id, (2 * contains(lower(html), 'track')::INT + (NOT contains(lower(html), 'track') AND contains(lower(url), 'track'))::INT + CASE WHEN contains(lower(html), 'example') THEN 2 WHEN contains(lower(url), 'example') THEN 1 ELSE 0 END)::INT AS score FROM pages")
-def sc_cmd_match(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", C.match_score(F.col("html"), F.col("url"), ["track", "example"]).cast("int").alias("score"))
-
-
-@query("SELECT doc_id, '## b' || doc_id || chr(10) || 'text' || chr(10) || '### sub' AS section FROM documents")
-def sc_md_section(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("# a\nintro\n## b"), F.col("doc_id"), F.lit("\ntext\n### sub\n## c\nend"))
-    return table(spark, d, "documents").select("doc_id", C.section(F.split(text, "\n"), "b").alias("section"))
-
-
-@query("SELECT page_id, 1 + len(regexp_extract_all(regexp_replace(regexp_replace(html, '(?m)//.*$', '', 'g'), '/\\*[\\s\\S]*?\\*/', '', 'g'), '\\b(if|for|while|do|switch|case|catch)\\b|&&|\\|\\||\\?'))::INT AS cyclomatic FROM pages")
-def sc_complexity(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", C.complexity(F.col("html")).cast("int").alias("cyclomatic"))
-
-
-@query("SELECT page_id, (" + " + ".join(f"CASE WHEN regexp_matches(html, {Q.text(p)}) THEN {c} ELSE 0 END" for p, c in C.AVOID) + ")::INT AS penalty FROM pages")
-def sc_antipattern(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", C.penalties(F.col("html")).cast("int").alias("penalty"))
-
-
 # Pass-through of SQL
 
 
