@@ -23,9 +23,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import _text
-from tessella.llm._util import fresh, staged
+from tessella.llm._util import fresh, slim, staged
 
 LONG, WINDOW, LEAST = 16, 8, 20
+#: Digests whose units are spread at most (some tens of bytes each), units of one in a slice of text that
+#: make it one of them, and parts over which their units are dealt.
+HOT, OFTEN, SPREAD = 20_000, 8, 1024
 
 
 def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,29 +62,110 @@ def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return digest, points(starts[first]), points(ends[first + sizes - 1]), sizes, doc[first], long[first]
 
 
+def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, ...], np.ndarray]]:
+    """Slices of a batch with their units, and each unit's number in its text."""
+    for part in _text.slices(batch, "t"):
+        found = units(part.column("t"))
+        if len(found[0]):
+            doc = found[4]
+            yield part, found, (np.arange(len(doc)) - np.searchsorted(doc, doc)).astype(np.int32)
+
+
+def _is_in(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x if len(sorted_) else np.zeros(len(x), bool)
+
+
+def _hot_firsts(docs: DataFrame, kind: str) -> pa.Table:
+    """d, k, row, i of the first occurrence of digests that many units share, by d.
+
+    These are at most ``HOT`` digests, those with most units in slices where at least ``OFTEN`` share one.
+    All texts are read for them, but only how the work is dealt depends on their choice, and no result.
+    """
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, found, _ in _rows_of(batch):
+                d, n = np.unique(found[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(d[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], ["d", "n"])
+
+    most = docs.select("t").mapInArrow(often, "d long, n long").groupBy("d").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d").limit(HOT)
+    hot = np.sort(most.select("d").toPandas()["d"].to_numpy(np.int64).view(np.uint64))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, found, number in _rows_of(batch):
+                at = np.flatnonzero(_is_in(hot, found[0]))
+                doc = pa.array(found[4][at])
+                yield pa.RecordBatch.from_arrays([pa.array(found[0][at].view(np.int64)), part.column("k").take(doc), part.column("row").take(doc), pa.array(number[at])], ["d", "k", "row", "i"])
+
+    rows = docs if len(hot) else docs.limit(0)
+    least = rows.mapInArrow(firsts, f"d long, k {kind}, row long, i int").groupBy("d").agg(F.min(F.struct("k", "row", "i")).alias("f"))
+    table = least.select("d", "f.k", "f.row", "f.i").toArrow()  # at most HOT rows
+    return table.take(pa.array(np.argsort(table.column("d").to_numpy().view(np.uint64)))).combine_chunks()
+
+
+def _later(batches: Iterator[pa.RecordBatch], first: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by digest and rank all but the first of each digest, with the first's key.
+
+    The rows of the digests in ``first`` are spread and have their first there.
+    """
+    hot, hot_row, hot_i = (first.column(c).to_numpy() for c in ("d", "row", "i"))
+    hot = hot.view(np.uint64)
+    last_d, last_k = None, None  # digest of the row before a batch, and the key of its first
+    for batch in batches:
+        d, k = batch.column("d").to_numpy(), batch.column("k")
+        if not len(d):
+            continue
+        again = np.zeros(len(d), bool)
+        again[1:] = d[1:] == d[:-1]
+        source = np.maximum.accumulate(np.where(again, 0, np.arange(len(d))))
+        if last_d is not None and d[0] == last_d:  # the digest goes on: its first key stands behind the batch's
+            again[0] = True
+            source[: np.argmin(d == d[0]) or len(d)] = len(d)
+            k = pa.concat_arrays([k, last_k])
+        last_d, last_k = d[-1], k.take(pa.array(source[-1:]))
+        heavy = np.flatnonzero(_is_in(hot, d.view(np.uint64)))
+        if len(heavy):
+            at = np.searchsorted(hot, d[heavy].view(np.uint64))
+            again[heavy] = (batch.column("row").to_numpy()[heavy] != hot_row[at]) | (batch.column("i").to_numpy()[heavy] != hot_i[at])
+            source[heavy] = len(k) + at
+            k = pa.concat_arrays([k, *first.column("k").chunks])
+        keep = np.flatnonzero(again)
+        arrays = [batch.column(c).take(pa.array(keep)) for c in ("k", "row", "i", "s", "e", "w")]
+        yield pa.RecordBatch.from_arrays([*arrays, k.take(pa.array(source[keep]))], ["k", "row", "i", "s", "e", "w", "f"])
+
+
 def find_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, row: str | None = None) -> DataFrame:
     """key, start, end, n_words, first_key, row for every repeat; ``first_key`` has the earliest occurrence of its units.
 
-    ``row`` names a column with a number for each row; without it rows are numbered here.
+    ``row`` names a column with a number for each row; without it rows are numbered here, as they are read, which
+    asks that ``df`` gives them in the same order each time, as a table does.  Texts are read three times.  Units are shuffled
+    once, by digest; those of digests that many share are dealt by their row into ``SPREAD`` parts, as their
+    first occurrence is found beforehand by partial minima.
     """
     kind = df.schema[key].dataType.simpleString()
+    docs = slim(df).select(F.col(key).alias("k"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(text).alias("t"))
+    shared = df.sparkSession.sparkContext.broadcast(_hot_firsts(docs, kind))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value.column("d").to_numpy().view(np.uint64)
         for batch in batches:
-            for part in _text.slices(batch, "t"):
-                digest, start, end, size, doc, long = units(part.column("t"))
-                if len(digest):
-                    number = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                    arrays = [pa.array(x.astype(np.int32)) for x in (number, start, end, 2 * size + long)]
-                    yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(doc)), part.column("row").take(pa.array(doc)), pa.array(digest.view(np.int64)), *arrays], ["k", "row", "d", "i", "s", "e", "w"])
-
-    docs = df.select(F.col(key).alias("k"), (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(text).alias("t"))
-    found = staged(docs.mapInArrow(run, f"k {kind}, row long, d long, i int, s int, e int, w int"), "units")
-    firsts = found.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "row", "i")).alias("f")).where("n > 1")
-    again = found.join(firsts.select("d", "f"), "d").where("NOT (row = f.row AND i = f.i)")
+            for part, (digest, start, end, size, doc, long), number in _rows_of(batch):
+                rows = part.column("row").take(pa.array(doc))
+                deal = np.where(_is_in(hot, digest), rows.to_numpy() % SPREAD, 0)
+                arrays = [pa.array(x.astype(np.int32)) for x in (deal, number, start, end, 2 * size + long)]
+                yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(doc)), rows, pa.array(digest.view(np.int64)), *arrays], ["k", "row", "d", "deal", "i", "s", "e", "w"])
+
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _later(batches, shared.value)
+
+    found = docs.mapInArrow(split, f"k {kind}, row long, d long, deal int, i int, s int, e int, w int")
+    found = found.repartition("d", "deal").sortWithinPartitions("d", "deal", "k", "row", "i")
+    again = found.mapInArrow(later, f"k {kind}, row long, i int, s int, e int, w int, f {kind}")
     island = F.col("i") - F.row_number().over(Window.partitionBy("row").orderBy("i"))
-    runs = again.withColumn("island", island).groupBy("row", "island").agg(F.first("k").alias("k"), F.min("s").alias("start"), F.max("e").alias("end"), F.sum(F.expr("w div 2")).alias("n_words"), F.sum(F.expr("(w div 2) * (w % 2)")).alias("n_long"), F.min("f.k").alias("first_key"))
-    return runs.where((F.col("n_long") >= least) | (F.col("n_words") >= 2 * least)).select(F.col("k").alias(key), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_words", "first_key", "row")
+    runs = again.withColumn("island", island).groupBy("row", "island").agg(F.first("k").alias("k"), F.min("s").alias("start"), F.max("e").alias("end"), F.sum(F.expr("w div 2")).alias("n_words"), F.sum(F.expr("(w div 2) * (w % 2)")).alias("n_long"), F.min("f").alias("first_key"))
+    runs = runs.where((F.col("n_long") >= least) | (F.col("n_words") >= 2 * least))
+    return runs.select(F.col("k").alias(key), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_words", "first_key", "row")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
