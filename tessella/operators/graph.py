@@ -18,6 +18,7 @@ def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
 
     Only the frontier is joined in a round, and only against nodes not reached before.
     """
+    edges = stage(edges)  # read in every round
     seen = stage(start.select("node").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for step in range(1, depth + 1):
@@ -29,6 +30,20 @@ def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def reach_by(edges: DataFrame, start: DataFrame, by: str, depth: int) -> DataFrame:
+    """(by, node, depth) as ``reach`` gives it, for every start set (by, node) of its own."""
+    edges = stage(edges)
+    seen = stage(start.select(by, "node").distinct().withColumn("depth", F.lit(0)))
+    front = seen
+    for step in range(1, depth + 1):
+        found = edges.join(front.select(by, F.col("node").alias("source")), "source").select(by, F.col("target").alias("node")).distinct()
+        front = stage(found.join(seen, [by, "node"], "left_anti").withColumn("depth", F.lit(step)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
 def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 50, tolerance: float = 1e-4, every: int = 5) -> DataFrame:
     """(node, rank); the mass of nodes without edges is spread evenly.  Checkpointed every few rounds."""
     out = edges.groupBy("source").agg(F.count(F.lit(1)).alias("out"))

@@ -89,3 +89,8 @@ CATEGORIES = ["Backend", "DevOps", "Database", "AI", "Math", "Algorithms", "Secu
 URLS = [
     "https://github.com/a/b", "https://youtube.com/watch?v=1", "https://youtu.be/1", "https://arxiv.org/abs/1", "https://stackoverflow.com/q/1", "https://example.org/github", "HTTPS://GITHUB.COM/a/b ",
 ]
+
+PAGES = [
+    "", "<h2 class='a'>Part &amp; whole</h2><p>See <a href=\"https://a.example/x\">this <b>one</b></a> and <em>that</em>.</p>", "<ul><li>first</li>\n<li>second <code>x &lt; y</code></li></ul><br/><h3>End</h3>",
+    "<nav>skip</nav><pre><code>let a = 1;\nlet b = 2;</code></pre><p>done</p><script>evil()</script>", "<h1>Top</h1><strong>bold</strong> <i>slanted</i><img src='a.png'/>",
+]

@@ -39,27 +39,12 @@ def g_pagerank(spark: SparkSession, d: str) -> DataFrame:
     return G.pagerank(e, _nodes(e), rounds=5, tolerance=0).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query(f"WITH RECURSIVE e AS ({HIERARCHY_SQL}), r(node, depth) AS (SELECT 'c1', 0 UNION SELECT target, depth + 1 FROM r JOIN e ON node = source WHERE depth < 6) SELECT node, min(depth) AS depth FROM r GROUP BY node ORDER BY min(depth), node LIMIT 20")
-def g_prereq(spark: SparkSession, d: str) -> DataFrame:
-    return G.reach(hierarchy_edges(spark, d), spark.createDataFrame([("c1",)], "node string"), 6).orderBy("depth", "node").limit(20)
-
-
 @query(f"WITH e AS ({HIERARCHY_SQL}) SELECT node, wave::INT AS wave FROM (SELECT DISTINCT source AS node, CASE WHEN source[1] = 'c' THEN 0 ELSE 1 END AS wave FROM e WHERE source[1] = 'c' OR source IN (SELECT target FROM e) UNION SELECT source, 0 FROM e WHERE source NOT IN (SELECT target FROM e) UNION SELECT target, 2 FROM e WHERE target[1] = 'r')")
 def g_topo(spark: SparkSession, d: str) -> DataFrame:
     e = hierarchy_edges(spark, d)
     return G.waves(e, _nodes(e))
 
 
-MASTERY_SQL = "SELECT user_id, n, acc, CASE WHEN n = 0 THEN 'NOT_STARTED' WHEN acc >= 0.8 AND n >= 5 THEN 'MASTERED' WHEN acc >= 0.5 AND n >= 2 THEN 'LEARNING' ELSE 'WEAK' END AS status FROM (SELECT user_id, count(*) AS n, avg((value > 30)::INT) AS acc FROM events GROUP BY user_id)"
-
-
-@query(f"SELECT user_id, status, CASE status WHEN 'MASTERED' THEN 0.1::DOUBLE WHEN 'LEARNING' THEN 0.4 WHEN 'WEAK' THEN 0.8 ELSE 0.9 END AS gap FROM ({MASTERY_SQL})")
-def g_mastery(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("value") > 30).cast("int")).alias("acc"))
-    s = F.when(F.col("n") == 0, "NOT_STARTED").when((F.col("acc") >= 0.8) & (F.col("n") >= 5), "MASTERED").when((F.col("acc") >= 0.5) & (F.col("n") >= 2), "LEARNING").otherwise("WEAK")
-    return e.select("user_id", s.alias("status")).withColumn("gap", F.when(F.col("status") == "MASTERED", 0.1).when(F.col("status") == "LEARNING", 0.4).when(F.col("status") == "WEAK", 0.8).otherwise(0.9))
-
-
 @query(f"WITH e AS ({HIERARCHY_SQL}), w AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_acctbal < 0), a AS (SELECT target AS node, 0.05 * count(*) AS p FROM w JOIN e ON node = source GROUP BY 1), b AS (SELECT target AS node, sum(p) * 0.5 AS p FROM a JOIN e ON node = source GROUP BY 1) SELECT node, round(p, 6) AS gap FROM (SELECT * FROM a UNION ALL SELECT * FROM b)")
 def g_gap_prop(spark: SparkSession, d: str) -> DataFrame:
     wrong = table(spark, d, "customer").where("c_acctbal < 0").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
@@ -71,12 +56,6 @@ def g_top_gaps(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("double").alias("gap")).orderBy(F.desc("gap"), "event_id").limit(10)
 
 
-@query(f"WITH RECURSIVE e AS ({HIERARCHY_SQL}), b AS (SELECT source, target FROM e UNION SELECT target, source FROM e), s AS (SELECT 'n' || n_nationkey AS node FROM nation WHERE starts_with(n_name, 'I')), r(node, depth) AS (SELECT node, 0 FROM s UNION SELECT target, depth + 1 FROM r JOIN b ON node = source WHERE depth < 2) SELECT node, min(depth) AS depth FROM r GROUP BY node")
-def g_context(spark: SparkSession, d: str) -> DataFrame:
-    start = table(spark, d, "nation").where(F.col("n_name").startswith("I")).select(F.concat(F.lit("n"), "n_nationkey").alias("node"))  # the entities that a question names
-    return G.reach(G.both_ways(hierarchy_edges(spark, d)), start, 2)
-
-
 @query("SELECT event_id FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-10' ORDER BY ts DESC LIMIT 20")
 def g_temporal(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").where("event_type = 'click' AND ts >= timestamp_ntz '2024-01-10 00:00:00'").orderBy(F.desc("ts")).limit(20).select("event_id")
@@ -125,16 +104,3 @@ def dl_rules(spark: SparkSession, d: str) -> DataFrame:
     return k["deprecated"].toDF("x").select(F.lit("deprecated").alias("p"), "x").unionByName(k["recommended"].toDF("x").select(F.lit("recommended").alias("p"), "x"))
 
 
-@query(f"WITH RECURSIVE {CLOSURE}, claim AS (SELECT 'c' || c_custkey AS x, 'r' || (c_custkey % 5) AS y, c_mktsegment AS doc FROM customer) SELECT doc, count(*) AS total, count(c.a) AS verified, CASE WHEN count(c.a) = count(*) THEN 'VERIFIED' WHEN count(c.a) > 0 THEN 'PARTIAL' ELSE 'UNGROUNDED' END AS status FROM claim LEFT JOIN c ON x = a AND y = b GROUP BY doc")
-def dl_verify(spark: SparkSession, d: str) -> DataFrame:
-    known = fixpoint({"part_of": hierarchy_edges(spark, d)}, RULES[1:2])["part_of"].toDF("x", "y").withColumn("ok", F.lit(1))
-    claims = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("x"), F.concat(F.lit("r"), F.col("c_custkey") % 5).alias("y"), F.col("c_mktsegment").alias("doc"))
-    n = claims.join(known, ["x", "y"], "left").groupBy("doc").agg(F.count(F.lit(1)).alias("total"), F.count("ok").alias("verified"))
-    return n.withColumn("status", verdict(F.col("total"), F.col("verified"), F.lit(0)))
-
-
-@query("SELECT o_custkey, o_orderkey, round(least(4.0, greatest(0.0, 40.0 - before)), 6) AS hours FROM (SELECT o_custkey, o_orderkey, coalesce(sum(4.0) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM orders) WHERE before < 40")
-def g_schedule(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy("o_orderpriority", "o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
-    o = table(spark, d, "orders").withColumn("before", F.coalesce(F.sum(F.lit(4.0)).over(w), F.lit(0.0)))
-    return o.where("before < 40").select("o_custkey", "o_orderkey", F.round(F.least(F.lit(4.0), F.greatest(F.lit(0.0), 40 - F.col("before"))), 6).alias("hours"))

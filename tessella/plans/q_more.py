@@ -7,12 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import scalars as S
+from tessella.plans import _samples as X
+from tessella.plans import _sql as Q
 from tessella.plans.registry import query
-from tessella.sources import sinks
+from tessella.sources import readers, sinks
 from tessella.sources.tables import table
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_type <> 'view'")
+@query("SELECT event_id, event_type FROM events")
 def src_watch_dir(spark: SparkSession, d: str) -> DataFrame:
     """Files that arrive in a folder, as a stream that takes what is there; its rows go to the shared folder."""
     from tessella.operators.tables import shared_folder
@@ -20,21 +23,116 @@ def src_watch_dir(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "events").schema
     files = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/event*.parquet")
     out = f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}"
-    stream = files.where("event_type <> 'view'").select("event_id", "event_type")
+    stream = files.select("event_id", "event_type")
     stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
     return spark.read.parquet(f"{out}/rows")
 
 
-@query("SELECT r_regionkey, r_name, 'v2' AS version FROM region")
+@query("SELECT r_regionkey, r_name, 'v2' AS version, 2 AS committed, 1 AS rolled_back FROM region")
 def src_txn(spark: SparkSession, d: str) -> DataFrame:
-    """Two versions of a table, each written whole; readers take the one that the last commit names."""
+    """Three versions of a table, each written whole; the third fails half-way and is rolled back, so readers see the second."""
     from tessella.operators.tables import shared_folder
 
     folder = f"{shared_folder(spark)}/txn-{uuid.uuid4().hex}"
     r = table(spark, d, "region")
-    sinks.write_versioned(r.where("r_regionkey < 0"), folder, "v1")
-    current = sinks.write_versioned(r, folder, "v2")
-    return spark.read.parquet(current).withColumn("version", F.lit(current.rpartition("=")[2]))
+    bad = r.withColumn("r_name", F.when(F.col("r_regionkey") == 3, F.raise_error(F.lit("a broken row"))).otherwise(F.col("r_name")))
+    committed, failed, current = 0, 0, ""
+    for version, rows in (("v1", r.where("r_regionkey < 0")), ("v2", r), ("v3", bad)):
+        try:
+            current = sinks.write_versioned(rows, folder, version)
+            committed += 1
+        except Exception:  # noqa: BLE001  whatever stops a write, its version is dropped
+            sinks.drop_version(spark, folder, version)
+            failed += 1
+    found = spark.read.parquet(current).withColumn("version", F.lit(current.rpartition("=")[2]))
+    return found.withColumn("committed", F.lit(committed)).withColumn("rolled_back", F.lit(failed))
+
+
+@query("SELECT s_name AS company, 'Remote' AS location, coalesce(s_acctbal, 0) > 0 AS paid FROM supplier UNION ALL SELECT c_name, 'Remote', true FROM customer")
+def src_free_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Two job APIs of unlike shapes as JSON, mapped to one schema."""
+    a = table(spark, d, "supplier").select(F.to_json(F.struct(F.struct(F.col("s_name").alias("name")).alias("company"), F.col("s_acctbal").alias("pay"))).alias("j"))
+    b = table(spark, d, "customer").select(F.to_json(F.struct(F.col("c_name").alias("employer"))).alias("j"))
+    x = a.select(F.from_json("j", "company struct<name: string>, pay double").alias("x")).select(F.col("x.company.name").alias("company"), (F.coalesce("x.pay", F.lit(0.0)) > 0).alias("paid"))
+    y = b.select(F.get_json_object("j", "$.employer").alias("company"), F.lit(True).alias("paid"))
+    return x.unionByName(y).select("company", F.lit("Remote").alias("location"), "paid")
+
+
+@query("SELECT c_nationkey, c_name AS company, c_mktsegment AS role, CASE WHEN c_custkey % 5 = 0 THEN 'Remote' ELSE 'City ' || c_custkey END AS location, CASE WHEN c_custkey % 3 = 0 THEN '#' ELSE 'https://jobs.example/' || c_custkey END AS link FROM customer WHERE c_custkey % 7 <> 0")
+def src_html_table(spark: SparkSession, d: str) -> DataFrame:
+    """Job lists as HTML tables, one a nation: rows of company, role, place and link; missing cells get a default, rows without a company go."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    cell = lambda *x: F.concat(F.lit("<td>"), *x, F.lit("</td>"))
+    name = F.when(k % 7 == 0, "Unknown").otherwise(F.col("c_name"))
+    link = F.when(k % 3 == 0, F.lit("closed")).otherwise(F.concat(F.lit('<a class="b" href="https://jobs.example/'), k, F.lit('"> Apply </a>')))
+    place = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(" City <b>"), k, F.lit("</b> ")))
+    row = F.concat(F.lit("<tr>"), cell(F.lit("<strong>"), name, F.lit("</strong>")), cell("c_mktsegment"), cell(place), cell(link), F.lit("</tr>\n"))
+    pages = c.groupBy("c_nationkey").agg(F.concat(F.lit("<p>jobs</p><table><thead><tr><th>company</th></tr></thead><tbody>"), F.array_join(F.collect_list(row), ""), F.lit("</tbody></table>")).alias("html"))
+    rows = readers.html_rows(pages, "c_nationkey", "html")
+    get = lambda i, default: F.coalesce(F.nullif(F.get("cells", F.lit(i)), F.lit("")), F.lit(default))
+    jobs = rows.select("c_nationkey", get(0, "Unknown").alias("company"), get(1, "Unknown").alias("role"), get(2, "Remote").alias("location"), F.coalesce(F.nullif("link", F.lit("")), F.lit("#")).alias("link"))
+    return jobs.where("company <> 'Unknown'")
+
+
+_TITLE = "trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"
+
+
+@query(f"SELECT page_id, 0 AS pos, {_TITLE} AS title, url AS link FROM pages WHERE {_TITLE} <> '' UNION ALL SELECT page_id, 1, 'again ' || page_id, url || '?again' FROM pages")
+def src_rss(spark: SparkSession, d: str) -> DataFrame:
+    """Feeds of three items; an item without title or link is left out."""
+    title = F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    item = lambda a, b: F.concat(F.lit("<item>\n<title type='text'> "), a, F.lit("\n</title><link> "), b, F.lit(" </link></item>"))
+    feed = F.concat(F.lit("<rss>"), item(title, F.col("url")), item(F.concat(F.lit("again "), "page_id"), F.concat("url", F.lit("?again"))), item(F.lit("no link"), F.lit("")), F.lit("</rss>"))
+    found = readers.items(table(spark, d, "pages").select("page_id", feed.alias("x")), "page_id", "x", "item", {"title": "title", "link": "link"})
+    return found.where("title <> '' AND link <> ''")
+
+
+#: Subjects that a feed of papers leaves out.
+IRRELEVANT = [
+    "cosmic ray", "cloud chamber", "cern", "particle physics", "hadron", "neutrino", "quantum chromodynamics", "aerosol", "meteorolog", "climatolog", "atmospheric physics", "geophysic", "astrophysic",
+]
+_PAPER = ["On sorting", "A cosmic ray survey", "Deep  nets\n again", "Aerosol and code"]
+
+
+@query(f"""SELECT doc_id, 'http://papers.example/' || doc_id AS id, regexp_replace(trim(t), '\s+', ' ', 'g') AS title, 'of ' || lang || ' text' AS summary, '2024-01-0' || (doc_id % 9 + 1) AS published, coalesce(source, 'none') || ',B. Author' AS authors, CASE WHEN doc_id % 2 = 0 THEN 'http://papers.example/' || doc_id || '.pdf' END AS pdf_url
+ FROM (SELECT *, {X.pick_sql(_PAPER, 'doc_id')} AS t FROM documents) WHERE NOT {Q.any_of("lower(regexp_replace(t, '\s+', ' ', 'g') || ' of ' || lang || ' text')", IRRELEVANT)}""")
+def src_atom(spark: SparkSession, d: str) -> DataFrame:
+    """Papers of a feed: id, title, summary, date, authors and file; those of other subjects are left out."""
+    k = F.col("doc_id").cast("string")
+    pdf = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<link title="pdf" rel="related" href="http://papers.example/'), k, F.lit('.pdf"/>'))).otherwise("")
+    xml = F.concat(
+        F.lit("<feed><entry><id>http://papers.example/"), k, F.lit("</id><title>\n "), X.pick(_PAPER, F.col("doc_id")), F.lit(" </title><summary> of\n"), "lang", F.lit("  text </summary><published>2024-01-0"), (F.col("doc_id") % 9 + 1).cast("string"),
+        F.lit("</published><author><name>"), F.coalesce("source", F.lit("none")), F.lit("</name></author><author><name> B. Author</name></author>"), pdf, F.lit("</entry></feed>"),
+    )
+    fields = {"id": "id", "title": "title", "summary": "summary", "published": "published"}
+    rows = table(spark, d, "documents").select("doc_id", F.explode(readers.all_of(xml, "entry")).alias("e"))
+    flat = lambda c: F.regexp_replace(c, "\\s+", " ")
+    names = F.transform(readers.all_of(F.col("e"), "name"), lambda x: F.trim(x))
+    found = rows.select("doc_id", *(flat(readers.inner(F.col("e"), t)).alias(n) for n, t in fields.items()), F.array_join(names, ",").alias("authors"), F.nullif(F.regexp_extract("e", '<link[^>]*title="pdf"[^>]*href="([^"]+)"', 1), F.lit("")).alias("pdf_url"))
+    return found.where(~S.any_of(F.lower(F.concat_ws(" ", "title", "summary")), IRRELEVANT))
+
+
+_MARKED = X.pick_sql(X.PAGES, "page_id") + " || html"
+
+
+def _markdown_sql() -> str:
+    x = _MARKED
+    for pattern, by in readers.MARKDOWN:
+        x = f"regexp_replace({x}, {Q.text(pattern)}, {Q.text(by.replace('$', chr(92)))}, 'g')"
+    for entity, char in readers.ENTITIES:
+        x = f"replace({x}, {Q.text(entity)}, {Q.text(char)})"
+    for pattern, by in readers.BLANKS:
+        x = f"regexp_replace({x}, {Q.text(pattern)}, {Q.text(by)}, 'g')"
+    title = f"coalesce(nullif(trim(regexp_extract({_MARKED}, '<title>([^<]*)</title>', 1)), ''), 'Untitled')"
+    return f"SELECT page_id, '# ' || {title} || chr(10) || chr(10) || '> Source: ' || url || chr(10) || chr(10) || {x} AS text FROM pages"
+
+
+@query(_markdown_sql())
+def html_to_text(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as Markdown under their title and source: headings, links, lists, emphasis and code stay."""
+    html = F.concat(X.pick(X.PAGES, F.col("page_id")), F.col("html"))
+    title = F.coalesce(F.nullif(F.trim(F.regexp_extract(html, "<title>([^<]*)</title>", 1)), F.lit("")), F.lit("Untitled"))
+    return table(spark, d, "pages").select("page_id", F.concat(F.lit("# "), title, F.lit("\n\n> Source: "), "url", F.lit("\n\n"), readers.markdown(html)).alias("text"))
 
 
 _SHAPE = "items array<struct<full_name: string, stargazers_count: long, html_url: string>>"
@@ -49,16 +147,6 @@ def src_http(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("x.full_name").alias("title"), F.col("x.stargazers_count").alias("stars"), F.col("x.html_url").alias("url"))
 
 
-@query("SELECT s_name AS company, 'Remote' AS location, coalesce(nullif(s_acctbal::INT, 0), 0) > 0 AS paid FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT c_name, 'Remote', true FROM customer WHERE c_acctbal > 9000")
-def src_free_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """Two job APIs of unlike shapes as JSON, mapped to one schema."""
-    a = table(spark, d, "supplier").where("s_acctbal > 0").select(F.to_json(F.struct(F.struct(F.col("s_name").alias("name")).alias("company"), F.col("s_acctbal").alias("pay"))).alias("j"))
-    b = table(spark, d, "customer").where("c_acctbal > 9000").select(F.to_json(F.struct(F.col("c_name").alias("employer"))).alias("j"))
-    x = a.select(F.from_json("j", "company struct<name: string>, pay double").alias("x")).select(F.col("x.company.name").alias("company"), (F.round("x.pay") > 0).alias("paid"))
-    y = b.select(F.get_json_object("j", "$.employer").alias("company"), F.lit(True).alias("paid"))
-    return x.unionByName(y).select("company", F.lit("Remote").alias("location"), "paid")
-
-
 @query("SELECT user_id AS k, count(*) AS n FROM events GROUP BY user_id ORDER BY k LIMIT 100")
 def st_skiplist(spark: SparkSession, d: str) -> DataFrame:
     """The smallest keys of a sorted map."""

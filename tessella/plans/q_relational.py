@@ -80,11 +80,6 @@ def filt_content(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", F.round(0.5 * F.when(F.col("u").contains("example.org"), 1.3).otherwise(1.0), 6).alias("score"))
 
 
-@query("SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0")
-def filt_zero_vec(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").where(F.exists("embedding", lambda x: x != 0)).select("vec_id")
-
-
 @query(f"SELECT conv_id, turn, CASE WHEN regexp_matches(q, {Q.text(W.OFF_TOPIC)}) THEN 'off_topic_blocked' WHEN {Q.any_of('q', W.ON_TOPIC)} THEN 'on_topic' WHEN length(q) < 20 OR regexp_matches(q, {Q.text(W.GREETING)}) THEN 'greeting_short' ELSE 'general_query' END AS reason FROM (SELECT conv_id, turn, trim(lower(text)) AS q FROM conversations)")
 def filt_scope(spark: SparkSession, d: str) -> DataFrame:
     q = F.trim(F.lower("text"))
@@ -204,12 +199,6 @@ def join_contains(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(n, F.col("c_name").contains(F.col("n_nationkey").cast("string"))).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT a.n_name AS a, b.r_name AS b FROM nation a JOIN region b ON contains(lower(a.n_name), lower(b.r_name)) OR contains(lower(b.r_name), lower(a.n_name)) OR contains(lower(a.n_name), substr(lower(b.r_name), 1, 2))")
-def join_contains_bi(spark: SparkSession, d: str) -> DataFrame:
-    a, b = F.lower("n_name"), F.lower("r_name")
-    return table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), a.contains(b) | b.contains(a) | a.contains(F.substring(b, 1, 2))).select(F.col("n_name").alias("a"), F.col("r_name").alias("b"))
-
-
 @query("SELECT c_custkey, n_name, r_name FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND c_acctbal > 0")
 def join_datalog(spark: SparkSession, d: str) -> DataFrame:
     from tessella.operators.datalog import Atom, body
@@ -371,13 +360,6 @@ def agg_pref(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.col("lang").alias("query_type"), "source").join(table(spark, d, "labels"), "doc_id").groupBy("query_type", "source").agg(F.round(F.avg("quality"), 6).alias("score"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT n_name AS agent, coalesce(calls, 0) AS calls, last IS NULL OR last < {ASOF} - INTERVAL 7 DAY AS unused FROM nation LEFT JOIN (SELECT user_id, count(*) AS calls, max(ts) AS last FROM events GROUP BY 1) ON n_nationkey = user_id")
-def agg_usage(spark: SparkSession, d: str) -> DataFrame:
-    u = events(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"), F.max("us").alias("last"))
-    j = table(spark, d, "nation").join(u, F.col("n_nationkey") == F.col("user_id"), "left")
-    return j.select(F.col("n_name").alias("agent"), F.coalesce("calls", F.lit(0)).alias("calls"), (F.col("last").isNull() | (F.col("last") < NOW_US - 7 * DAY)).alias("unused"))
-
-
 @query("SELECT event_type AS arm, round(sum(least(1, value / 100)), 4) AS successes, count(*) AS trials, round(avg(least(1, value / 100)), 6) AS reward FROM events GROUP BY 1")
 def agg_bandit(spark: SparkSession, d: str) -> DataFrame:
     r = F.least(F.lit(1.0), F.col("value") / 100)
@@ -551,9 +533,3 @@ def set_merge_graph(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy_edges(spark, d).unionByName(trade_edges(spark, d).select("source", "target")).distinct()
 
 
-@query("WITH w AS (SELECT item_id, list_distinct(string_split_regex(lower(text), '\\s+')) AS ws FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.ws, b.ws))::DOUBLE / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))), 6) AS j FROM w a JOIN w b ON a.item_id < b.item_id WHERE len(list_intersect(a.ws, b.ws))::DOUBLE / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))) > 0.1")
-def set_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    from tessella.operators.similarity import jaccard_pairs
-
-    w = table(spark, d, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), "\\s+")).alias("ws"))
-    return jaccard_pairs(w, "item_id", "ws", 0.1).select("a", "b", F.round("j", 6).alias("j"))

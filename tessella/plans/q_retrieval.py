@@ -124,33 +124,6 @@ def ret_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return R.fuse([(a, 0.5), (b, 0.5)], [], "id").select("id", F.round("score", 6).alias("score"), "lists").orderBy(F.desc("score"), "id").limit(20)
 
 
-@query(f"""WITH {BM25_SQL}, l AS (SELECT * FROM {VEC_LIST} UNION ALL SELECT * FROM {KEYWORD}), f AS (SELECT id, sum(1.0 / (60 + rank)) AS s FROM l GROUP BY id), p AS (SELECT c_custkey AS id, c_acctbal AS pr FROM customer)
- SELECT id, round(s * (1 + 0.15 * greatest(coalesce(pr, 0), 0) / (SELECT max(pr) FROM p)), 6) AS score FROM f LEFT JOIN p USING (id)""")
-def ret_rag_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _lists(spark, d)
-    p = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("pr"))
-    most = p.agg(F.max("pr").alias("most"))
-    f = R.fuse([(a, 1.0), (b, 1.0)], [], "id").join(p, "id", "left").crossJoin(F.broadcast(most))
-    return f.select("id", F.round(F.col("score") * (1 + 0.15 * F.greatest(F.coalesce("pr", F.lit(0.0)), F.lit(0.0)) / F.col("most")), 6).alias("score"))
-
-
-@query("""WITH q AS (SELECT vec_id AS query, 't' || vec_id AS t, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), c AS (SELECT vec_id + 1000000 AS entry, 'T' || (vec_id + (vec_id % 40)) || ' ' AS text, embedding::DOUBLE[] AS v, label / 10.0 AS tier FROM embeddings),
- e AS (SELECT query, min(entry) AS entry FROM q JOIN c ON trim(lower(text)) = t GROUP BY query),
- n AS (SELECT query, arg_max(entry, (s, -entry)) AS entry, max(s) AS s, arg_max(tier, (s, -entry)) AS tier FROM (SELECT query, entry, tier, round(list_cosine_similarity(q, v), 9) AS s FROM q, c WHERE query NOT IN (SELECT query FROM e)) GROUP BY query)
- SELECT query, entry, 1.0::DOUBLE AS similarity, 'exact' AS tier, 1.0::DOUBLE AS effective FROM e UNION ALL SELECT query, entry, round(s, 6), 'semantic', round(s * (0.7 + 0.3 * tier), 6) FROM n WHERE s >= 0.92""")
-def ret_sem_cache(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.concat(F.lit("t"), "vec_id").alias("q_text"), F.col("embedding").alias("q"))
-    c = e.select((F.col("vec_id") + 1000000).alias("entry"), F.concat(F.lit("T"), F.col("vec_id") + F.col("vec_id") % 40, F.lit(" ")).alias("text"), F.col("embedding").alias("vector"), (F.col("label") / 10.0).alias("tier_weight"))
-    return R.cached_answers(q, c).select("query", "entry", F.round("similarity", 6).alias("similarity"), "tier", F.round("effective", 6).alias("effective"))
-
-
-@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS r FROM events WHERE ts >= TIMESTAMP '2024-02-01' - INTERVAL 20 DAY) WHERE r <= 500")
-def ret_cache_evict(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).where(F.col("us") >= 1706745600000000 - 20 * 86400000000)
-    return e.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("us")))).where("r <= 500").select("event_id")
-
-
 @query("SELECT vec_id, label, intent, round(s, 6) AS score FROM (SELECT e.vec_id, e.label, arg_max(q.label, (round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9), -q.vec_id)) AS intent, max(round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9)) AS s FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)) q GROUP BY ALL)")
 def ret_intent(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
@@ -159,14 +132,6 @@ def ret_intent(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("vec_id", "label").agg(F.max_by("intent", F.struct("s", -F.col("x"))).alias("intent"), F.round(F.max("s"), 6).alias("score"))
 
 
-@query("SELECT url, arg_min(src, pos) AS src, round(arg_min(score, pos), 6) AS score FROM (SELECT url, 'a' AS src, page_id % 10 / 10.0 AS score, page_id AS pos FROM pages UNION ALL SELECT url, 'b', 0.5, page_id + 1000000 FROM pages) GROUP BY url")
-def ret_federated(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages")
-    a = p.select("url", F.lit("a").alias("src"), (F.col("page_id") % 10 / 10.0).alias("score"), F.col("page_id").alias("pos"))
-    b = p.select("url", F.lit("b").alias("src"), F.lit(0.5).alias("score"), (F.col("page_id") + 1000000).alias("pos"))
-    return a.unionByName(b).groupBy("url").agg(F.min_by("src", "pos").alias("src"), F.round(F.min_by("score", "pos"), 6).alias("score"))
-
-
 @query("SELECT doc_id FROM documents WHERE contains(text, 'Apache')")
 def ret_fallback3(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")

@@ -53,26 +53,6 @@ def src_json_nested(spark: SparkSession, d: str) -> DataFrame:
     return cats.select(F.col("c.category").alias("category"), F.explode("c.items").alias("i")).select("category", F.col("i.item").alias("item"), F.coalesce("i.url", F.lit("")).alias("url"))
 
 
-@query("SELECT page_id, (i - 1)::INT AS pos, trim(regexp_replace(x[i], '<[^>]+>', '', 'g')) AS item FROM (SELECT page_id, regexp_extract_all(html, '<li>([^\\n]*?)</li>', 1) AS x, unnest(range(1, len(regexp_extract_all(html, '<li>([^\\n]*?)</li>', 1)) + 1)) AS i FROM pages)")
-def src_html_table(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "pages").select("page_id", F.posexplode(Rd.all_of(F.col("html"), "li")).alias("pos", "x"))
-    return rows.select("page_id", "pos", F.trim(Rd.strip_tags(F.col("x"))).alias("item"))
-
-
-@query("SELECT page_id, 0 AS pos, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, url AS link FROM pages")
-def src_rss(spark: SparkSession, d: str) -> DataFrame:
-    feed = F.concat(F.lit("<rss><item><title>"), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("</title><link> "), F.col("url"), F.lit(" </link></item></rss>"))
-    found = Rd.items(table(spark, d, "pages").select("page_id", feed.alias("x")), "page_id", "x", "item", {"title": "title", "link": "link"})
-    return found
-
-
-@query("SELECT doc_id, 'id' || doc_id AS id, lang AS title, source AS author FROM documents WHERE lang <> 'de'")
-def src_atom(spark: SparkSession, d: str) -> DataFrame:
-    xml = F.concat(F.lit("<feed><entry><id>id"), F.col("doc_id"), F.lit("</id><title> "), F.col("lang"), F.lit(" </title><author><name>"), F.col("source"), F.lit("</name></author></entry></feed>"))
-    found = Rd.items(table(spark, d, "documents").select("doc_id", xml.alias("x")), "doc_id", "x", "entry", {"id": "id", "title": "title", "author": "name"})
-    return found.where("title <> 'de'").drop("pos")
-
-
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
 def src_fallback(spark: SparkSession, d: str) -> DataFrame:
     from tessella.operators.retrieval import fallback
@@ -81,11 +61,6 @@ def src_fallback(spark: SparkSession, d: str) -> DataFrame:
     return fallback([o.where("o_orderstatus = 'absent'").select("o_orderkey"), o.where("o_orderstatus = 'F'").select("o_orderkey"), o.select("o_orderkey")])
 
 
-@query()
-def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", Rd.html_text(F.col("html")).alias("text"))
-
-
 @query("SELECT o_orderkey AS k, CASE WHEN o_orderpriority = '1-URGENT' THEN 'new' ELSE o_orderstatus END AS v FROM orders")
 def sink_upsert(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
@@ -171,43 +146,6 @@ def sq_decay_apply(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("new", S.decayed(F.col("s"), F.col("days"), "category_affinity")).where(F.abs(F.col("new") - F.col("s")) > 0.001).select("user_id", "category", F.round("s", 6).alias("old"), "new")
 
 
-@query("""SELECT user_id, round(list_reduce(list(CASE WHEN value > 50 THEN greatest(0.0, 1 - value * 100 / 20000) ELSE 0.0::DOUBLE END ORDER BY ts), lambda s, x: 0.85 * s + 0.15 * x, 0.5::DOUBLE), 6) AS speed,
- sum((value > 50)::INT)::BIGINT AS correct, count(*) AS asked FROM events GROUP BY user_id""")
-def sq_quiz_update(spark: SparkSession, d: str) -> DataFrame:
-    x = F.when(F.col("value") > 50, F.greatest(F.lit(0.0), 1 - F.col("value") * 100 / 20000)).otherwise(0.0)
-    e = O.ordered(events(spark, d).withColumn("x", x).withColumn("ok", (F.col("value") > 50).cast("long")), ["user_id"], "us", "x", "ok")
-    return e.select("user_id", F.round(F.aggregate("rows", F.lit(0.5), lambda s, r: 0.85 * s + 0.15 * r["x"]), 6).alias("speed"), F.aggregate("rows", F.lit(0).cast("long"), lambda s, r: s + r["ok"]).alias("correct"), F.size("rows").cast("long").alias("asked"))
-
-
-@query("""WITH o AS (SELECT user_id, list({'us': epoch_us(ts), 'r': CASE WHEN value > 70 THEN 4.0 WHEN value > 40 THEN 3.0 ELSE 1.0 END} ORDER BY ts) AS e FROM events GROUP BY user_id),
- s AS (SELECT user_id, list_reduce(list_transform(e, lambda x: x.r::DOUBLE), lambda s, r: greatest(0.1, least(3650.0, CASE WHEN r = 1 THEN 0.94 * pow(s, -0.05) * (exp(0.1 * 0.34) - 1) WHEN r = 3 THEN s * (1 + 1.49 * pow(5.0, -0.14) * pow(s, 0.4) * (exp((1 - exp(ln(0.9) / s)) * 0.6) - 1)) ELSE s * 2.4 * (1 + 1.49 * pow(5.0, -0.14) * pow(s, 0.4) * (exp((1 - exp(ln(0.9) / s)) * 0.6) - 1)) END)), 1.0::DOUBLE) AS stability FROM o)
- SELECT user_id, round(stability, 4) AS stability FROM s""")
-def sq_fsrs_review(spark: SparkSession, d: str) -> DataFrame:
-    r = F.when(F.col("value") > 70, 4).when(F.col("value") > 40, 3).otherwise(1)
-    e = O.ordered(events(spark, d).withColumn("r", r), ["user_id"], "us", "r")
-    fold = F.aggregate("rows", F.lit(1.0), lambda s, x: S.fsrs(s, F.lit(5.0), x["r"], F.lit(1.0))["stability"])
-    return e.select("user_id", F.round(fold, 4).alias("stability"))
-
-
-@query("SELECT space, count(*) AS n, md5(substr(string_agg(md5(text), chr(10) ORDER BY doc_id), 1, 4000)) AS digest FROM (SELECT *, CASE WHEN lang IN ('de', 'es') THEN 'daily' WHEN lang = 'fr' THEN 'system' ELSE 'academic' END AS space FROM documents WHERE n_chars > 15000) GROUP BY space")
-def sq_consolidate(spark: SparkSession, d: str) -> DataFrame:
-    return consolidated(table(spark, d, "documents").where("n_chars > 15000"))
-
-
-@query()
-def sq_consolidate_all(spark: SparkSession, d: str) -> DataFrame:
-    return consolidated(table(spark, d, "documents"))
-
-
-def consolidated(docs: DataFrame) -> DataFrame:
-    space = F.when(F.col("lang").isin("de", "es"), "daily").when(F.col("lang") == "fr", "system").otherwise("academic")
-    # the text of a space ends at 4000 characters: the first 124 digests of 32 and a line end fill it
-    ranked = docs.select(space.alias("space"), "doc_id", F.md5("text").alias("h"))
-    n = ranked.groupBy("space").agg(F.count(F.lit(1)).alias("n"))
-    first = O.first_of(ranked, ["space"], ["doc_id"], 124).groupBy("space").agg(F.array_sort(F.collect_list(F.struct("doc_id", "h"))).alias("hs"))
-    return n.join(first, "space").select("space", "n", F.md5(F.substring(F.array_join(F.col("hs.h"), "\n"), 1, 4000)).alias("digest"))
-
-
 @query("SELECT event_id, ts < TIMESTAMP '2024-02-01' - INTERVAL 14 DAY AS archived FROM events")
 def sq_archive(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", (F.col("us") < NOW_US - int(14 * DAY)).alias("archived"))
@@ -265,11 +203,6 @@ def st_queue(spark: SparkSession, d: str) -> DataFrame:
     return O.first_of(events(spark, d), ["user_id"], [F.desc("us")], 100).select("event_id")
 
 
-@query("SELECT user_id, event_type, floor(epoch_us(ts) / 5000000)::BIGINT AS slot, min(event_id) AS event_id FROM events GROUP BY ALL")
-def st_coalesce(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).groupBy("user_id", "event_type", F.floor(F.col("us") / 5000000).alias("slot")).agg(F.min("event_id").alias("event_id"))
-
-
 @query()
 def st_bloom(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
@@ -286,12 +219,6 @@ def sm_ratelimit(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", F.count(F.lit(1)).over(w).alias("demand"))
 
 
-@query()
-def sm_dedup_ttl(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list("us")).alias("t"))
-    return e.select("user_id", "event_type", F.size(O.accepted(F.col("t"), 86400000000)).alias("accepted"))
-
-
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS most FROM events GROUP BY ALL")
 def sm_metrics(spark: SparkSession, d: str) -> DataFrame:
     from tessella.streaming.windows import metrics
@@ -326,39 +253,9 @@ def sm_p95(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
 
 
-@query()
-def sm_breaker(spark: SparkSession, d: str) -> DataFrame:
-    e = O.ordered(events(spark, d).withColumn("bad", F.col("event_type") == "error"), ["user_id"], "us", "bad")
-    start = F.struct(F.lit(0).alias("fails"), F.lit(0).cast("long").alias("since"), F.lit(0).alias("rejected"))
-
-    def step(s, r):
-        is_open = (s["fails"] >= 5) & (r["us"] - s["since"] <= 30_000_000)
-        fails = F.when(is_open, s["fails"]).when(r["bad"], F.when(s["fails"] >= 5, 1).otherwise(s["fails"] + 1)).otherwise(0)
-        return F.struct(fails.alias("fails"), F.when(~is_open & r["bad"], r["us"]).otherwise(s["since"]).alias("since"), (s["rejected"] + is_open.cast("int")).alias("rejected"))
-
-    return e.select("user_id", F.aggregate("rows", start, step).alias("s")).select("user_id", "s.fails", "s.rejected")
-
-
 # Other kernels
 
 
-@query()
-def x_traffic_sim(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.range(120).select((F.col("id") * 30).alias("t"))
-    noise = F.randn(7)
-    spike = F.md5(F.floor(F.col("t") / 300).cast("string")) < "2"
-    rps = F.greatest(F.round(F.greatest(F.lit(0.0), 100 + 15 * noise)), F.when(spike, 3530).otherwise(0))
-    s = t.select("t", rps.cast("int").alias("rps"))
-    return s.select("t", "rps", F.least(F.lit(99), F.round(20 + F.col("rps") / 1000 * 8)).cast("int").alias("cpu"), F.least(F.lit(98), F.round(30 + F.col("rps") / 5000 * 50)).cast("int").alias("memory"))
-
-
-@query("SELECT event_id, round(value, 6) AS value FROM events WHERE value > 2 * (SELECT avg(value) FROM events) OR event_type = 'error' ORDER BY ts LIMIT 10")
-def x_metric_summary(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d)
-    mean = F.broadcast(e.agg(F.avg("value").alias("mean")))
-    return e.crossJoin(mean).where("value > 2 * mean OR event_type = 'error'").orderBy("us").limit(10).select("event_id", F.round("value", 6).alias("value"))
-
-
 @query("SELECT user_id % 10 AS round, event_id % 2 AS contestant, round(avg(value), 6) AS latency, count(*) FILTER (event_type = 'purchase') AS successes FROM events GROUP BY ALL")
 def x_round_metrics(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy((F.col("user_id") % 10).alias("round"), (F.col("event_id") % 2).alias("contestant")).agg(F.round(F.avg("value"), 6).alias("latency"), F.sum((F.col("event_type") == "purchase").cast("long")).alias("successes"))
@@ -389,27 +286,6 @@ def x_error_pattern(spark: SparkSession, d: str) -> DataFrame:
     return some.unionByName(none)
 
 
-@query()
-def x_topic_ttl(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).groupBy("event_type").agg(F.array_sort(F.collect_set(F.floor(F.col("us") / 60_000_000) * 60_000_000)).alias("t"))
-    return e.select("event_type", F.size(O.accepted(F.col("t"), int(DAY))).alias("accepted"))
-
-
-@query()
-def x_user_query_ttl(spark: SparkSession, d: str) -> DataFrame:
-    q = F.md5(F.lower(F.trim("event_type")))
-    e = events(spark, d).groupBy("user_id", q.alias("q")).agg(F.array_sort(F.collect_list("us")).alias("t"))
-    return e.select("user_id", "q", F.size(O.accepted(F.col("t"), 3_600_000_000)).alias("accepted"))
-
-
-@query("SELECT user_id, asked, round(correct * 100.0 / asked, 4) AS accuracy, array_to_string(top, ',') AS top FROM (SELECT user_id, sum(n)::BIGINT AS asked, sum(c)::BIGINT AS correct, list(event_type ORDER BY c::DOUBLE / n DESC, event_type)[1:3] AS top FROM (SELECT user_id, event_type, count(*) AS n, sum((value > 50)::INT) AS c FROM events GROUP BY ALL) GROUP BY user_id)")
-def x_profile_totals(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("value") > 50).cast("int")).alias("c"))
-    best = F.array_sort(F.collect_list(F.struct((-(F.col("c") / F.col("n"))).alias("a"), "event_type")))
-    p = t.groupBy("user_id").agg(F.sum("n").alias("asked"), F.sum("c").alias("correct"), best.alias("b"))
-    return p.select("user_id", "asked", F.round(F.col("correct") * 100.0 / F.col("asked"), 4).alias("accuracy"), F.array_join(F.slice("b.event_type", 1, 3), ",").alias("top"))
-
-
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey)::INT AS place FROM orders")
 def x_dag_order(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderpriority", "o_orderkey")).alias("place"))

@@ -13,7 +13,8 @@ from tessella.plans import _sql as Q
 from tessella.plans.registry import query
 from tessella.sources.tables import table
 
-TURN = F.col("conv_id") + F.col("turn")
+def turn_number() -> Column:
+    return F.col("conv_id") + F.col("turn")
 
 
 def flag(c: Column) -> Column:
@@ -32,7 +33,7 @@ _PERSONA_TEXT = f"(CASE WHEN (conv_id + turn) % {len(X.PERSONA)} = 0 THEN '' ELS
  SELECT conv_id, turn, CASE WHEN q <> '' AND a > 0.4 AND a > b THEN 'THERAPIST' ELSE 'TECHNICAL' END AS persona, round(CASE WHEN q = '' THEN 0 WHEN a > 0.4 AND a > b THEN a WHEN b > 0.5 THEN b ELSE 0.5 END, 6)::DOUBLE AS confidence,
  CASE WHEN q = '' THEN 'empty_input' WHEN a > 0.4 AND a > b THEN 'matched ' || th || ' therapist patterns' WHEN b > 0.5 THEN 'matched ' || te || ' technical patterns' ELSE 'default_to_technical' END AS reason FROM s""")
 def sc_persona(spark: SparkSession, d: str) -> DataFrame:
-    q = F.when(TURN % len(X.PERSONA) == 0, "").otherwise(F.lower(F.concat(X.pick(X.PERSONA, TURN), F.lit(" "), F.substring("text", 1, 40))))
+    q = F.when(turn_number() % len(X.PERSONA) == 0, "").otherwise(F.lower(F.concat(X.pick(X.PERSONA, turn_number()), F.lit(" "), F.substring("text", 1, 40))))
     t = table(spark, d, "conversations").select("conv_id", "turn", q.alias("q"))
     count = lambda ps: sum((flag(F.col("q").rlike(S.ascii_bounds(p))) for p in ps), F.lit(0))
     t = t.withColumn("th", count(W.PERSONA_THERAPIST)).withColumn("te", count(W.PERSONA_TECHNICAL))
@@ -54,7 +55,7 @@ _QUESTION = f"trim(lower(CASE WHEN turn % 2 = 0 THEN {X.pick_sql(X.QUESTIONS, 'c
  r AS (SELECT *, {Q.case([('m = 0', '')] + [(f'{n} = m', n) for n in _NAMES], "''")} AS d, concat_ws(',', CASE WHEN s THEN 'short' END, CASE WHEN l THEN 'long' END, CASE WHEN k THEN 'many' END, CASE WHEN m = 0 AND t THEN 'vague' END) AS issues FROM m)
  SELECT conv_id, turn, round(greatest(0.0, 1 - 0.2 * (s::INT + l::INT + k::INT + (m = 0 AND t)::INT)), 6)::DOUBLE AS score, issues, nullif(d, '') AS domain, issues <> '' AND d <> '' AS improved, {Q.case([(f"d = '{n}'", c) for n, c in W.QUERY_CATEGORIES], 'NULL')} AS category FROM r""")
 def sc_query_quality(spark: SparkSession, d: str) -> DataFrame:
-    asked = X.pick(X.QUESTIONS, TURN)
+    asked = X.pick(X.QUESTIONS, turn_number())
     q = F.trim(F.lower(F.when(F.col("turn") % 2 == 0, asked).otherwise(F.concat(asked, F.lit(" "), F.substring("text", 1, 60)))))
     t = table(spark, d, "conversations").select("conv_id", "turn", q.alias("q"))
     t = t.select("*", *(S.count_of(F.col("q"), w).alias(n) for n, w in W.QUERY_DOMAINS)).withColumn("m", F.greatest(*_NAMES)).withColumn("n", F.length("q"))
@@ -79,12 +80,13 @@ def entities(text: Column) -> Column:
 
 
 _ASKED = f"({X.pick_sql(X.ENTITIES, 'item_id')} || ' ' || text)"
+#: Of a text t: the list e of all entities, with repeats, and the distinct ones of it.
+ALL_ENTITIES = f"""list_concat(list_concat(list_filter(regexp_extract_all(t, {Q.text(W.ENTITY_NAMES)}), lambda x: length(x) > 2), regexp_extract_all(t, {Q.text(W.ENTITY_TERMS)})),
+  list_filter(string_split_regex(t, '\\s+'), lambda w: length(w) > 4 AND NOT {Q.any_of('lower(w)', W.ENTITY_STOP)})[1:3])"""
+DISTINCT_ENTITIES = "list_filter(e, lambda x, i: list_position(list_transform(e, lambda y: lower(y)), lower(x)) = i)[1:5]"
 
 
-@query(f"""WITH q AS (SELECT item_id, {_ASKED} AS t FROM benchmark), e AS (SELECT item_id, list_concat(list_concat(list_filter(regexp_extract_all(t, {Q.text(W.ENTITY_NAMES)}), lambda x: length(x) > 2), regexp_extract_all(t, {Q.text(W.ENTITY_TERMS)})),
-  list_filter(string_split_regex(t, '\\s+'), lambda w: length(w) > 4 AND NOT {Q.any_of('lower(w)', W.ENTITY_STOP)})[1:3]) AS e FROM q),
- l AS (SELECT item_id, e, list_transform(e, lambda y: lower(y)) AS y FROM e)
- SELECT item_id, array_to_string(list_filter(e, lambda x, i: list_position(y, lower(x)) = i)[1:5], '|') AS entities FROM l""")
+@query(f"WITH q AS (SELECT item_id, {_ASKED} AS t FROM benchmark), e AS (SELECT item_id, {ALL_ENTITIES} AS e FROM q) SELECT item_id, array_to_string({DISTINCT_ENTITIES}, '|') AS entities FROM e")
 def sc_ner_regex(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat(X.pick(X.ENTITIES, F.col("item_id")), F.lit(" "), F.col("text"))
     return table(spark, d, "benchmark").select("item_id", F.array_join(entities(t), "|").alias("entities"))

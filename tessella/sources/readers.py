@@ -17,8 +17,13 @@ def all_of(text: Column, tag: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"<{tag}(?:\\s[^>]*)?>([\\s\\S]*?)</{tag}>"), F.lit(1))
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, "^\\s+|\\s+$", "")
+
+
 def inner(text: Column, tag: str) -> Column:
-    return F.trim(F.regexp_extract(text, f"<{tag}(?:\\s[^>]*)?>([\\s\\S]*?)</{tag}>", 1))
+    return trimmed(F.regexp_extract(text, f"<{tag}(?:\\s[^>]*)?>([\\s\\S]*?)</{tag}>", 1))
 
 
 def strip_tags(text: Column) -> Column:
@@ -33,7 +38,8 @@ def items(df: DataFrame, key: str, xml: str, tag: str, fields: dict[str, str]) -
 
 def html_rows(df: DataFrame, key: str, html: str) -> DataFrame:
     """key, pos, cells, link of every table row that has cells."""
-    rows = df.select(key, F.posexplode(all_of(F.col(html), "tr")).alias("pos", "_r"))
+    body = F.regexp_extract(F.col(html), "<tbody>([\\s\\S]*?)</tbody>", 1)
+    rows = df.select(key, F.posexplode(all_of(F.when(body != "", body).otherwise(F.col(html)), "tr")).alias("pos", "_r"))
     rows = rows.withColumn("cells", F.transform(all_of(F.col("_r"), "td"), lambda c: F.trim(strip_tags(c)))).where("size(cells) > 0")
     return rows.select(key, "pos", "cells", F.regexp_extract("_r", 'href="([^"]+)"', 1).alias("link"))
 
@@ -49,6 +55,28 @@ def html_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, " ?\\n[ \\n]*", "\n"), "^\\s+|\\s+$", "")
 
 
+#: Steps from HTML to Markdown, in order; none looks behind or ahead.
+MARKDOWN = [
+    *((f"(?is)<{t}(\\s[^>]*)?>.*?</{t}>", " ") for t in ("head", "script", "style", "nav", "footer", "header", "aside")),
+    ("(?is)<pre(\\s[^>]*)?>\\s*<code(\\s[^>]*)?>(.*?)</code>\\s*</pre>", "\n\n```\n$3\n```\n\n"), ("(?is)<code(\\s[^>]*)?>(.*?)</code>", "`$2`"),
+    ("(?is)<(strong|b)(\\s[^>]*)?>(.*?)</(strong|b)>", "**$3**"), ("(?is)<(em|i)(\\s[^>]*)?>(.*?)</(em|i)>", "_$3_"), ('(?is)<a\\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"),
+    *((f"(?is)<h{n}(\\s[^>]*)?>(.*?)</h{n}>", "\n\n" + "#" * n + " $2\n\n") for n in range(1, 7)), ("(?is)<li(\\s[^>]*)?>(.*?)</li>", "\n- $2\n"), ("(?i)</(p|div|tr|ul|ol|table)>|<br\\s*/?>", "\n\n"), ("<[^>]+>", ""),
+]
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+BLANKS = [("[ \\t]+", " "), (" ?\\n ?", "\n"), ("\\n{3,}", "\n\n"), ("^\\s+|\\s+$", "")]
+
+
+def markdown(html: Column) -> Column:
+    """Markdown of a page: no head, scripts, styles or navigation; headings, links, lists, emphasis and code stay."""
+    for pattern, by in MARKDOWN:
+        html = F.regexp_replace(html, pattern, by)
+    for entity, char in ENTITIES:
+        html = F.replace(html, F.lit(entity), F.lit(char))
+    for pattern, by in BLANKS:
+        html = F.regexp_replace(html, pattern, by)
+    return html
+
+
 def table_of_contents(df: DataFrame, key: str, order: str, kind: str, text: str) -> DataFrame:
     """Entries with the last heading above them as ``parent``."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,9 @@ def write_versioned(df: DataFrame, folder: str, version: str) -> str:
     path = f"{folder.rstrip('/')}/version={version}"
     df.write.mode("errorifexists").parquet(path)
     return path
+
+
+def drop_version(spark: SparkSession, folder: str, version: str) -> None:
+    """Delete what a broken write has left of a version."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/version={version}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
