@@ -94,8 +94,8 @@ IRRELEVANT = [
 _PAPER = ["On sorting", "A cosmic ray survey", "Deep  nets\n again", "Aerosol and code"]
 
 
-@query(f"""SELECT doc_id, 'http://papers.example/' || doc_id AS id, regexp_replace(trim(t), '\s+', ' ', 'g') AS title, 'of ' || lang || ' text' AS summary, '2024-01-0' || (doc_id % 9 + 1) AS published, coalesce(source, 'none') || ',B. Author' AS authors, CASE WHEN doc_id % 2 = 0 THEN 'http://papers.example/' || doc_id || '.pdf' END AS pdf_url
- FROM (SELECT *, {X.pick_sql(_PAPER, 'doc_id')} AS t FROM documents) WHERE NOT {Q.any_of("lower(regexp_replace(t, '\s+', ' ', 'g') || ' of ' || lang || ' text')", IRRELEVANT)}""")
+@query(f"""SELECT doc_id, 'http://papers.example/' || doc_id AS id, regexp_replace(trim(t), '\\s+', ' ', 'g') AS title, 'of ' || lang || ' text' AS summary, '2024-01-0' || (doc_id % 9 + 1) AS published, coalesce(source, 'none') || ',B. Author' AS authors, CASE WHEN doc_id % 2 = 0 THEN 'http://papers.example/' || doc_id || '.pdf' END AS pdf_url
+ FROM (SELECT *, {X.pick_sql(_PAPER, 'doc_id')} AS t FROM documents) WHERE NOT {Q.any_of("lower(regexp_replace(t, '\\s+', ' ', 'g') || ' of ' || lang || ' text')", IRRELEVANT)}""")
 def src_atom(spark: SparkSession, d: str) -> DataFrame:
     """Papers of a feed: id, title, summary, date, authors and file; those of other subjects are left out."""
     k = F.col("doc_id").cast("string")

@@ -146,6 +146,17 @@ def sq_decay_apply(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("new", S.decayed(F.col("s"), F.col("days"), "category_affinity")).where(F.abs(F.col("new") - F.col("s")) > 0.001).select("user_id", "category", F.round("s", 6).alias("old"), "new")
 
 
+@query()
+def sq_consolidate_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's digest, by language in three spaces; of each space the first 4000 characters."""
+    space = F.when(F.col("lang").isin("de", "es"), "daily").when(F.col("lang") == "fr", "system").otherwise("academic")
+    # 124 digests of 32 and a line end fill a space
+    ranked = table(spark, d, "documents").select(space.alias("space"), "doc_id", F.md5("text").alias("h"))
+    n = ranked.groupBy("space").agg(F.count(F.lit(1)).alias("n"))
+    first = O.first_of(ranked, ["space"], ["doc_id"], 124).groupBy("space").agg(F.array_sort(F.collect_list(F.struct("doc_id", "h"))).alias("hs"))
+    return n.join(first, "space").select("space", "n", F.md5(F.substring(F.array_join(F.col("hs.h"), "\n"), 1, 4000)).alias("digest"))
+
+
 @query("SELECT event_id, ts < TIMESTAMP '2024-02-01' - INTERVAL 14 DAY AS archived FROM events")
 def sq_archive(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", (F.col("us") < NOW_US - int(14 * DAY)).alias("archived"))
@@ -305,7 +316,7 @@ SQLPASS = {
     "sqlpass_join": "SELECT n_name, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "sqlpass_left": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
     "sqlpass_semi": "SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49)",
-    "sqlpass_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "sqlpass_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
     "sqlpass_having": "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING count(*) > 590",
     "sqlpass_case": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band FROM orders",
     "sqlpass_distinct": "SELECT DISTINCT p_brand, p_type FROM part",
@@ -314,7 +325,7 @@ SQLPASS = {
     "sqlpass_except": "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 40",
     "sqlpass_window": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 2",
     "sqlpass_topk": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 25",
-    "sqlpass_like": "SELECT p_partkey FROM part WHERE p_type LIKE '%A%' AND p_name LIKE '%1%'",
+    "sqlpass_like": "SELECT p_partkey FROM part WHERE p_type LIKE '%A%' AND p_name LIKE '%old%'",
     "sqlpass_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "sqlpass_date": "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n FROM orders GROUP BY 1, 2",
 }

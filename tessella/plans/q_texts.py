@@ -218,13 +218,13 @@ _LOG_TYPE = Q.case([(f"regexp_matches(lower(line), {Q.text(p)})", t) for p, t, _
 _LOG_SEVERITY = Q.case([(f"regexp_matches(lower(line), {Q.text(p)})", s) for p, _, s in W.LOG_RULES], "NULL")
 
 
-@query(f"""WITH l AS (SELECT user_id, event_id, {_LINE} || ' ' || event_id AS line, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events), t AS (SELECT user_id, {_LOG_TYPE} AS type, {_LOG_SEVERITY} AS severity FROM l WHERE r <= 20)
+@query(f"""WITH l AS (SELECT user_id, event_id, {_LINE} || ' ' || event_id AS line, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events), t AS (SELECT user_id, {_LOG_TYPE} AS type, {_LOG_SEVERITY} AS severity FROM l WHERE r <= 4)
  SELECT user_id, count(*) AS lines, count(type) AS errors, count(*) FILTER (severity = 'critical') = 0 AS healthy, array_to_string(list_sort(list_distinct(list(type || ':' || severity) FILTER (type IS NOT NULL))), ',') AS types FROM t GROUP BY user_id""")
 def filt_log(spark: SparkSession, d: str) -> DataFrame:
-    """Each user's log: of the last 20 lines the first rule that fits each, and whether none is critical."""
+    """Each user's log: of the last four lines the first rule that fits each, and whether none is critical."""
     line = F.lower(F.concat(X.pick(X.LOGS, F.col("event_id")), F.lit(" "), F.col("event_id").cast("string")))
     last = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    rows = table(spark, d, "events").select("user_id", line.alias("line"), F.row_number().over(last).alias("r")).where("r <= 20")
+    rows = table(spark, d, "events").select("user_id", line.alias("line"), F.row_number().over(last).alias("r")).where("r <= 4")
     rule = F.when(F.lit(False), F.struct(F.lit("").alias("type"), F.lit("").alias("severity")))
     for p, t, s in W.LOG_RULES:
         rule = rule.when(F.col("line").rlike(p), F.struct(F.lit(t).alias("type"), F.lit(s).alias("severity")))

@@ -33,3 +33,27 @@ def test_equals_sql(spark, sf, duck, name):
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).columns
     QUERIES[name](spark, sf).toPandas()
+
+
+#: Columns of results that must not have one value only, as the rules they come from have several outcomes.
+DECIDING = {
+    "filt_audit": "risk", "filt_log": "healthy", "sc_persona": "persona", "sc_category": "category", "sc_antipattern": "grade", "sc_complexity": "rating", "sc_cmd_match": "score", "sc_codeblocks": "language",
+    "sc_query_quality": "domain", "x_url_type": "kind", "x_url_bloom": "fresh", "x_domain_rules": "domain", "x_backfill": "changed", "ret_sem_cache": "tier", "ret_federated": "src", "dl_verify": "status",
+    "g_schedule": "hours", "g_mastery": "status", "agg_usage": "unused", "sq_quiz_update": "best_streak", "x_traffic_sim": "event", "x_metric_summary": "part",
+}
+
+
+@pytest.fixture(scope="module")
+def larger():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql_has_rows_and_outcomes(larger, name):
+    rows = larger.execute(SQL[name]).fetchdf()
+    assert len(rows)
+    if name in DECIDING:
+        assert rows[DECIDING[name]].map(str).nunique() > 1
