@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import _text
-from tessella.llm._util import staged
+from tessella.llm._util import slim, staged
 
 #: Words in the broadcast table (17 bytes each).
 HOT = 1_000_000
@@ -251,7 +251,7 @@ def train(table: DataFrame, prior: np.ndarray, steps: int = STEPS) -> np.ndarray
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     sc = df.sparkSession.sparkContext
-    docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"), (split_of(F.col(key), folds) == held).alias("held_out"))
+    docs = slim(df).select(F.col(key).alias("k"), F.col(text).alias("t"), (split_of(F.col(key), folds) == held).alias("held_out"))
     learn = docs.where("NOT held_out").select("t")
     counts = staged(token_counts(learn), "counts")
     vocab, least = vocabulary(counts, learn.count())

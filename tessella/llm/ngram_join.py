@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import _text
 from tessella.llm._graph import components
-from tessella.llm._util import fresh, sampled, staged
+from tessella.llm._util import fresh, sampled, slim, staged
 
 #: Size classes grow by this ratio.
 RATIO = 1.3
@@ -46,7 +46,7 @@ SAMPLE = 4000
 FREQUENT = 50_000
 #: Groups of the R-tree's points, its leaf size, and the n-grams and documents of one chunk.
 GROUPS, LEAF = 64, 24
-CHUNK_NGRAMS, CHUNK_DOCS = 1_500_000, 3000
+CHUNK_NGRAMS, CHUNK_DOCS = 400_000, 1000
 #: Sets of one digest up to which all their pairs are compared by point before clusters are formed.
 FEW = 6
 #: Documents up to which the list of those to verify is broadcast (16 bytes each).
@@ -260,7 +260,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
 def classes_of(df: DataFrame, n: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id of every row; sets are linked from a similarity of ``num / den`` on."""
     kind = df.schema[key].dataType.simpleString()
-    docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    docs = slim(df).select(F.col(key).alias("k"), F.col(text).alias("t"))
     blocks = Blocks(num, den, _frequent(docs, n))
 
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +273,7 @@ def classes_of(df: DataFrame, n: int, num: int, den: int, key: str = "doc_id", t
         seen: set[int] = set()  # copies met by this task give their rows once
         for batch in batches:
             for part in _text.slices(batch, "t"):
-                if len(seen) > 2_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 rows, keys = [], []
                 for s in ngram_sets(part.column("t"), n):

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import _text
+from tessella.llm._util import slim
 
 #: Bound of the labelled rows that fit the forest and its threshold.
 LABELLED_ROWS = 6000
@@ -166,7 +167,7 @@ def _measured(df: DataFrame, key: str, text: str, forest: Forest | None) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("k"), *columns], ["k", *names])
 
     schema = f"k {kind}, " + ", ".join(f"{n} {'long' if n in COUNTS else 'double'}" for n in names)
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
+    return slim(df).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema)
 
 
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = LABELLED_ROWS) -> Forest | None:
@@ -206,4 +207,4 @@ def keep_good(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
                 good &= forest.score(np.array([s for _, s in found])) <= forest.threshold
             yield batch.filter(pa.array(good))
 
-    return df.mapInArrow(run, df.schema)
+    return slim(df).mapInArrow(run, df.schema)

@@ -18,6 +18,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm._util import slim
+
 BATCH_BYTES = 1 << 20
 #: Parts whose counts a worker remembers; the table is emptied when full.
 REMEMBERED = 1_200_000
@@ -149,5 +151,5 @@ def count_tokens(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
                 size = pa.compute.cast(pa.compute.binary_length(part.column("t").fill_null("")), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("k"), size, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["k", "n_bytes", "n_tokens", "over_limit"])
 
-    out = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    out = slim(df).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("k", key)
