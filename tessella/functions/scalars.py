@@ -43,7 +43,7 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 def tokens_bm25(text: Column) -> Column:
     """Lower-cased ASCII words of two or more letters or digits."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9\\s]", " "), "\\s+"), lambda w: F.length(w) > 1)
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
 def tokens_ws(text: Column) -> Column:

@@ -20,10 +20,14 @@ def signatures(vector: Column, dim: int, tables: int, bits: int, seed: int = 3)
 
 
 def ann(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query: str, dim: int, k: int = 10, tables: int = 16, bits: int = 4) -> DataFrame:
-    """The ``k`` nearest among rows whose bucket in some table is the query's or differs from it in one bit."""
-    index = corpus.select(key, vector, F.posexplode(signatures(F.col(vector), dim, tables, bits)).alias("t", "b"))
-    probes = queries.select(query, "q", F.posexplode(signatures(F.col("q"), dim, tables, bits)).alias("t", "own"))
+    """The ``k`` nearest among rows whose bucket in some table is the query's or differs from it in one bit.
+
+    Buckets are joined by keys alone; vectors are fetched for the pairs that met.
+    """
+    index = corpus.select(key, F.posexplode(signatures(F.col(vector), dim, tables, bits)).alias("t", "b"))
+    probes = queries.select(query, F.posexplode(signatures(F.col("q"), dim, tables, bits)).alias("t", "own"))
     near = F.array(F.col("own"), *(F.col("own").bitwiseXOR(F.lit(1 << i).cast("long")) for i in range(bits)))
-    probes = probes.select(query, "q", "t", F.explode(near).alias("b"))
-    met = index.join(probes, ["t", "b"]).dropDuplicates([query, key])
-    return top(met.withColumn("score", cosine(F.col(vector), F.col("q"))), [query], key, k)
+    probes = probes.select(query, "t", F.explode(near).alias("b"))
+    met = index.join(probes, ["t", "b"]).select(query, key).distinct()
+    whole = met.join(corpus.select(key, vector), key).join(queries.select(query, "q"), query)
+    return top(whole.withColumn("score", cosine(F.col(vector), F.col("q"))), [query], key, k)
