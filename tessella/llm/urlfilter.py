@@ -6,7 +6,8 @@ pages.  A batch of URLs is turned into candidate strings (host suffixes at label
 path prefixes of the lengths that rules have); one vectorised binary search finds the keys, and the
 stored full string confirms each hit, so that a hash collision cannot decide a verdict.
 
-A null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed.  Repeated
+A null or empty URL, or one without ``://``, has an empty host and path, fits no rule and is allowed.  A very
+long URL is judged whole: it has a candidate for each label of its host and length of a rule's path.  Repeated
 rows give repeated results; of rules with the same string the last one holds.
 """
 
@@ -24,6 +25,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm._util import fresh
+
 #: Rules in one index: the file stays below a few GB on each executor's disk.
 MAX_RULES = 50_000_000
 
@@ -135,7 +138,10 @@ def _ship(spark: SparkSession, rules: list[Rule]) -> str:
 
 
 def judge_urls(df: DataFrame, rules: list[Rule], url: str = "url", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns ``keep`` of ``df`` with host, path, rule and verdict of ``url``.  No shuffle."""
+    """The columns ``keep`` of ``df`` with host, path, rule and verdict of ``url``.  No shuffle.
+
+    Where ``keep`` has a column of such a name, the new one gets an underscore after it.
+    """
     name = _ship(df.sparkSession, list(rules))
 
     @F.pandas_udf("struct<rule string, verdict string>")
@@ -144,6 +150,8 @@ def judge_urls(df: DataFrame, rules: list[Rule], url: str = "url", keep: tuple[s
             _open[name] = DigestIndex(SparkFiles.get(name))
         return pd.DataFrame(_open[name].judge(hosts, paths), columns=["rule", "verdict"])
 
-    parts = df.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    judged = parts.withColumn("_judged", probe("host", "path"))
-    return judged.select(*keep, "host", "path", F.col("_judged.rule").alias("rule"), F.col("_judged.verdict").alias("verdict"))
+    kept = df.select(*keep)
+    host, path, rule, verdict, judged = (fresh(kept, c) for c in ("host", "path", "rule", "verdict", "_judged"))
+    parts = df.select(*keep, host_of(F.col(url)).alias(host), path_of(F.col(url)).alias(path))
+    found = parts.withColumn(judged, probe(host, path))
+    return found.select(*keep, host, path, F.col(f"{judged}.rule").alias(rule), F.col(f"{judged}.verdict").alias(verdict))

@@ -9,15 +9,18 @@ rows of one URL, however many, are spread over up to ``RANGES`` groups; what a g
 ones is the last response of each, carried over by a second window over at most ``RANGES`` rows a URL.
 
 A null URL has no canonical form and its revisits find nothing.  Of records with equal times the one
-with the smaller id is the earlier.  Null headers are none; of header names that differ only in case the
+with the smaller id is the earlier; null times come first.  Null headers are none; of header names that differ only in case the
 last one holds.  Repeated records are resolved each by itself.
 """
 
 from __future__ import annotations
 
+import gzip
+import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RANGES = 64
@@ -101,21 +104,59 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
 
 
 def parse_warc(data: bytes) -> Iterator[dict]:
-    """Records of an uncompressed WARC file: version, headers (lower-case names) and block."""
+    """Records of an uncompressed WARC file: version, headers (lower-case names) and block.
+
+    What is no record is skipped, up to the next line that begins one.
+    """
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            return
-        version, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers.get("content-length", "0"))
-        yield {"version": version, "headers": headers, "block": data[end + 4 : end + 4 + size]}
+        head = data[at:end].decode("utf-8", "replace").split("\r\n") if end >= 0 and data.startswith(b"WARC/", at) else []
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
+        size = headers.get("content-length", "")
+        if not head or not size.isdigit() or end + 4 + int(size) > len(data):
+            at = data.find(b"\nWARC/", at) + 1
+            if not at:
+                return
+            continue
+        size = int(size)
+        yield {"version": head[0], "headers": headers, "block": data[end + 4 : end + 4 + size]}
         at = end + 4 + size
         while data.startswith(b"\r\n", at):
             at += 2
 
 
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records (id, url, ts, kind, status, headers, digest) of the WARC files of a path, gzipped or not.
+
+    Each file is read whole by the task that parses it, so files should have the usual size of a gigabyte at
+    most.  Records without a target, and other kinds than responses and revisits, are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                data = content.as_py()
+                if data[:2] == b"\x1f\x8b":
+                    data = gzip.decompress(data)
+                for r in parse_warc(data):
+                    h = r["headers"]
+                    if h.get("warc-type") in ("response", "revisit") and "warc-target-uri" in h:
+                        first, *lines = r["block"].partition(b"\r\n\r\n")[0].decode("latin-1").split("\r\n")
+                        status = re.match(r"HTTP/\S+ (\d{3})", first)
+                        pairs = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)]
+                        yield pa.RecordBatch.from_pylist(
+                            [{"id": h.get("warc-record-id"), "url": h["warc-target-uri"], "at": h.get("warc-date"), "kind": h["warc-type"], "status": int(status[1]) if status else None, "names": [k for k, _ in pairs], "values": [v for _, v in pairs], "digest": h.get("warc-payload-digest")}],
+                            pa.schema([("id", pa.string()), ("url", pa.string()), ("at", pa.string()), ("kind", pa.string()), ("status", pa.int32()), ("names", pa.list_(pa.string())), ("values", pa.list_(pa.string())), ("digest", pa.string())]),
+                        )
+
+    schema = "id string, url string, at string, kind string, status int, names array<string>, values array<string>, digest string"
+    found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    names = F.transform("names", lambda x: F.lower(x))
+    last = F.transform(F.array_distinct(names), lambda n: F.element_at(F.filter(F.arrays_zip(names.alias("n"), F.col("values").alias("v")), lambda p: p["n"] == n), -1)["v"])
+    return found.select("id", "url", F.unix_micros(F.try_to_timestamp("at")).alias("ts"), "kind", "status", F.map_from_arrays(F.array_distinct(names), last).alias("headers"), "digest")
+
+
 def format_warc(records: list[dict]) -> bytes:
     """The inverse of ``parse_warc``."""
     out = []
