@@ -28,7 +28,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve_revisits(warc.records_of_pages(table(spark, sf_dir, "pages")))
     headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
-    return found.select(F.col("id").alias("page_id"), "url_key", F.col("response_id"), "verdict", headers.alias("headers"))
+    return found.select(F.col("id").alias("revisit_id"), "url_key", F.col("response_id"), "verdict", headers.alias("headers"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,18 +71,24 @@ FROM parts
 """
 
 OP4_SQL = r"""
-WITH keyed AS (
-  SELECT page_id, md5(html) AS tag, regexp_replace(regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', ''), '', '') AS rest FROM pages),
-named AS (
-  SELECT page_id, tag, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '') || regexp_extract(rest, '^[^/?]*(.*)$', 1), '/$', '') AS url_key FROM keyed),
-asof_ AS (
-  SELECT v.page_id, v.url_key, v.tag, r.page_id AS response_id, r.tag AS response_tag
-  FROM named v LEFT JOIN LATERAL (SELECT page_id, tag FROM named r WHERE r.url_key = v.url_key AND r.page_id * 10 < v.page_id * 10 + 4005 ORDER BY r.page_id DESC LIMIT 1) r ON true)
-SELECT page_id, url_key, response_id,
+WITH named AS (
+  SELECT page_id AS k, html, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '') || regexp_extract(rest, '^[^/?]*(.*)$', 1), '/$', '') AS url_key
+  FROM (SELECT page_id, html, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS rest FROM pages)),
+responses AS (
+  SELECT k * 10 AS id, k * 10 AS ts, url_key, md5(html) AS tag FROM named
+  UNION ALL SELECT k * 10 + 5, k * 10 + 2000, url_key, md5(html || '2') FROM named WHERE k % 3 = 0
+  UNION ALL SELECT k * 10 + 1, k * 10 + 6000, url_key, md5(html || '3') FROM named WHERE k % 5 = 0),
+revisits AS (
+  SELECT k * 10 + 7 AS id, k * 10 + 4005 AS ts, k + 4005 AS date, url_key, CASE WHEN k % 3 = 0 AND k % 4 <> 0 THEN md5(html || '2') ELSE md5(html) END AS tag FROM named
+  UNION ALL SELECT k * 10 + 8, k * 10 - 5, k - 5, url_key, md5(html) FROM named WHERE k % 9 = 0),
+found AS (
+  SELECT v.id, v.date, v.url_key, v.tag, r.id AS response_id, r.tag AS response_tag
+  FROM revisits v ASOF LEFT JOIN (SELECT url_key, ts, max(id) AS id, arg_max(tag, id) AS tag FROM responses GROUP BY ALL) r ON v.url_key = r.url_key AND v.ts > r.ts)
+SELECT id AS revisit_id, url_key, response_id,
   CASE WHEN response_id IS NULL THEN 'no_response' WHEN tag = response_tag THEN 'resolved' ELSE 'mismatch' END AS verdict,
-  CASE WHEN response_id IS NOT NULL AND tag = response_tag THEN 'content-type=text/html;date=' || (page_id + 400) || ';etag=W/' || tag || ';server=origin'
-       ELSE 'date=' || (page_id + 400) || ';etag=W/' || tag || ';server=edge' END AS headers
-FROM asof_
+  CASE WHEN response_id IS NOT NULL AND tag = response_tag THEN 'content-type=text/html;date=' || date || ';etag=W/' || tag || ';server=origin'
+       ELSE 'date=' || date || ';etag=W/' || tag || ';server=edge' END AS headers
+FROM found
 """
 
 OP6_SQL = r"""

@@ -3,7 +3,8 @@
 Texts are cut at safe boundaries, where no piece of the vocabulary and no rule of the tokenizer can
 reach across, so that the counts of the parts add up to the count of the text.  Parts that are not in
 a worker's bounded table of counts are encoded by the library in batches of about ``BATCH_BYTES``.
-Whether a vocabulary has such boundaries is read from its pieces; if not, whole texts are encoded.
+Whether a vocabulary has such boundaries is read from its pieces, or of a tokenizers file from its steps; if
+not, whole texts are encoded.
 
 A null text counts as an empty one: no bytes, no tokens.  Repeated rows are counted each by itself.
 """
@@ -77,9 +78,13 @@ class SentencePieceCounter:
 
 
 class HuggingCounter:
-    """Counts of a tokenizers file; long texts are cut before a single space and an ASCII letter."""
+    """Counts of a tokenizers file; long texts are cut before a single space and an ASCII letter.
+
+    They are if the file's own steps split there and the parts' counts add up on probes; else whole texts are encoded.
+    """
 
     LONG = 1 << 16
+    PROBES = ("ab cd", "The quick brown fox Jumps", "x1 y", "wort Über zu", "foo() bar", "a b c d e", "end. Next one")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -89,9 +94,19 @@ class HuggingCounter:
         self.t.no_padding()
         #: With strings of special tokens in the text, the cut could fall inside one of them.
         self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
+        self.safe = all(map(self._adds_up, self.PROBES))
+
+    def _adds_up(self, text: str) -> bool:
+        steps = self.t.pre_tokenizer
+        if steps is None or self.t.normalizer is not None:
+            return False
+        starts = {span[0] for _, span in steps.pre_tokenize_str(text)}
+        cuts = [m.start() for m in re.finditer(r"(?<=[a-z]) (?=[A-Za-z])", text)]
+        size = lambda x: len(self.t.encode(x, add_special_tokens=False).ids)
+        return all(c in starts and size(text) == size(text[:c]) + size(text[c:]) for c in cuts)
 
     def split(self, text: str) -> list[str]:
-        if len(text) <= self.LONG or any(s in text for s in self.special):
+        if len(text) <= self.LONG or not self.safe or any(s in text for s in self.special):
             return [text]
         out, at = [], 0
         while len(text) - at > self.LONG:
@@ -113,15 +128,16 @@ class HuggingCounter:
 
 
 def by_bytes(texts: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """Consecutive batches of about ``limit`` characters."""
+    """Consecutive batches of about ``limit`` bytes of UTF-8."""
     batch: list[str] = []
     size = 0
     for t in texts:
-        if batch and size + len(t) > limit:
+        n = len(t) if t.isascii() else len(t.encode())
+        if batch and size + n > limit:
             yield batch
             batch, size = [], 0
         batch.append(t)
-        size += len(t)
+        size += n
     if batch:
         yield batch
 

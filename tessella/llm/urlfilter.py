@@ -13,8 +13,10 @@ rows give repeated results; of rules with the same string the last one holds.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm._util import fresh
 
-#: Rules in one index: the file stays below a few GB on each executor's disk.
+#: Rules in one index file; more rules make more files, each searched.
 MAX_RULES = 50_000_000
 
 Rule = tuple[str, str, str]  # host, path, allow or block
@@ -52,8 +54,6 @@ def write_index(rules: Iterable[Rule], path: str) -> None:
     """The file: counts, sorted keys, offsets of the strings, verdicts, lengths of rule paths, strings."""
     unique = {host + path_: verdict == "allow" for host, path_, verdict in (r for r in rules)}
     lengths = sorted({len(r[1]) for r in rules})
-    if len(unique) > MAX_RULES:
-        raise ValueError(f"{len(unique)} rules; one index holds {MAX_RULES}")
     texts = [s.encode() for s in unique]
     keys = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64)
     order = np.argsort(keys, kind="stable")
@@ -123,18 +123,30 @@ class DigestIndex:
 
 
 _open: dict[str, DigestIndex] = {}
-_added: dict[tuple[str, str], str] = {}
+_added: dict[tuple[str, str], list[str]] = {}
 
 
-def _ship(spark: SparkSession, rules: list[Rule]) -> str:
-    """Name of the index among the files that Spark gives to every executor."""
-    name = f"digests-{hashlib.sha256(repr(rules).encode()).hexdigest()[:24]}.idx"
-    key = (spark.sparkContext.applicationId, name)
+def judge_all(indexes: list[DigestIndex], hosts: list[str], paths: list[str]) -> Iterator[tuple[str | None, str]]:
+    """(rule or None, verdict) of each host and path: of all indexes' rules that fit, the longest."""
+    for found in zip(*(list(x.judge(hosts, paths)) for x in indexes), strict=True):
+        yield max(found, key=lambda f: (-1, "") if f[0] is None else (len(f[0]), f[0]))
+
+
+def _ship(spark: SparkSession, rules: list[Rule]) -> list[str]:
+    """Names of the indexes among the files that Spark gives to every executor."""
+    digest = hashlib.sha256(repr(rules).encode()).hexdigest()[:24]
+    key = (spark.sparkContext.applicationId, digest)
     if key not in _added:
-        _added[key] = os.path.join(os.path.realpath(tempfile.mkdtemp()), name)
-        write_index(rules, _added[key])
-        spark.sparkContext.addFile(_added[key])
-    return name
+        unique = list({host + path: (host, path, verdict) for host, path, verdict in rules}.values())  # of equal strings the last
+        folder = os.path.realpath(tempfile.mkdtemp())  # the driver serves the files from here while it runs
+        atexit.register(shutil.rmtree, folder, True)
+        names = []
+        for i in range(0, max(len(unique), 1), MAX_RULES):
+            names.append(f"digests-{digest}-{i // MAX_RULES}.idx")
+            write_index(unique[i : i + MAX_RULES], os.path.join(folder, names[-1]))
+            spark.sparkContext.addFile(os.path.join(folder, names[-1]))
+        _added[key] = names
+    return _added[key]
 
 
 def judge_urls(df: DataFrame, rules: list[Rule], url: str = "url", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -142,13 +154,14 @@ def judge_urls(df: DataFrame, rules: list[Rule], url: str = "url", keep: tuple[s
 
     Where ``keep`` has a column of such a name, the new one gets an underscore after it.
     """
-    name = _ship(df.sparkSession, list(rules))
+    names = _ship(df.sparkSession, list(rules))
 
     @F.pandas_udf("struct<rule string, verdict string>")
     def probe(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        if name not in _open:
-            _open[name] = DigestIndex(SparkFiles.get(name))
-        return pd.DataFrame(_open[name].judge(hosts, paths), columns=["rule", "verdict"])
+        for name in names:
+            if name not in _open:
+                _open[name] = DigestIndex(SparkFiles.get(name))
+        return pd.DataFrame(judge_all([_open[n] for n in names], list(hosts), list(paths)), columns=["rule", "verdict"])
 
     kept = df.select(*keep)
     host, path, rule, verdict, judged = (fresh(kept, c) for c in ("host", "path", "rule", "verdict", "_judged"))

@@ -18,6 +18,7 @@ from __future__ import annotations
 import gzip
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -93,14 +94,29 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
-    """Two records a page: its response, and a revisit somewhat later, tagged by its content."""
-    shared = [F.col("page_id").alias("id"), "url"]
-    tag = F.md5("html")
-    typed = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), tag, F.lit("Date"), F.col("page_id").cast("string"), F.lit("Server"), F.lit("origin"))
-    again = F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("date"), (F.col("page_id") + 400).cast("string"), F.lit("server"), F.lit("edge"))
-    first = pages.select(*shared, (F.col("page_id") * 10).alias("ts"), F.lit("response").alias("kind"), F.lit(200).alias("status"), typed.alias("headers"), tag.alias("digest"))
-    later = pages.select(*shared, (F.col("page_id") * 10 + 4005).alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"), again.alias("headers"), tag.alias("digest"))
-    return first.unionByName(later)
+    """Records of pages' URLs over time.
+
+    Every page is a response, tagged by its content; every third has changed 2,000 later, and every fifth once more
+    at 6,000.  A revisit at 4,005 names the tag of that time, or for every fourth page still the first one, which
+    for changed pages no longer holds; every ninth page has one before its first response as well.
+    """
+    k, tag = F.col("page_id"), F.md5("html")
+    changed = F.md5(F.concat("html", F.lit("2")))
+
+    def response(rows: DataFrame, at: int, tag) -> DataFrame:
+        typed = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), tag, F.lit("Date"), (k + at).cast("string"), F.lit("Server"), F.lit("origin"))
+        return rows.select((k * 10 + F.lit(at % 7)).alias("id"), "url", (k * 10 + at).alias("ts"), F.lit("response").alias("kind"), F.lit(200).alias("status"), typed.alias("headers"), tag.alias("digest"))
+
+    def revisit(rows: DataFrame, at: int, tag) -> DataFrame:
+        again = F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("date"), (k + at).cast("string"), F.lit("server"), F.lit("edge"))
+        return rows.select((k * 10 + F.lit(7 + (at < 0))).alias("id"), "url", (k * 10 + at).alias("ts"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"), again.alias("headers"), tag.alias("digest"))
+
+    now = F.when((k % 3 == 0) & (k % 4 != 0), changed).otherwise(tag)
+    parts = [
+        response(pages, 0, tag), response(pages.where(k % 3 == 0), 2000, changed), response(pages.where(k % 5 == 0), 6000, F.md5(F.concat("html", F.lit("3")))),
+        revisit(pages, 4005, now), revisit(pages.where(k % 9 == 0), -5, tag),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def parse_warc(data: bytes) -> Iterator[dict]:

@@ -314,3 +314,13 @@ def test_pipeline_on_hard_inputs(spark, sf_docs, tmp_path):
         assert (name == "none") == (not got)
         if got:
             assert sum(r["doc_id"] in (3, 4) for r in got) == 1  # copies of a long text: one stays
+
+
+def test_url_rules_in_several_files(spark, monkeypatch):
+    urls = spark.createDataFrame([(i, u) for i, u in enumerate(["https://a.example.net/en/x", "http://b.net/q", "http://c.org/fr/", "http://example.com/de/1", "http://d.io/"])], "page_id long, url string")
+    whole = sorted(map(str, rows(urlfilter.judge_urls(urls, queries.RULES, keep=("page_id",)))))
+    monkeypatch.setattr(urlfilter, "MAX_RULES", 1)
+    monkeypatch.setattr(urlfilter, "_added", {})
+    parts = [*queries.RULES, ("example.net", "/", "block")]
+    assert len(urlfilter._ship(spark, parts)) == 5
+    assert sorted(map(str, rows(urlfilter.judge_urls(urls, parts, keep=("page_id",))))) == whole
