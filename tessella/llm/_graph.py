@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessella.llm._util import staged
 
+#: Edges up to which each node's least neighbour is broadcast (16 bytes a node, two nodes an edge at most).
+BROADCAST_EDGES = 500_000
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -16,8 +19,14 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(u, root) for every node with an edge; root is the least node of its component.
 
     ``edges`` has two long columns.  Every round is written to the shared folder; the work of a round is
-    in proportion to the edges, whatever their shape, as no node's neighbours are gathered.
+    in proportion to the edges, whatever their shape, as no node's neighbours are gathered.  The least neighbours
+    of few edges are broadcast; those of many are written, so that both sides of the join are plain tables and
+    adaptive execution splits the rows of a node that has very many.
     """
+
+    def near(least: DataFrame) -> DataFrame:
+        return F.broadcast(least) if mark[0] <= BROADCAST_EDGES else staged(least, "least")
+
     a, b = edges.columns
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e = staged(e, "edges")
@@ -27,8 +36,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.join(near(least), "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = near(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         e = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         new = _mark(e)

@@ -4,11 +4,15 @@ A document is the set of its distinct word n-grams.  The n-grams are hashed into
 becomes the point of its group counts; the overlap of two documents is at most the sum over groups of
 the smaller count.
 
-Distribution.  For sizes up to ``hi`` two linked sets differ in at most ``D`` n-grams, so if the groups
-are dealt into more than ``D`` blocks, some blocks of both points are equal.  The digest of a block's
-counts is a row; points that share a digest meet.  This loses no link: ``m = D + 1 + z`` blocks leave
-``z + 1`` equal ones, so a point with at most ``z`` blocks without rare n-grams need not show those, and
-frequent n-grams, found in a bounded sample, can be left out of digests altogether.
+Candidates.  An R-tree over such points prunes little between the parts of a cluster: dealt by size and the
+widest group into parts of 200 points, 155 of 190 pairs of parts still meet, so as the only step it would
+compare nearly all parts with each other.  What brings documents together is therefore a signature: for sizes
+up to ``hi`` two linked sets differ in at most ``D`` n-grams, so if the n-grams are dealt into more than ``D``
+blocks, some blocks of both sets are equal.  The digest of a block is a row (it sums a hash of each n-gram in
+the block, so it tells the n-grams themselves and not just how many there are); sets that share a digest meet.
+This loses no link: ``m = D + 1 + z`` blocks leave ``z + 1`` equal ones, so a set with at most ``z`` blocks
+without rare n-grams need not show those, and frequent n-grams, found in a bounded sample, can be left out of
+digests altogether.
 
 Verification.  Pairs of points that meet are left if their bound falls short (of a digest that many
 points share, one pair each stays unseen).  What still meets, directly or over others, is a cluster.  A cluster is dealt into chunks
@@ -82,7 +86,7 @@ def set_key(s: np.ndarray) -> int:
 
 
 class Blocks:
-    """Digests of blocks of group counts, for one similarity ``num / den``."""
+    """Digests of the blocks of a set, for one similarity ``num / den``."""
 
     def __init__(self, num: int, den: int, frequent: np.ndarray):
         self.num, self.den, self.frequent = num, den, frequent
