@@ -8,19 +8,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIM = 768
+#: Texts whose vectors are added up at a time.
+BLOCK = 256
+
+
+def vectors_of(texts: list[str]) -> np.ndarray:
+    """Unit vectors; every UTF-16 unit adds to the element that its code and place give."""
+    raw = [t.encode("utf-16-le", "surrogatepass") for t in texts]
+    sizes = np.array([len(r) // 2 for r in raw], np.int64)
+    codes = np.frombuffer(b"".join(raw), np.uint16).astype(np.int64)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.repeat(np.arange(len(texts)), sizes) * DIM + (codes * 31 + place * 17) % DIM
+    v = np.bincount(at, weights=(codes % 100) / 100, minlength=len(texts) * DIM).reshape(len(texts), DIM)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return (v / np.where(norm > 0, norm, 1.0)).astype(np.float32)
 
 
 def vector_of(text: str) -> np.ndarray:
-    """Unit vector; every UTF-16 unit adds to the element that its code and place give."""
-    codes = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16).astype(np.int64)
-    at = (codes * 31 + np.arange(len(codes)) * 17) % DIM
-    v = np.bincount(at, weights=(codes % 100) / 100, minlength=DIM)
-    return (v / (np.linalg.norm(v) or 1.0)).astype(np.float32)
+    return vectors_of([text])[0]
 
 
 def embed_local(text: Column) -> Column:
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: vector_of(t or ""))
+        values = [t or "" for t in texts]
+        return pd.Series([v for i in range(0, len(values), BLOCK) for v in vectors_of(values[i : i + BLOCK])])
 
     return run(text)

@@ -29,40 +29,46 @@ def compact(log: DataFrame, key: str, seq: str, op: str, value: str, drop_delete
 
 
 class Bloom:
-    """A Bloom filter of a bounded size; ``build`` sets bits on the executors and ORs them."""
+    """A Bloom filter of a bounded size.  Hashes, bits and their ORs are computed in the JVM; a test is a look-up by batch.
+
+    The ``k`` places of a text are ``a + i b`` modulo ``m``, with 32 bits each of two 64-bit hashes of it.
+    """
 
     def __init__(self, expected: int, error: float = 0.01):
-        self.m = max(8, math.ceil(-expected * math.log(error) / math.log(2) ** 2))
+        self.m = max(64, math.ceil(-expected * math.log(error) / math.log(2) ** 2 / 64) * 64)
         self.k = max(1, round(self.m / expected * math.log(2)))
-        self.bits = np.zeros((self.m + 7) // 8, np.uint8)
+        self.bits = np.zeros(self.m // 64, np.uint64)
+
+    @staticmethod
+    def halves(value: Column) -> tuple[Column, Column]:
+        low = F.lit(0xFFFFFFFF).cast("long")
+        return F.xxhash64(value).bitwiseAND(low), F.xxhash64(value, F.lit("2")).bitwiseAND(low).bitwiseOR(F.lit(1).cast("long"))
+
+    def hit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Are all places of texts with these halves set?"""
+        at = (a[:, None] + np.arange(self.k) * b[:, None]) % self.m
+        return ((self.bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1)
 
-    def places(self, text: str) -> np.ndarray:
-        h = xxhash.xxh3_128_intdigest(text)
-        return ((h & 0xFFFFFFFF) + np.arange(self.k, dtype=np.uint64) * ((h >> 64 & 0xFFFFFFFF) | 1)) % np.uint64(self.m)
+    def _own(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        h = xxhash.xxh64_intdigest(text.encode(), seed=42)  # as the JVM's
+        return np.array([h & 0xFFFFFFFF], np.int64), np.array([xxhash.xxh64_intdigest(b"2", seed=h) & 0xFFFFFFFF | 1], np.int64)
 
     def add(self, text: str) -> None:
-        at = self.places(text)
-        np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
+        a, b = self._own(text)
+        at = (a + np.arange(self.k) * b) % self.m
+        np.bitwise_or.at(self.bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
 
     def __contains__(self, text: str) -> bool:
-        at = self.places(text)
-        return bool(np.all(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1))
+        return bool(self.hit(*self._own(text))[0])
 
     def build(self, df: DataFrame, column: str) -> Bloom:
-        """Add all values; each task sends one array of bits."""
-        empty = Bloom.__new__(Bloom)
-        empty.m, empty.k = self.m, self.k
-        size = len(self.bits)
-
-        def run(batches):
-            empty.bits = np.zeros(size, np.uint8)
-            for pdf in batches:
-                for v in pdf[column].dropna().astype(str):
-                    empty.add(v)
-            yield pd.DataFrame({"bits": [empty.bits.tobytes()]})
-
-        for row in df.select(column).mapInPandas(run, "bits binary").toLocalIterator():
-            self.bits |= np.frombuffer(bytes(row.bits), np.uint8)
+        """Add all values; each task ORs its bits before the shuffle, and the filter's words come to the driver."""
+        a, b = self.halves(F.col(column).cast("string"))
+        rows = df.where(F.col(column).isNotNull()).select(a.alias("a"), b.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(self.k - 1))).alias("i"))
+        at = F.pmod(F.col("a") + F.col("i") * F.col("b"), F.lit(self.m).cast("long"))
+        words = rows.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("x"))
+        for r in words.toLocalIterator():  # m / 64 at most
+            self.bits[r.w] |= np.uint64(r.x & 0xFFFFFFFFFFFFFFFF)
         return self
 
     def test(self, column: Column) -> Column:
@@ -70,10 +76,10 @@ class Bloom:
         me = self
 
         @F.pandas_udf("boolean")
-        def run(values: pd.Series) -> pd.Series:
-            return values.astype(str).map(me.__contains__)
+        def run(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series(me.hit(a.to_numpy(np.int64), b.to_numpy(np.int64)))
 
-        return run(column)
+        return run(*self.halves(column.cast("string")))
 
     def dumps(self) -> str:
         return f"{self.m}:{self.k}:{base64.b64encode(self.bits.tobytes()).decode()}"
@@ -82,5 +88,5 @@ class Bloom:
     def loads(text: str) -> Bloom:
         m, k, bits = text.split(":")
         out = Bloom.__new__(Bloom)
-        out.m, out.k, out.bits = int(m), int(k), np.frombuffer(base64.b64decode(bits), np.uint8).copy()
+        out.m, out.k, out.bits = int(m), int(k), np.frombuffer(base64.b64decode(bits), np.uint64).copy()
         return out

@@ -60,11 +60,14 @@ def sc_chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", "chunk_index", F.length("c").alias("n"), F.md5("c").alias("digest"))
 
 
-@query()
+@query("""WITH p AS (SELECT doc_id, text, pos, substr(text, pos + 1, 600) AS piece FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(range(0, greatest(length(coalesce(text, '')), 1), 480)) AS pos FROM documents)),
+ w AS (SELECT *, list_max(list_transform(range(0, length(piece)), lambda i: CASE WHEN substr(piece, i + 1, 1) = chr(10) THEN i ELSE -1 END)) AS line, list_max(list_transform(range(0, length(piece)), lambda i: CASE WHEN substr(piece, i + 1, 2) = '. ' THEN i + 1 ELSE 0 END)) AS stop FROM p),
+ c AS (SELECT doc_id, pos, regexp_replace(CASE WHEN pos + 600 < length(text) AND greatest(line, stop) > 300 THEN substr(piece, 1, greatest(line, stop)) ELSE piece END, '^\\s+|\\s+$', '', 'g') AS chunk FROM w)
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS chunk_index, length(chunk)::INT AS n, md5(chunk) AS digest FROM c WHERE chunk <> ''""")
 def sc_chunk_sent(spark: SparkSession, d: str) -> DataFrame:
     from tessella.operators.chunking import chunk_sentences
 
-    return chunk_sentences(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "chunk_index", F.length("chunk").alias("n"))
+    return chunk_sentences(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "chunk_index", F.length("chunk").alias("n"), F.md5("chunk").alias("digest"))
 
 
 @query()

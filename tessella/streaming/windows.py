@@ -31,13 +31,17 @@ def dedup(events: DataFrame, keys: list[str], ttl: str = "24 hours") -> DataFram
     return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
 
 
-def rate_limit(events: DataFrame, most: int = 30, seconds: int = 60) -> DataFrame:
+def rate_limit(events: DataFrame, most: int = 30, seconds: int = 60, late: str = "1 hour") -> DataFrame:
     """Accept or reject each request: at most ``most`` accepted ones of a user in ``seconds``.
 
-    Rejected requests leave no trace, so the state holds the accepted times of the window only.
+    Rejected requests leave no trace, so the state holds the accepted times of the window only, and it goes once
+    the watermark has passed it.  Requests of one trigger are taken in order of time, and later triggers follow.
     """
 
     def step(key: tuple[Any], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
         out = []
         for row in pd.concat(list(frames)).sort_values("ts").itertuples():
@@ -46,10 +50,15 @@ def rate_limit(events: DataFrame, most: int = 30, seconds: int = 60) -> DataFram
             out.append((row.event_id, key[0], len(kept) < most))
             if out[-1][2]:
                 kept.append(now)
-        state.update((kept,))
+        if kept:
+            state.update((kept,))
+            state.setTimeoutTimestamp(max(max(kept) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["event_id", "user_id", "accepted"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, accepted boolean", "kept array<long>", "append", GroupStateTimeout.NoTimeout)
+    keyed = events.withWatermark("ts", late).groupBy("user_id")
+    return keyed.applyInPandasWithState(step, "event_id long, user_id long, accepted boolean", "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def clicked_or_skipped(sent: DataFrame, clicks: DataFrame, hours: int = 48) -> DataFrame:

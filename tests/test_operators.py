@@ -181,3 +181,50 @@ def test_trust_fold_clamps(spark):
     for ok in outcomes:
         trust = min(1.0, trust + 0.05) if ok else max(0.1, trust - 0.15)
     assert math.isclose(value(spark, S.trust_fold(F.array(*map(F.lit, outcomes)))), trust)
+
+
+def test_chunks_equal_the_rule(spark, sf):
+    from tessella.operators.chunking import chunk_sentences
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(90001, ""), (90002, None), (90003, " \n "), (90004, "ab. " * 700 + "\n" + "x" * 2000)], "doc_id long, text string"))
+    got = {}
+    for r in chunk_sentences(docs, "doc_id", "text").orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r.doc_id, []).append(r.chunk)
+    assert got == {r.doc_id: list(pieces(r.text or "")) for r in docs.collect() if list(pieces(r.text or ""))}
+
+
+def test_embeddings_equal_plain_sums(spark):
+    from tessella.operators.embedding import embed_local
+
+    texts = ["", "Hello", "học máy 😀", "x" * 3000, None]
+    got = [r.v for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", embed_local(F.col("t")).alias("v")).orderBy("i").collect()]
+    for t, v in zip(texts, got, strict=True):
+        raw = (t or "").encode("utf-16-le")
+        codes = [raw[i] + 256 * raw[i + 1] for i in range(0, len(raw), 2)]
+        want = [0.0] * 768
+        for i, c in enumerate(codes):
+            want[(c * 31 + i * 17) % 768] += c % 100 / 100
+        norm = math.sqrt(sum(x * x for x in want)) or 1
+        assert all(math.isclose(a, b / norm, abs_tol=1e-5) for a, b in zip(v, want, strict=True))
+
+
+def test_beta_draws_follow_their_law():
+    import numpy as np
+
+    from tessella.operators.sequences import gamma_draws
+
+    keys = np.arange(40_000, dtype=np.uint64) * np.uint64(7919)
+    x, y = gamma_draws(np.full(len(keys), 4.0), keys), gamma_draws(np.full(len(keys), 9.0), keys, 1000)
+    b = x / (x + y)
+    assert abs(b.mean() - 4 / 13) < 0.003 and abs(b.var() - 4 * 9 / (13**2 * 14)) < 0.001 and abs(x.mean() - 4) < 0.05
+
+
+def test_bloom_in_the_jvm_equals_python(spark):
+    rows = spark.range(2000).select(F.concat(F.lit("é"), F.col("id").cast("string")).alias("x"))
+    bloom = St.Bloom(2000).build(rows, "x")
+    own = St.Bloom(2000)
+    for r in rows.collect():
+        own.add(r.x)
+    assert (own.bits == bloom.bits).all()
+    wrong = spark.range(5000, 15000).select(F.col("id").cast("string").alias("x")).where(bloom.test(F.col("x"))).count()
+    assert rows.where(~bloom.test(F.col("x"))).count() == 0 and wrong < 300

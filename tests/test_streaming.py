@@ -42,3 +42,19 @@ def test_sessions(stream):
     closed = {(r.user_id, r.start): r.n for r in W.sessions(batch, "12 hours").collect()}
     got = {(r.user_id, r.start): r.n for r in W.run_to_end(W.sessions(live, "12 hours"), "sessions").collect()}
     assert got and all(closed[k] == n for k, n in got.items())
+
+
+def test_clicked_or_skipped(spark, tmp_path):
+    """Clicks within two days count; a link without one is skipped once the watermark has passed."""
+    at = lambda hours: f"timestamp '2024-01-01 00:00:00' + interval {hours} hours"
+    sent = [(1, 1, 0), (2, 2, 0), (3, 3, 0), (9, 9, 500)]
+    clicks = [(1, 5), (3, 60), (9, 501)]
+    s = spark.createDataFrame(sent, "event_id long, user_id long, h int").selectExpr("event_id", "user_id", f"{at(0)} + make_interval(0, 0, 0, 0, h) AS ts")
+    c = spark.createDataFrame(clicks, "user_id long, h int").selectExpr("user_id", f"{at(0)} + make_interval(0, 0, 0, 0, h) AS ts")
+    want = {1: False, 2: True, 3: True, 9: False}
+    assert {r.event_id: r.skipped for r in W.clicked_or_skipped(s, c).collect()} == want
+    s.coalesce(1).write.parquet(str(tmp_path / "s"))
+    c.coalesce(1).write.parquet(str(tmp_path / "c"))
+    live = W.clicked_or_skipped(*(spark.readStream.schema(x.schema).parquet(str(tmp_path / n)) for x, n in ((s, "s"), (c, "c"))))
+    got = {r.event_id: r.skipped for r in W.run_to_end(live, "skipped").collect()}
+    assert got == want
