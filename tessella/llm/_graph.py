@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._util import staged
+from tessella.llm._util import discard, staged
 
 #: Edges up to which each node's least neighbour is broadcast (16 bytes a node, two nodes an edge at most).
 BROADCAST_EDGES = 500_000
@@ -24,8 +24,13 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     adaptive execution splits the rows of a node that has very many.
     """
 
+    used: list[DataFrame] = []  # tables of a round
+
     def near(least: DataFrame) -> DataFrame:
-        return F.broadcast(least) if mark[0] <= BROADCAST_EDGES else staged(least, "least")
+        if mark[0] <= BROADCAST_EDGES:
+            return F.broadcast(least)
+        used.append(staged(least, "least"))
+        return used[-1]
 
     a, b = edges.columns
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
@@ -39,7 +44,10 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = both.join(near(least), "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = near(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        used.append(e)
         e = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(*used)
+        used.clear()
         new = _mark(e)
         if new == mark:
             break

@@ -27,13 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """The rows of ``df`` written as Parquet to the shared folder and read again.
 
-    It cuts lineage and survives lost executors.  The files go when the driver's Python ends.
+    It cuts lineage and survives lost executors.  The files go with ``discard``, or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.__dict__["_staged_path"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that nothing will read again."""
+    for t in tables:
+        path = t.__dict__.pop("_staged_path", None)
+        if path:
+            _remove(t.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import _text
 from tessella.llm._graph import components
-from tessella.llm._util import fresh, sampled, slim, staged
+from tessella.llm._util import discard, fresh, sampled, slim, staged
 
 #: Size classes grow by this ratio.
 RATIO = 1.3
@@ -301,6 +301,7 @@ def classes_of(df: DataFrame, n: int, num: int, den: int, key: str = "doc_id", t
     points = sets.where("n > 0").groupBy("s").agg(F.first("p").alias("p"))
     pairs = met.where("NOT sure").join(points.select(F.col("s").alias("x"), F.col("p").alias("px")), "x").join(points.select(F.col("s").alias("y"), F.col("p").alias("py")), "y")
     clusters = components(met.where("sure").select("x", "y").unionByName(pairs.where(near("px", "py")).select("x", "y")))
+    discard(met)
     # one document of each set to verify, with its cluster and the chunks of that
     first = sets.where("n > 0 AND k IS NOT NULL").groupBy("s").agg(F.min("k").alias("k"), F.min("n").alias("n"))
     chosen = staged(clusters.withColumnRenamed("u", "s").join(first, "s"), "chosen")
