@@ -44,9 +44,16 @@ def bind(atom: Atom, facts: DataFrame) -> DataFrame:
 
 
 def body(atoms: Sequence[Atom], facts: Mapping[str, DataFrame]) -> DataFrame:
-    """All bindings of the variables of a rule's body: equi-joins on those that atoms share."""
-    out = None
-    for atom in atoms:
+    """All bindings of the variables of a rule's body: equi-joins on those that atoms share.
+
+    Atoms are taken in an order in which each shares a variable with those before it.  Only a body whose parts
+    share none, which asks for all combinations, has a cross join.
+    """
+    out, left = None, list(atoms)
+    while left:
+        near = [a for a in left if out is None or any(x in out.columns for x in a.args if is_variable(x))]
+        atom = near[0] if near else left[0]
+        left.remove(atom)
         rows = bind(atom, facts[atom.predicate])
         if out is None:
             out = rows

@@ -37,6 +37,13 @@ def nearest(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query:
     return reduce(DataFrame.unionByName, [best(queries.where(block == i)) for i in range(blocks)])
 
 
+def checked(examples: DataFrame, most: int = QUERY_BLOCK) -> DataFrame:
+    """A set that every row is compared with, broadcast; it is refused if it is larger than ``most``."""
+    if examples.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} examples; compare them in blocks, as nearest does")
+    return F.broadcast(examples)
+
+
 def top(scored: DataFrame, by: list[str], key: str, k: int) -> DataFrame:
     """The ``k`` best rows of each group; ties go to the smaller key."""
     w = Window.partitionBy(*by).orderBy(F.desc("score"), key)

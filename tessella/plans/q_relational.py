@@ -235,7 +235,9 @@ def join_adjacent(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT e.vec_id, q.label AS intent, round(max(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS best FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)) q GROUP BY ALL")
 def cross_sim(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    q = F.broadcast(e.groupBy(F.col("label").alias("intent")).agg(F.min_by("embedding", "vec_id").alias("q")))  # an example for each intent
+    from tessella.operators.retrieval import checked
+
+    q = checked(e.groupBy(F.col("label").alias("intent")).agg(F.min_by("embedding", "vec_id").alias("q")))  # an example for each intent
     return e.crossJoin(q).groupBy("vec_id", "intent").agg(F.round(F.max(S.cosine(F.col("embedding"), F.col("q"))), 6).alias("best"))
 
 

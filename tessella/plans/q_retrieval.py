@@ -127,7 +127,7 @@ def ret_hybrid(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT vec_id, label, intent, round(s, 6) AS score FROM (SELECT e.vec_id, e.label, arg_max(q.label, (round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9), -q.vec_id)) AS intent, max(round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9)) AS s FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)) q GROUP BY ALL)")
 def ret_intent(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    q = F.broadcast(e.groupBy(F.col("label").alias("intent")).agg(F.min_by("embedding", "vec_id").alias("q"), F.min("vec_id").alias("x")))  # an example for each intent
+    q = R.checked(e.groupBy(F.col("label").alias("intent")).agg(F.min_by("embedding", "vec_id").alias("q"), F.min("vec_id").alias("x")))  # an example for each intent
     s = e.crossJoin(q).withColumn("s", F.round(S.cosine(F.col("embedding"), F.col("q")), 9))
     return s.groupBy("vec_id", "label").agg(F.max_by("intent", F.struct("s", -F.col("x"))).alias("intent"), F.round(F.max("s"), 6).alias("score"))
 
