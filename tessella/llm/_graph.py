@@ -21,7 +21,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     ``edges`` has two long columns.  Every round is written to the shared folder; the work of a round is
     in proportion to the edges, whatever their shape, as no node's neighbours are gathered.  The least neighbours
     of few edges are broadcast; those of many are written, so that both sides of the join are plain tables and
-    adaptive execution splits the rows of a node that has very many.
+    adaptive execution splits the rows of a node that has very many.  The rounds are some logarithm of the nodes;
+    more than ``most`` would be a fault and raise an error.
     """
 
     used: list[DataFrame] = []  # tables of a round

@@ -175,7 +175,10 @@ def vocabulary(counts: DataFrame, ends: int) -> tuple[Vocabulary, int]:
 
 
 def contexts(docs: DataFrame, shared) -> DataFrame:
-    """ctx, cls, n: for each pair of classes the counts of the classes that follow.  Each task sums before the shuffle."""
+    """ctx, cls, n: for each pair of classes the counts of the classes that follow.  Each task sums before the shuffle.
+
+    Rows are dealt by the hashed pair, so that a partition has all of what changes that pair's weights.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
@@ -192,7 +195,9 @@ def contexts(docs: DataFrame, shared) -> DataFrame:
         def out(cells: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(cells), 250_000):
                 c = cells[i : i + 250_000]
-                yield pa.RecordBatch.from_arrays([pa.array(c // v.classes), pa.array(c % v.classes), pa.array(n[i : i + 250_000])], ["ctx", "cls", "n"])
+                ctx = c // v.classes
+                both = rows_of(ctx, v.classes, PAIRS_EACH * v.classes)[2].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(ctx), pa.array(c % v.classes), pa.array(n[i : i + 250_000])], ["both", "ctx", "cls", "n"])
 
         for batch in batches:
             for _, hashes, suffix, bounds in _words_of(batch):
@@ -209,8 +214,8 @@ def contexts(docs: DataFrame, shared) -> DataFrame:
         if held:
             yield from out(*merged())
 
-    cells = docs.mapInArrow(run, "ctx int, cls int, n long")
-    return cells.repartition("ctx").groupBy("ctx", "cls").agg(F.sum("n").alias("n"))  # one shuffle
+    cells = docs.mapInArrow(run, "both int, ctx int, cls int, n long")
+    return cells.repartition("both").groupBy("both", "ctx", "cls").agg(F.sum("n").alias("n")).drop("both")  # one shuffle
 
 
 def rows_of(ctx: np.ndarray, classes: int, pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -285,17 +290,18 @@ def train(table: DataFrame, prior: np.ndarray, steps: int = STEPS) -> np.ndarray
             if held:
                 t = pa.Table.from_batches(held)
                 grad, n = gradient(shared.value, *(t.column(c).to_numpy() for c in ("ctx", "cls", "n")))
-                yield pa.RecordBatch.from_arrays([pa.array([grad.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["g", "n"])
+                rows = np.flatnonzero(grad.any(1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary()), pa.array([grad[rows].tobytes()], pa.binary()), pa.array([n], pa.int64())], ["rows", "g", "n"])
 
         return run
 
     for step in range(1, steps + 1):
         shared = spark.sparkContext.broadcast(weights)
         grad, n = np.zeros(shape, np.float32), 0
-        for row in table.mapInArrow(pass_with(shared), "g binary, n long").collect():  # a row for each partition
-            grad += np.frombuffer(bytes(row.g), np.float32).reshape(shape)
+        for row in table.mapInArrow(pass_with(shared), "rows binary, g binary, n long").collect():  # one for each partition
+            grad[np.frombuffer(row.rows, np.int32)] += np.frombuffer(row.g, np.float32).reshape(-1, classes)
             n += row.n
-        shared.unpersist()
+        shared.destroy()
         if not n:
             break
         grad = grad / n - PRIOR * weights
@@ -321,21 +327,26 @@ def sums_of(spark, shared, classes: int) -> np.ndarray:
     return out
 
 
-def fit(learn: DataFrame) -> tuple[Vocabulary, int, DataFrame, np.ndarray, np.ndarray]:
-    """Of training texts (t): the vocabulary, the least count of its hot words, all counts, the weights, and every context's sum."""
+def fit(learn: DataFrame) -> tuple:
+    """Of training texts (t), broadcast: the vocabulary, and weights with every context's sum; and all counts, and the least of the hot words."""
     spark = learn.sparkSession
     counts = staged(token_counts(learn), "counts")
     vocab, least = vocabulary(counts, learn.count())
-    table = staged(contexts(learn, spark.sparkContext.broadcast(vocab)), "contexts")
-    weights = train(table, vocab.log_class_size * math.log(10))
-    return vocab, least, counts, weights, sums_of(spark, spark.sparkContext.broadcast(weights), vocab.classes)
+    shared = spark.sparkContext.broadcast(vocab)
+    classes, prior = vocab.classes, vocab.log_class_size * math.log(10)
+    del vocab
+    weights = train(staged(contexts(learn, shared), "contexts"), prior)
+    sent = spark.sparkContext.broadcast(weights)
+    sums = sums_of(spark, sent, classes)
+    sent.destroy()
+    return shared, spark.sparkContext.broadcast((weights, sums)), counts, least
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     docs = slim(df).select(F.col(key).alias("k"), F.col(text).alias("t"), (split_of(F.col(key), folds) == held).alias("held_out"))
-    vocab, least, counts, *model = fit(docs.where("NOT held_out").select("t"))
-    shared, model = (df.sparkSession.sparkContext.broadcast(x) for x in (vocab, model))
+    shared, model, counts, least = fit(docs.where("NOT held_out").select("t"))
+    total, log_base = shared.value.total, shared.value.log_base
     kind = df.schema[key].dataType.simpleString()
     names = ["k", "held_out", "n_tokens", "n_known", "log_counts", "log_rest", "rare"]
 
@@ -365,6 +376,6 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7
         rows = rows.drop("rare").join(found, "row", "left")
         rows = rows.withColumn("n_known", F.col("n_known") + F.coalesce("more_known", F.lit(0))).withColumn("log_counts", F.col("log_counts") + F.coalesce("more_logs", F.lit(0.0)))
     return rows.select(
-        F.col("k").alias(key), "held_out", "n_tokens", "n_known", F.lit(vocab.total).cast("long").alias("train_tokens"),
-        (F.col("log_counts") - F.col("n_tokens") * vocab.log_base).alias("base_score"), (F.col("log_counts") + F.col("log_rest")).alias("score"),
+        F.col("k").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("log_counts") - F.col("n_tokens") * log_base).alias("base_score"), (F.col("log_counts") + F.col("log_rest")).alias("score"),
     )

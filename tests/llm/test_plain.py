@@ -203,7 +203,8 @@ def test_scores_equal_plain_forward_pass(spark):
     data = [(i, None if i == 5 else " ".join(rng.choice(vocabulary, rng.integers(0, 30)))) for i in range(120)]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("held_out", F.lit(1)).withColumn("k", F.lit(2)).withColumn("score", F.lit(3))
     docs = df.select(F.col("doc_id").alias("k"), F.col("text").alias("t"), (lm.split_of(F.col("doc_id")) == 2).alias("h"))
-    v, _, counts, weights, sums = lm.fit(docs.where("NOT h").select("t"))
+    shared, model, counts, _ = lm.fit(docs.where("NOT h").select("t"))
+    v, weights = shared.value, model.value[0]
     by_word = {np.uint64(np.int64(r.w)): (r.c, r.s) for r in counts.collect()}
     c = v.classes
 
