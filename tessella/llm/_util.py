@@ -62,7 +62,8 @@ BATCH_BYTES = 4 << 20
 def slim(df: DataFrame) -> DataFrame:
     """``df``, in a session whose Arrow batches hold at most ``BATCH_BYTES``, which this sets where they hold more."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(str(conf.get(name)).rstrip("b")) <= BATCH_BYTES:
+    now = str(conf.get(name)).rstrip("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
         conf.set(name, str(BATCH_BYTES))
     return df
 
