@@ -109,6 +109,29 @@ def test_secret_models_of_labelled_documents(spark):
     assert found <= 5 * words / 1e6 + 1
 
 
+@pytest.mark.parametrize("share", [0.01, 0.1, 0.5, -0.1])
+def test_secrets_in_labelled_documents_cost_no_recall(spark, share):
+    """Keys without a pattern planted in a share of labelled documents, or of the others, are found all the same."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    own = {r.doc_id for r in labels.collect()}
+    held = sorted(r.doc_id for r in docs.select("doc_id").collect() if (r.doc_id in own) == (share > 0))
+    rng = np.random.default_rng(6)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    keys = [(int(i), "".join(rng.choice(letters, 32))) for i in rng.choice(held, max(4, int(abs(share) * len(held))), replace=False)]
+    planted = docs.join(spark.createDataFrame(keys, "doc_id long, planted string"), "doc_id", "left").withColumn("text", F.concat_ws(" ", "text", "planted"))
+    found = secrets.find_secrets(planted.drop("planted"), labels=labels).where("n_random > 0").join(planted.select("doc_id", "text"), "doc_id").collect()
+    texts = [(r.doc_id, r.text[int(s) : int(e)]) for r in found for k, s, e in (x.split(":") for x in r.spans.split(",")) if k == "random"]
+    hit = set(texts) & set(keys)
+    words = sum(len(WORD.findall(r.text or "")) for r in docs.collect())
+    assert len(hit) >= 0.95 * len(keys) and len(texts) - len(hit) <= 5 * words / 1e6 + 1
+
+
+def test_secret_labels_without_their_column_are_refused(spark, sf_docs):
+    with pytest.raises(ValueError, match="label"):
+        secrets.find_secrets(sf_docs, labels=table(spark, "labels").withColumnRenamed("doc_id", "other"))
+
+
 # 5
 
 
