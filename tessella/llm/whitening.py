@@ -88,8 +88,10 @@ def summed(df: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray]
 def lanczos(apply: Callable[[np.ndarray], np.ndarray], dim: int, k: int = COMPONENTS, block: int = BLOCK, seed: int = 17, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` largest eigenvalues, falling, and their unit eigenvectors as columns.
 
-    The symmetric matrix is known only by ``apply``, which multiplies it with a block of columns.
+    The symmetric matrix is known only by ``apply``, which multiplies it with a block of columns.  A block has
+    ``k`` columns at least, so that it meets every one of ``k`` equal eigenvalues.
     """
+    block = max(block, k)
     rng = np.random.default_rng(seed)
     basis, image = np.zeros((dim, 0)), np.zeros((dim, 0))
     fresh = rng.standard_normal((dim, block))
