@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
+from tessella.operators import ann
 from tessella.operators import retrieval as R
-from tessella.operators.ann import ann
+from tessella.operators.tables import written
 from tessella.plans.registry import query
 from tessella.sources.tables import HIERARCHY_SQL, events, hierarchy_edges, table
 
@@ -70,7 +71,8 @@ def ret_wh(spark: SparkSession, d: str) -> DataFrame:
 def ret_hnsw(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    return ann(e, q, "vec_id", "embedding", "query", 64).select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
+    index = written(ann.build(e, "vec_id", "embedding"))
+    return ann.search(index, q, "query").select("query", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {BM25_SQL} SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM bm) WHERE r <= 10")

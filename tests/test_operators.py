@@ -13,7 +13,6 @@ from tessella.operators import graph as G
 from tessella.operators import retrieval as R
 from tessella.operators import storage as St
 from tessella.operators import windows as O
-from tessella.operators.ann import ann
 from tessella.operators.chunking import pieces
 from tessella.operators.embedding import vector_of
 from tessella.plans import q_graph, q_retrieval, q_sources
@@ -114,25 +113,6 @@ def test_ttl_is_anchored_at_the_last_accepted(spark):
     assert value(spark, O.accepted(t, 10)) == [0, 11, 22]
 
 
-def test_ann_recall(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    exact = {(r.query, r.vec_id) for r in R.nearest(e, q, "vec_id", "embedding", "query", 10).collect()}
-    found = {(r.query, r.vec_id) for r in ann(e, q, "vec_id", "embedding", "query", 64, tables=24, bits=3).collect()}
-    assert len(exact & found) / len(exact) >= 0.9
-
-
-@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
-def test_registered_index_recall(spark, size):
-    sf = f"/root/testdata/{size}"
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    exact = {(r.query, r.vec_id) for r in R.nearest(e, q, "vec_id", "embedding", "query", 10).collect()}
-    found = {(r.query, r.vec_id) for r in q_retrieval.ret_hnsw(spark, sf).collect()}
-    print("recall", size, len(exact & found) / len(exact))
-    assert len(exact & found) / len(exact) >= 0.9
-
-
 def test_nearest_takes_queries_in_blocks(spark, sf, monkeypatch):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
