@@ -185,7 +185,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     own = own.where(remainder(F.col("k")) != HELD_OUT).orderBy(F.xxhash64("k"), "k").limit(rows)
     drawn = df.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(own), "k")  # bounded by rows
     fold = F.pmod(F.xxhash64(F.lit("fold"), "k"), F.lit(FOLDS)).cast("int")
-    stats = measured(drawn, "t", [fold, F.col("y"), F.col("k").cast("string")], "c0 int, c1 double, c2 string").persist()
+    stats = measured(drawn, "t", [fold, F.col("y")], "c0 int, c1 double").persist()
     try:
         return _fitted(stats, seed)
     finally:
@@ -227,7 +227,7 @@ def _fitted(stats: DataFrame, seed: int) -> Classifier:
         return pa.table({"fold": table.column("fold").slice(0, 1), "q": [sum(table.column("q").to_pylist())], "m": pa.array([m], pa.list_(pa.float64()))})
 
     parts = max(1, min(-(-LABELLED_ROWS // PART_ROWS), -(-n // PART_ROWS)))
-    dealt = stats.repartition(parts, "c2")
+    dealt = stats.coalesce(parts)  # each gives the equations of all folds, so that few are to be added
     by_fold = dealt.select("c0", "c1", "s").mapInArrow(equations, "fold int, q double, m array<double>").groupBy("fold").applyInArrow(added, "fold int, q double, m array<double>").collect()  # FOLDS rows
     a, b, q = np.zeros((FOLDS, size, size)), np.zeros((FOLDS, size)), np.zeros(FOLDS)
     for r in by_fold:
