@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -111,6 +112,11 @@ def trust_fold(outcomes: Column, start: float = 0.5) -> Column:
     return F.aggregate(outcomes, F.lit(start), lambda s, ok: F.when(ok, F.least(F.lit(1.0), s + 0.05)).otherwise(F.greatest(F.lit(0.1), s - 0.15)))
 
 
+def trust_step(trust: float, ok: bool) -> float:
+    """One step of ``trust_fold``, for folds over sorted rows."""
+    return min(1.0, trust + 0.05) if ok else max(0.1, trust - 0.15)
+
+
 #: Parameters of the spaced-repetition schedule.
 FSRS = (0.4, 0.6, 2.4, 5.8, 4.93, 0.94, 0.86, 0.01, 1.49, 0.14, 0.94, 2.18, 0.05, 0.34, 1.26, 0.29, 2.61)
 
@@ -128,6 +134,27 @@ def fsrs(stability: Column, difficulty: Column, rating: Column, elapsed: Column)
     return F.struct(new_s.alias("stability"), new_d.alias("difficulty"), F.least(F.lit(365), F.round(new_s).cast("int")).alias("interval"))
 
 
+def fsrs_step() -> Callable[[float, float, int, float], tuple[float, float]]:
+    """Stability and difficulty after a review of rating 1, 3 or 4, as ``fsrs`` has them, for folds over sorted rows."""
+    w = FSRS
+
+    def step(stability: float, difficulty: float, rating: int, elapsed: float) -> tuple[float, float]:
+        s, d, e = max(0.1, stability), min(max(difficulty, 1.0), 10.0), max(0.0, elapsed)
+        if rating == 1:
+            new_s, new_d = w[10] * s ** -w[12] * (math.exp(0.1 * w[13]) - 1), d + w[11] * (1 - d / 10)
+        else:
+            grown = s * (1 + w[8] * d ** -w[9] * s ** w[0] * (math.exp((1 - math.exp(math.log(0.9) * e / s)) * w[1]) - 1))
+            new_s, new_d = (grown, d - w[11] * (d / 10 - 0.5)) if rating == 3 else (grown * w[2], d - w[11] * d / 10)
+        return min(max(new_s, 0.1), 3650.0), min(max(new_d, 1.0), 10.0)
+
+    return step
+
+
+def half_up(x: float, digits: int) -> float:
+    """Rounded as SQL rounds positive numbers, halves up."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
 def card_status(elapsed: Column, stability: Column) -> Column:
     r = F.exp(math.log(0.9) * F.greatest(F.lit(0.0), elapsed) / stability)
     return F.when(elapsed < 0, "learning").when(r > 0.9, "mastered").when(r > 0.7, "review").otherwise("lapsed")

@@ -28,16 +28,31 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new name in the shared folder; what is written there goes when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/tessella-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    atexit.register(drop, spark, path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of ``df`` as a Parquet table in the shared folder: an index to be read more than once.
 
     Its size is known to the planner, other than a checkpoint's.  The table goes when the driver's Python ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessella-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
-    atexit.register(drop, spark, path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.__dict__["_path"] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing will read again."""
+    for t in tables:
+        path = t.__dict__.pop("_path", None)
+        if path:
+            drop(t.sparkSession, path)
 
 
 def drop(spark: SparkSession, path: str) -> None:

@@ -24,35 +24,3 @@ def streaks(df: DataFrame, by: list[str], order: str, good: Column) -> DataFrame
     rows = df.withColumn("_bad", F.sum(F.when(good, 0).otherwise(1)).over(w)).withColumn("_good", good.cast("int"))
     runs = rows.groupBy(*by, "_bad").agg(F.sum("_good").alias("_n"))
     return runs.groupBy(*by).agg(F.max("_n").alias("best"), F.max_by("_n", "_bad").alias("current"))
-
-
-def ordered(df: DataFrame, by: list[str], order: str, *values: str) -> DataFrame:
-    """One row a key with ``rows``, its rows in order; for folds that no aggregate can express."""
-    return df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("rows"))
-
-
-def accepted(times: Column, ttl: int) -> Column:
-    """Of ordered times those at least ``ttl`` after the last accepted one."""
-    return accepted_ids(F.transform(times, lambda t: F.struct(t.alias("t"))), "t", "t", ttl)
-
-
-def accepted_count(times: Column, ttl: int) -> Column:
-    """How many of ordered times are accepted: those at least ``ttl`` after the last accepted one."""
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("n"))
-
-    def step(s, t):
-        new = s["last"].isNull() | (t - s["last"] >= ttl)
-        return F.struct(F.when(new, t).otherwise(s["last"]).alias("last"), (s["n"] + new.cast("int")).alias("n"))
-
-    return F.aggregate(times, start, step, lambda s: s["n"])
-
-
-def accepted_ids(rows: Column, time: str, name: str, ttl: int) -> Column:
-    """The names of accepted rows, of rows in order of time."""
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(s, r):
-        new = s["last"].isNull() | (r[time] - s["last"] >= ttl)
-        return F.struct(F.when(new, r[time]).otherwise(s["last"]).alias("last"), F.when(new, F.concat(s["ids"], F.array(r[name].cast("bigint")))).otherwise(s["ids"]).alias("ids"))
-
-    return F.aggregate(rows, start, step, lambda s: s["ids"])

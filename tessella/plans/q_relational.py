@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
 from tessella.functions import words as W
+from tessella.operators import folds as Fo
 from tessella.operators import windows as O
 from tessella.plans import _sql as Q
 from tessella.plans.registry import query
@@ -430,8 +431,9 @@ EWMA_SQL = "SELECT user_id, round(list_reduce(list(greatest(0.0, 1 - value / 100
 
 @query(EWMA_SQL)
 def win_ewma(spark: SparkSession, d: str) -> DataFrame:
-    e = O.ordered(events(spark, d).withColumn("x", F.greatest(F.lit(0.0), 1 - F.col("value") / 100)), ["user_id"], "us", "x")
-    return e.select("user_id", F.round(F.aggregate("rows", F.lit(0.5), lambda s, r: 0.85 * s + 0.15 * r["x"]), 6).alias("speed"))
+    e = events(spark, d).withColumn("x", F.greatest(F.lit(0.0), 1 - F.col("value") / 100))
+    speeds = Fo.fold(e, ["user_id"], ["us", "event_id"], ["x"], (0.5,), lambda s, x: (0.85 * s[0] + 0.15 * x,), tuple, "speed double")
+    return speeds.withColumn("speed", F.round("speed", 6))
 
 
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events) WHERE r <= 20")

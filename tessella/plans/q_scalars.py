@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
 from tessella.functions import words as W
+from tessella.operators.folds import fold
 from tessella.plans import _sql as Q
 from tessella.plans.registry import query
 from tessella.sources.tables import events, table
@@ -120,8 +121,9 @@ def sc_trust_decay(spark: SparkSession, d: str) -> DataFrame:
 WITH o AS (SELECT user_id, list(event_type = 'purchase' ORDER BY ts) AS ok FROM events WHERE event_type IN ('purchase', 'error') GROUP BY user_id)
 SELECT user_id, len(ok)::INT AS n, round(list_reduce(list_transform(ok, lambda x: CASE WHEN x THEN 1.0::DOUBLE ELSE -1.0 END), lambda s, x: CASE WHEN x > 0 THEN least(1.0, s + 0.05) ELSE greatest(0.1, s - 0.15) END, 0.5::DOUBLE), 6) AS trust FROM o""")
 def sc_trust_update(spark: SparkSession, d: str) -> DataFrame:
-    o = events(spark, d).where(F.col("event_type").isin("purchase", "error")).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("us", (F.col("event_type") == "purchase").alias("ok")))).alias("o"))
-    return o.select("user_id", F.size("o").alias("n"), F.round(S.trust_fold(F.col("o.ok")), 6).alias("trust"))
+    e = events(spark, d).where(F.col("event_type").isin("purchase", "error")).withColumn("ok", F.col("event_type") == "purchase")
+    trust = fold(e, ["user_id"], ["us", "event_id"], ["ok"], (0, 0.5), lambda s, ok: (s[0] + 1, S.trust_step(s[1], ok)), tuple, "n int, trust double")
+    return trust.withColumn("trust", F.round("trust", 6))
 
 
 @query("""

@@ -10,11 +10,13 @@ from tessella.functions import words as W
 from tessella.operators import sequences as Seq
 from tessella.operators import storage as St
 from tessella.operators import windows as O
+from tessella.operators.tables import scratch
 from tessella.plans import _sql as Q
 from tessella.plans.registry import query
 from tessella.sources import readers as Rd
 from tessella.sources import sinks as Si
 from tessella.sources.tables import HIERARCHY_SQL, events, hierarchy_edges, table
+from tessella.streaming import limits as Li
 
 NOW_US, DAY = 1706745600000000, 86400000000.0
 DAYS = "date_diff('microsecond', ts, TIMESTAMP '2024-02-01') / 86400000000.0"
@@ -224,10 +226,27 @@ def st_bloom(spark: SparkSession, d: str) -> DataFrame:
 # Streams, as batch queries of equal results
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS demand FROM events")
+_QUICK = "1704067200000000 + (epoch_us(ts) - 1704067200000000) // 40000"
+_OPEN = "list_filter(s.kept, lambda t: t > x.us - 60000000)"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, {_QUICK} AS us FROM events),
+ o AS (SELECT user_id, list({{'us': us, 'id': event_id, 'kept': []::BIGINT[], 'ids': []::BIGINT[]}} ORDER BY us, event_id) AS l FROM e GROUP BY user_id),
+ f AS (SELECT user_id, list_reduce(l, lambda s, x: {{'us': x.us, 'id': x.id, 'kept': CASE WHEN len({_OPEN}) < 30 THEN list_append({_OPEN}, x.us) ELSE {_OPEN} END, 'ids': CASE WHEN len({_OPEN}) < 30 THEN list_append(s.ids, x.id) ELSE s.ids END}},
+  {{'us': 0::BIGINT, 'id': 0::BIGINT, 'kept': []::BIGINT[], 'ids': []::BIGINT[]}}).ids AS ids FROM o)
+ SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS demand, event_id IN (SELECT unnest(ids) FROM f) AS accepted FROM e""")
 def sm_ratelimit(spark: SparkSession, d: str) -> DataFrame:
+    """Requests in quick succession: how many a user made in the last minute, and whether the sliding log accepts each.
+
+    The decisions come from a stream over the events, with its state in the state store.
+    """
+    zero = 1704067200000000
+    quick = lambda us: zero + F.floor((us - zero) / 40000)
+    live = Li.stream_of(spark, d, "events")
+    requests = live.select("event_id", "user_id", F.timestamp_micros(quick(F.unix_micros(F.col("ts").cast("timestamp"))).cast("long")).alias("ts"))
+    decided = Li.run_to_table(Li.sliding_log(requests), scratch(spark))
     w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-60_000_000, 0)
-    return events(spark, d).select("event_id", F.count(F.lit(1)).over(w).alias("demand"))
+    return decided.select("event_id", F.count(F.lit(1)).over(w).alias("demand"), "accepted")
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS most FROM events GROUP BY ALL")

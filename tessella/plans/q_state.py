@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
+from tessella.operators import folds as Fo
 from tessella.operators import retrieval as R
 from tessella.operators import windows as O
 from tessella.plans import _samples as X
@@ -135,21 +136,21 @@ _TIME = "(value * 100)"
 def sq_quiz_update(spark: SparkSession, d: str) -> DataFrame:
     """Profiles after all answers: speed, streaks, accuracy by topic, and weak areas, which begin at 4 and lose a half by each right answer."""
     e = events(spark, d).withColumn("ok", F.col("value") > 50).withColumn("time", F.col("value") * 100)
-    start = F.struct(F.lit(0.5).alias("speed"), F.lit(0).alias("now"), F.lit(0).alias("best"))
 
-    def step(s, r):
-        signal = F.when(r["ok"], F.greatest(F.lit(0.0), 1 - r["time"] / 20000)).otherwise(0.0)
-        now = F.when(r["ok"], s["now"] + 1).otherwise(0)
-        return F.struct((0.85 * s["speed"] + 0.15 * signal).alias("speed"), now.alias("now"), F.greatest(s["best"], now).alias("best"))
+    def step(s: tuple, ok: bool, time: float) -> tuple:
+        speed, now, best = s
+        signal = max(0.0, 1 - time / 20000) if ok else 0.0
+        now = now + 1 if ok else 0
+        return 0.85 * speed + 0.15 * signal, now, max(best, now)
 
-    folded = O.ordered(e, ["user_id"], "us", "event_id", "ok", "time").select("user_id", F.aggregate("rows", start, step).alias("s"))
+    folded = Fo.fold(e, ["user_id"], ["us", "event_id"], ["ok", "time"], (0.5, 0, 0), step, tuple, "speed double, now int, best int")
     topics = e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(flag(F.col("ok"))).alias("c"))
     said = lambda form, x: F.concat("event_type", F.lit(":"), F.format_string(form, x))
     listed = lambda x: F.array_join(F.array_sort(F.collect_list(x)), ",")  # noqa: E731  one of each topic
     p = topics.groupBy("user_id").agg(
         F.sum("n").alias("asked"), F.sum("c").alias("correct"), listed(said("%.3f", F.col("c") / F.col("n"))).alias("strengths"), listed(F.when(F.col("c") < 8, said("%.1f", 4.0 - 0.5 * F.col("c")))).alias("weak"),
     )
-    return p.join(folded, "user_id").select("user_id", "asked", "correct", F.round("s.speed", 6).alias("speed"), F.col("s.now").alias("current_streak"), F.col("s.best").alias("best_streak"), "strengths", "weak")
+    return p.join(folded, "user_id").select("user_id", "asked", "correct", F.round("speed", 6).alias("speed"), F.col("now").alias("current_streak"), F.col("best").alias("best_streak"), "strengths", "weak")
 
 
 _RATED = "CASE WHEN value > 70 THEN 4.0::DOUBLE WHEN value > 40 THEN 3.0 ELSE 1.0 END"
@@ -167,15 +168,14 @@ def sq_fsrs_review(spark: SparkSession, d: str) -> DataFrame:
     r = F.when(F.col("value") > 70, 4).when(F.col("value") > 40, 3).otherwise(1)
     w = Window.partitionBy("user_id", "event_type").orderBy("us", "event_id")
     e = events(spark, d).withColumn("r", r).withColumn("days", F.coalesce((F.col("us") - F.lag("us").over(w)) / DAY, F.lit(0.0)))
-    start = F.struct(F.lit(1.0).alias("stability"), F.lit(5.0).alias("difficulty"))
+    after = S.fsrs_step()
 
-    def step(s, x):
-        new = S.fsrs(s["stability"], s["difficulty"], x["r"], x["days"])
-        return F.struct(F.round(new["stability"], 2).alias("stability"), F.round(new["difficulty"], 2).alias("difficulty"))
+    def step(s: tuple, rating: int, days: float) -> tuple:
+        stability, difficulty = after(s[0], s[1], rating, days)
+        return S.half_up(stability, 2), S.half_up(difficulty, 2), s[2] + 1, s[3] + (rating > 1)
 
-    cards = O.ordered(e, ["user_id", "event_type"], "us", "event_id", "r", "days")
-    cards = cards.select("user_id", "event_type", F.size("rows").cast("long").alias("reviews"), F.size(F.filter("rows", lambda x: x["r"] > 1)).cast("long").alias("correct"), F.aggregate("rows", start, step).alias("s"))
-    return cards.select("user_id", "event_type", "reviews", "correct", "s.stability", "s.difficulty", F.least(F.lit(365), F.round("s.stability").cast("int")).alias("due_in"))
+    cards = Fo.fold(e, ["user_id", "event_type"], ["us", "event_id"], ["r", "days"], (1.0, 5.0, 0, 0), step, tuple, "stability double, difficulty double, reviews long, correct long")
+    return cards.withColumn("due_in", F.least(F.lit(365), F.round("stability").cast("int")))
 
 
 SPACES = ("daily", "system", "academic")
@@ -205,40 +205,42 @@ def consolidated(memories: DataFrame, most: int = 4000) -> DataFrame:
 # Time to live
 
 
-def _accept_sql(key: str, ttl: int) -> str:
+def _accept_sql(key: str, ttl: int, us: str = "epoch_us(ts)") -> str:
     """Accepted events of each key as a fold: those at least a time to live after the last accepted one."""
     start = "{'last': -9000000000000000::BIGINT, 'ids': []::BIGINT[]}"
-    one = "{'last': epoch_us(ts), 'ids': [event_id::BIGINT]}"
+    one = f"{{'last': {us}, 'ids': [event_id::BIGINT]}}"
     step = f"CASE WHEN x.last - s.last >= {ttl} THEN {{'last': x.last, 'ids': list_concat(s.ids, x.ids)}} ELSE s END"
     return f"SELECT {key}, list_reduce(list({one} ORDER BY ts, event_id), lambda s, x: {step}, {start}).ids AS ids FROM events GROUP BY ALL"
 
 
-@query(f"SELECT user_id, event_type, unnest(ids) AS event_id FROM ({_accept_sql('user_id, event_type', 5_000_000)})")
+@query(f"SELECT user_id, event_type, unnest(ids) AS event_id FROM ({_accept_sql('user_id, event_type', 5_000_000, '((epoch_us(ts) - 1704067200000000) // 40000)')})")
 def st_coalesce(spark: SparkSession, d: str) -> DataFrame:
     """Calls that start: others within five seconds of one that started share its result."""
-    rows = O.ordered(events(spark, d), ["user_id", "event_type"], "us", "event_id")
-    return rows.select("user_id", "event_type", F.explode(O.accepted_ids(F.col("rows"), "us", "event_id", 5_000_000)).alias("event_id"))
+    quick = events(spark, d).withColumn("us", F.floor((F.col("us") - 1704067200000000) / 40000))  # calls in quick succession
+    return Fo.accepted(quick, ["user_id", "event_type"], "us", "event_id", 5_000_000).select("user_id", "event_type", "event_id")
 
 
 @query(f"SELECT user_id, event_type, len(ids)::INT AS accepted FROM ({_accept_sql('user_id, event_type', DAY)})")
 def sm_dedup_ttl(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list("us")).alias("t"))
-    return e.select("user_id", "event_type", O.accepted_count(F.col("t"), DAY).alias("accepted"))
+    return _counted(Fo.accepted(events(spark, d), ["user_id", "event_type"], "us", "event_id", DAY), "user_id", "event_type")
+
+
+def _counted(kept: DataFrame, *by: str) -> DataFrame:
+    return kept.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("accepted"))
 
 
-@query(f"SELECT event_type, len(list_reduce(list({{'last': m, 'n': [1]}} ORDER BY m), lambda s, x: CASE WHEN x.last - s.last >= {DAY} THEN {{'last': x.last, 'n': list_concat(s.n, x.n)}} ELSE s END, {{'last': -9000000000000000::BIGINT, 'n': []::INT[]}}).n)::INT AS accepted FROM (SELECT DISTINCT event_type, epoch_us(ts) // 60000000 * 60000000 AS m FROM events) GROUP BY event_type")
+@query(f"SELECT event_type, len(list_reduce(list({{'last': m, 'n': [1]}} ORDER BY m), lambda s, x: CASE WHEN x.last - s.last >= {DAY} THEN {{'last': x.last, 'n': list_concat(s.n, x.n)}} ELSE s END, {{'last': -9000000000000000::BIGINT, 'n': []::INT[]}}).n)::INT AS accepted FROM (SELECT DISTINCT event_type || user_id % 40 AS event_type, epoch_us(ts) // 60000000 * 60000000 AS m FROM events) GROUP BY event_type")
 def x_topic_ttl(spark: SparkSession, d: str) -> DataFrame:
-    """Topics taken up again a day after the last time; minutes of all times are what is gathered."""
-    minutes = events(spark, d).select("event_type", (F.floor(F.col("us") / 60_000_000) * 60_000_000).alias("m")).distinct()
-    e = minutes.groupBy("event_type").agg(F.array_sort(F.collect_list("m")).alias("t"))
-    return e.select("event_type", O.accepted_count(F.col("t"), DAY).alias("accepted"))
+    """Topics taken up again a day after the last time, by the minute."""
+    topic = F.concat("event_type", (F.col("user_id") % 40).cast("string"))
+    minutes = events(spark, d).select(topic.alias("event_type"), (F.floor(F.col("us") / 60_000_000) * 60_000_000).alias("m")).distinct()
+    return _counted(Fo.accepted(minutes.withColumn("k", F.lit(0)), ["event_type"], "m", "k", DAY), "event_type")
 
 
 @query(f"SELECT user_id, md5(lower(trim(event_type))) AS q, len(ids)::INT AS accepted FROM ({_accept_sql('user_id, event_type', 3_600_000_000)})")
 def x_user_query_ttl(spark: SparkSession, d: str) -> DataFrame:
-    q = F.md5(F.lower(F.trim("event_type")))
-    e = events(spark, d).groupBy("user_id", q.alias("q")).agg(F.array_sort(F.collect_list("us")).alias("t"))
-    return e.select("user_id", "q", O.accepted_count(F.col("t"), 3_600_000_000).alias("accepted"))
+    e = events(spark, d).withColumn("q", F.md5(F.lower(F.trim("event_type"))))
+    return _counted(Fo.accepted(e, ["user_id", "q"], "us", "event_id", 3_600_000_000), "user_id", "q")
 
 
 @query("""WITH o AS (SELECT user_id, list({'us': epoch_us(ts), 'bad': event_type = 'error', 'fails': 0, 'since': 0::BIGINT, 'rejected': 0} ORDER BY ts, event_id) AS l FROM (SELECT * REPLACE (TIMESTAMP '2024-01-01' + to_microseconds((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 40000) AS ts, CASE WHEN value > 30 THEN 'error' ELSE event_type END AS event_type) FROM events) GROUP BY user_id),
@@ -250,15 +252,16 @@ def sm_breaker(spark: SparkSession, d: str) -> DataFrame:
     zero = 1704067200000000
     quick = zero + F.floor((F.col("us") - zero) / 40000)
     e = events(spark, d).select("user_id", "event_id", quick.alias("us"), ((F.col("event_type") == "error") | (F.col("value") > 30)).alias("bad"))
-    rows = O.ordered(e, ["user_id"], "us", "event_id", "bad")
-    start = F.struct(F.lit(0).alias("fails"), F.lit(0).cast("long").alias("since"), F.lit(0).alias("rejected"))
 
-    def step(s, r):
-        is_open = (s["fails"] >= 5) & (r["us"] - s["since"] <= 30_000_000)
-        fails = F.when(is_open, s["fails"]).when(r["bad"], F.when(s["fails"] >= 5, 1).otherwise(s["fails"] + 1)).otherwise(0)
-        return F.struct(fails.alias("fails"), F.when(~is_open & r["bad"], r["us"]).otherwise(s["since"]).alias("since"), (s["rejected"] + is_open.cast("int")).alias("rejected"))
+    def step(s: tuple, us: int, bad: bool) -> tuple:
+        fails, since, rejected = s
+        if fails >= 5 and us - since <= 30_000_000:
+            return fails, since, rejected + 1
+        if bad:
+            return (1 if fails >= 5 else fails + 1), us, rejected
+        return 0, since, rejected
 
-    return rows.select("user_id", F.aggregate("rows", start, step).alias("s")).select("user_id", "s.fails", "s.rejected")
+    return Fo.fold(e, ["user_id"], ["us", "event_id"], ["us", "bad"], (0, 0, 0), step, lambda s: (s[0], s[2]), "fails int, rejected int")
 
 
 # Simulated traffic

@@ -12,7 +12,6 @@ from tessella.operators import datalog as D
 from tessella.operators import graph as G
 from tessella.operators import retrieval as R
 from tessella.operators import storage as St
-from tessella.operators import windows as O
 from tessella.operators.chunking import pieces
 from tessella.operators.embedding import vector_of
 from tessella.plans import q_graph, q_retrieval, q_sources
@@ -108,11 +107,6 @@ def test_bloom_has_no_false_negatives(spark):
     assert sum(str(i) in bloom for i in range(10_000, 13_000)) < 150
 
 
-def test_ttl_is_anchored_at_the_last_accepted(spark):
-    t = F.array(*map(F.lit, [0, 6, 11, 15, 22])).cast("array<bigint>")
-    assert value(spark, O.accepted(t, 10)) == [0, 11, 22]
-
-
 def test_nearest_takes_queries_in_blocks(spark, sf, monkeypatch):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
