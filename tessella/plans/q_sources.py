@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
 from tessella.functions import words as W
+from tessella.operators import quantiles as Qu
 from tessella.operators import sequences as Seq
 from tessella.operators import storage as St
 from tessella.operators import windows as O
@@ -16,6 +19,7 @@ from tessella.plans.registry import query
 from tessella.sources import readers as Rd
 from tessella.sources import sinks as Si
 from tessella.sources.tables import HIERARCHY_SQL, events, hierarchy_edges, table
+from tessella.streaming import alerts as Al
 from tessella.streaming import limits as Li
 
 NOW_US, DAY = 1706745600000000, 86400000000.0
@@ -272,15 +276,56 @@ def sm_skip_mark(spark: SparkSession, d: str) -> DataFrame:
     return e.where((F.col("event_type") == "view") & (F.col("us") < NOW_US - int(2 * DAY)) & (F.col("next").isNull() | (F.col("next") > F.col("us") + int(2 * DAY)))).select("event_id")
 
 
-@query("SELECT strftime(ts, '%Y-%m-%d %H') AS hour, count(*) FILTER (event_type = 'error') AS errors, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'error') > 3")
+_SLOW = "(1704067200000000 + (epoch_us(ts) - 1704067200000000) // 400)"
+#: The samples of each kind of event: metric and value.
+_SAMPLES = {
+    "error": [("restart", "1.0"), ("up", "CASE WHEN value > 120 THEN 0.0 ELSE 1.0 END")],
+    "signup": [("memory", "0.8 + value / 600"), ("disk", "value / 400")],
+    "purchase": [("cpu", "80 + value / 5")],
+    "view": [("response", "value / 25")],
+    "click": [("search", "value / 60")],
+}
+_G, _LN = Qu.factor(), math.log(Qu.factor())
+_NUMBER = f"CASE WHEN value > 1e-9 THEN ceil(ln(value) / {_LN!r})::BIGINT + 100000 ELSE 0 END"
+_MIDDLE = f"CASE WHEN b = 0 THEN 0.0 ELSE pow({_G!r}, b - 100000) * {2 / (1 + _G)!r} END"
+
+
+def samples(e: DataFrame) -> DataFrame:
+    """ts, instance, metric, value of events, three instances, in less than two hours."""
+    zero = 1704067200000000
+    kinds = F.create_map(*(x for kind, found in _SAMPLES.items() for x in (F.lit(kind), F.array(*(F.struct(F.lit(m).alias("metric"), F.expr(v).cast("double").alias("value")) for m, v in found)))))
+    at = F.timestamp_micros((zero + F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - zero) / 400)).cast("long"))
+    rows = e.select(at.alias("ts"), (F.col("user_id") % 3).alias("instance"), F.explode(F.element_at(kinds, F.col("event_type"))).alias("s"))
+    return rows.select("ts", "instance", "s.metric", "s.value")
+
+
+def _alert_sql() -> str:
+    made = " UNION ALL ".join(f"SELECT us, instance, '{m}' AS metric, ({v})::DOUBLE AS value FROM e WHERE event_type = '{k}'" for k, found in _SAMPLES.items() for m, v in found)
+    rules = ", ".join(f"('{r.name}', '{r.metric}', '{r.kind}', {r.minutes}, {r.above}, {float(r.threshold)}, {r.patience}, '{r.severity}')" for r in Al.RULES)
+    return f"""WITH e AS (SELECT *, {_SLOW} AS us, user_id % 3 AS instance FROM events), s AS ({made}),
+ r(rule, metric, kind, minutes, above, threshold, patience, severity) AS (VALUES {rules}),
+ w AS (SELECT rule, kind, instance, value, us // 60000000 + k AS m FROM s JOIN r USING (metric), range(1, 61) g(k) WHERE k <= minutes),
+ p AS (SELECT rule, instance, m, {_NUMBER} AS b, count(*) AS n FROM w WHERE kind = 'p95' GROUP BY ALL),
+ q AS (SELECT *, sum(n) OVER (PARTITION BY rule, instance, m ORDER BY b) AS seen, floor(0.95::DOUBLE * (sum(n) OVER (PARTITION BY rule, instance, m) - 1)) AS place FROM p),
+ v AS (SELECT rule, instance, m, CASE WHEN any_value(kind) = 'count' THEN count(*)::DOUBLE ELSE round(avg(value), 9) END AS value FROM w WHERE kind <> 'p95' GROUP BY ALL
+  UNION ALL SELECT rule, instance, m, {_MIDDLE} FROM (SELECT rule, instance, m, min(b) AS b FROM q WHERE seen > place GROUP BY ALL)),
+ x AS (SELECT *, m - row_number() OVER (PARTITION BY rule, instance ORDER BY m) AS run FROM v JOIN r USING (rule) WHERE CASE WHEN above THEN value > threshold ELSE value < threshold END)
+ SELECT rule, severity, instance, m * 60 AS minute, round(value, 6) AS value, CASE WHEN m - min(m) OVER (PARTITION BY rule, instance, run) >= patience THEN 'firing' ELSE 'pending' END AS state FROM x"""
+
+
+@query(_alert_sql())
 def sm_alert(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd HH").alias("hour")).agg(F.sum((F.col("event_type") == "error").cast("long")).alias("errors"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
-    return e.where("errors > 3")
+    """Broken rules, minute by minute: restarts, memory, CPU, disk, a service down, and both latencies."""
+    found = Al.judged(Al.evaluated(samples(table(spark, d, "events"))))
+    return found.select("rule", "severity", "instance", F.unix_seconds("at").alias("minute"), F.round("value", 6).alias("value"), "state")
 
 
-@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
+@query(f"""WITH p AS (SELECT event_type, {_NUMBER} AS b, count(*) AS n FROM events GROUP BY ALL), q AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY b) AS seen, sum(n) OVER (PARTITION BY event_type) AS total FROM p),
+ m AS (SELECT event_type, min(b) FILTER (seen > floor(0.5::DOUBLE * (total - 1))) AS m50, min(b) FILTER (seen > floor(0.95::DOUBLE * (total - 1))) AS m95 FROM q GROUP BY event_type)
+ SELECT event_type, round({_MIDDLE.replace('b ', 'm50 ')}, 6) AS p50, round({_MIDDLE.replace('b ', 'm95 ')}, 6) AS p95 FROM m""")
 def sm_p95(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+    s = Qu.sketched(table(spark, d, "events"), ["event_type"], "value")
+    return Qu.merged(s, ["event_type"]).select("event_type", *(F.round(Qu.quantile(F.col("sketch"), q), 6).alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"))))
 
 
 # Other kernels
