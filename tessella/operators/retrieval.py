@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import cosine, tokens_bm25
-from tessella.operators.tables import stage
+from tessella.operators.tables import spread, written
 
-#: Queries of one broadcast, and terms of queries that texts are filtered by in place.
-QUERY_BLOCK, TERM_SET = 10_000, 5_000
+#: Queries, or terms of queries, of one broadcast.
+QUERY_BLOCK = 10_000
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query: str, k: int, score: Column | None = None) -> DataFrame:
@@ -59,28 +59,24 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, query: str, query_text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query, key, score of every document that shares a term with a query; repeated query terms count.
 
-    Texts are tokenised once.  Of a document the terms of the queries are kept, by a constant set where there
-    are at most ``TERM_SET`` of them; the rest works on what was kept, which is written first.
+    Texts are tokenised once, in one pass that keeps the terms of the queries and one row for each document, by a
+    join that is compiled with the rest; what it keeps is written, and read for the frequencies and for the hits.
     """
     terms = queries.select(query, F.explode(tokens_bm25(F.col(query_text))).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("qn"))
-    terms = stage(terms)
-    wanted = [r.term for r in terms.select("term").distinct().limit(TERM_SET + 1).collect()]
-    kept = docs.select(key, tokens_bm25(F.col(text)).alias("ts"))
-    kept = kept.select(key, F.size("ts").alias("dl"), F.filter("ts", lambda w: w.isin(wanted)).alias("ts") if 0 < len(wanted) <= TERM_SET else F.col("ts"))
-    kept = stage(kept)
-    size = kept.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    index = kept.select(key, "dl", F.explode("ts").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf"))
-    if len(wanted) > TERM_SET:
-        index = index.join(terms.select("term").distinct(), "term", "left_semi")
-    index = stage(index)  # read for the frequencies and for the hits
+    terms = written(terms)
+    few = terms.count() <= QUERY_BLOCK
+    small = F.broadcast if few else lambda df: df  # checked
+    own = F.lit("")  # no token is empty: the row of the document itself
+    wanted = terms.select("term").distinct().unionByName(queries.sparkSession.range(1).select(own.alias("term")))
+    every = spread(docs.select(key, text)).select(F.col(key), F.coalesce(tokens_bm25(F.col(text)), F.array()).alias("ts")).select(key, F.size("ts").alias("dl"), F.explode(F.array_append("ts", own)).alias("term"))
+    kept = written(every.join(small(wanted), "term", "left_semi").groupBy("term", key, "dl").agg(F.count(F.lit(1)).alias("tf")))
+    n, mean = kept.where("term = ''").agg(F.count(F.lit(1)), F.avg("dl")).first()
+    index = kept.where("term <> ''")
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("qn") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    known = terms.join(df, "term")
-    if len(wanted) <= TERM_SET and terms.count() <= QUERY_BLOCK:
-        known = F.broadcast(known)  # so that a frequent term is no one task's
-    hits = index.join(known, "term").crossJoin(F.broadcast(size))  # size is one row
-    return hits.groupBy(query, key).agg(F.sum(part).alias("score"))
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    known = small(terms.join(df, "term"))  # so that a frequent term is no one task's
+    part = F.col("qn") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (mean or 1.0)))
+    return index.join(known, "term").groupBy(query, key).agg(F.sum(part).alias("score"))
 
 
 def fuse(lists: list[tuple[DataFrame, float]], by: list[str], key: str, c: int = 60) -> DataFrame:

@@ -61,3 +61,9 @@ def drop(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     except Exception:  # noqa: BLE001  the session may have ended before
         pass
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the session has cores at least, so that a file of one row group is no one task's."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

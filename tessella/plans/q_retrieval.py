@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
-from tessella.operators import ann
+from tessella.operators import ann, bm25
 from tessella.operators import retrieval as R
 from tessella.operators.tables import written
 from tessella.plans.registry import query
@@ -81,6 +81,17 @@ def ret_bm25(spark: SparkSession, d: str) -> DataFrame:
     return R.top(b, ["item_id"], "doc_id", 10).select("item_id", "doc_id", "score")
 
 
+@query(f"""WITH {BM25_SQL.replace("FROM documents)", "FROM documents WHERE doc_id % 10 <> 3)", 1).replace("FROM documents d", "FROM (SELECT * FROM documents WHERE doc_id % 10 <> 3) d")}
+ SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM bm) WHERE r <= 10""")
+def ret_bm25_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stored index of half of the documents, to which the others are added and a tenth is removed."""
+    docs = table(spark, d, "documents")
+    half = bm25.build(docs.where("doc_id % 2 = 0"), "doc_id", "text")
+    index = bm25.remove(bm25.add(half, docs.where("doc_id % 2 = 1"), "doc_id", "text"), docs.where("doc_id % 10 = 3"), "doc_id")
+    asked = table(spark, d, "benchmark").select("item_id", F.col("text").alias("qt"))
+    return bm25.search(index, asked, "item_id", "qt", 10, 6).select("item_id", F.col("doc").alias("doc_id"), "score")
+
+
 @query(f"WITH {BM25_SQL} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term")
 def ret_bm25_index(spark: SparkSession, d: str) -> DataFrame:
     return R.postings(table(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
