@@ -11,6 +11,7 @@ from tessella.functions import scalars as S
 from tessella.functions import words as W
 from tessella.operators import folds as Fo
 from tessella.operators import windows as O
+from tessella.operators.automaton import contained
 from tessella.plans import _sql as Q
 from tessella.plans.registry import query
 from tessella.sources.tables import HIERARCHY_SQL, TRADE_SQL, events, hierarchy_edges, table, trade_edges
@@ -196,8 +197,8 @@ def anti_seen_hash(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT n_name, count(*) AS n FROM nation JOIN customer ON contains(c_name, n_nationkey::VARCHAR) GROUP BY n_name")
 def join_contains(spark: SparkSession, d: str) -> DataFrame:
-    n = F.broadcast(table(spark, d, "nation"))  # 25 rows by definition of the table
-    return table(spark, d, "customer").join(n, F.col("c_name").contains(F.col("n_nationkey").cast("string"))).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("p"), "n_name")
+    return contained(table(spark, d, "customer"), "c_name", n, "p", []).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT c_custkey, n_name, r_name FROM customer, nation, region WHERE c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND c_acctbal > 0")

@@ -13,6 +13,7 @@ from tessella.operators import quantiles as Qu
 from tessella.operators import sequences as Seq
 from tessella.operators import storage as St
 from tessella.operators import windows as O
+from tessella.operators.automaton import contained
 from tessella.operators.tables import scratch
 from tessella.plans import _sql as Q
 from tessella.plans.registry import query
@@ -353,11 +354,10 @@ _CLASSES = ", ".join(f"{Q.any_of('t', w)} AS {n}" for w, n in W.ERROR_CLASSES)
 
 @query("SELECT lang, coalesce(c, 'UNKNOWN') AS class FROM (SELECT DISTINCT lang FROM documents) LEFT JOIN (" + " UNION ".join(f"SELECT DISTINCT lang AS l, {Q.text(n)} AS c FROM documents WHERE {Q.any_of('lower(text)', w)}" for w, n in W.ERROR_CLASSES) + ") ON lang = l")
 def x_error_pattern(spark: SparkSession, d: str) -> DataFrame:
-    t = F.lower("text")
-    hits = F.filter(F.array(*(F.when(S.any_of(t, w), F.lit(n)) for w, n in W.ERROR_CLASSES)), lambda x: x.isNotNull())
-    found = table(spark, d, "documents").select("lang", F.explode_outer(hits).alias("class")).distinct()
-    some = found.where("class IS NOT NULL")
-    none = found.select("lang").distinct().join(some.select("lang"), "lang", "left_anti").select("lang", F.lit("UNKNOWN").alias("class"))
+    docs = table(spark, d, "documents").select("lang", F.lower("text").alias("t"))
+    words = spark.createDataFrame([(w, n) for ws, n in W.ERROR_CLASSES for w in ws], "word string, class string")
+    some = contained(docs, "t", words, "word", ["lang"]).select("lang", "class").distinct()
+    none = docs.select("lang").distinct().join(some.select("lang"), "lang", "left_anti").select("lang", F.lit("UNKNOWN").alias("class"))
     return some.unionByName(none)
 
 
