@@ -11,7 +11,7 @@ from tessella.functions import scalars as S
 from tessella.plans import _samples as X
 from tessella.plans import _sql as Q
 from tessella.plans.registry import query
-from tessella.sources import readers, sinks
+from tessella.sources import markup, readers, sinks
 from tessella.sources.tables import table
 
 
@@ -60,18 +60,17 @@ def src_free_jobs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_nationkey, c_name AS company, c_mktsegment AS role, CASE WHEN c_custkey % 5 = 0 THEN 'Remote' ELSE 'City ' || c_custkey END AS location, CASE WHEN c_custkey % 3 = 0 THEN '#' ELSE 'https://jobs.example/' || c_custkey END AS link FROM customer WHERE c_custkey % 7 <> 0")
 def src_html_table(spark: SparkSession, d: str) -> DataFrame:
-    """Job lists as HTML tables, one a nation: rows of company, role, place and link; missing cells get a default, rows without a company go."""
+    """Job lists as HTML tables, of a nation's hundred customers at most: rows of company, role, place and link; missing cells get a default, rows without a company go."""
     c, k = table(spark, d, "customer"), F.col("c_custkey")
     cell = lambda *x: F.concat(F.lit("<td>"), *x, F.lit("</td>"))
     name = F.when(k % 7 == 0, "Unknown").otherwise(F.col("c_name"))
     link = F.when(k % 3 == 0, F.lit("closed")).otherwise(F.concat(F.lit('<a class="b" href="https://jobs.example/'), k, F.lit('"> Apply </a>')))
     place = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(" City <b>"), k, F.lit("</b> ")))
     row = F.concat(F.lit("<tr>"), cell(F.lit("<strong>"), name, F.lit("</strong>")), cell("c_mktsegment"), cell(place), cell(link), F.lit("</tr>\n"))
-    pages = c.groupBy("c_nationkey").agg(F.concat(F.lit("<p>jobs</p><table><thead><tr><th>company</th></tr></thead><tbody>"), F.array_join(F.collect_list(row), ""), F.lit("</tbody></table>")).alias("html"))
-    rows = readers.html_rows(pages, "c_nationkey", "html")
-    get = lambda i, default: F.coalesce(F.nullif(F.get("cells", F.lit(i)), F.lit("")), F.lit(default))
-    jobs = rows.select("c_nationkey", get(0, "Unknown").alias("company"), get(1, "Unknown").alias("role"), get(2, "Remote").alias("location"), F.coalesce(F.nullif("link", F.lit("")), F.lit("#")).alias("link"))
-    return jobs.where("company <> 'Unknown'")
+    pages = c.groupBy("c_nationkey", F.floor(k / 100)).agg(F.concat(F.lit("<p>jobs</p><table><thead><tr><th>company</th></tr></thead><tbody>"), F.array_join(F.collect_list(row), ""), F.lit("</tbody></table>")).alias("html"))
+    first = lambda row, i, j, default: (row[i][j] if len(row) > i else "") or default
+    jobs = lambda text: [(first(r, 0, 0, "Unknown"), first(r, 1, 0, "Unknown"), first(r, 2, 0, "Remote"), next((x for _, x in r if x), "#")) for t in markup.tables(text) for r in t]
+    return markup.parsed(pages, "html", ["c_nationkey"], jobs, "company string, role string, location string, link string").where("company <> 'Unknown'")
 
 
 _TITLE = "trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"
@@ -79,11 +78,13 @@ _TITLE = "trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"
 
 @query(f"SELECT page_id, 0 AS pos, {_TITLE} AS title, url AS link FROM pages WHERE {_TITLE} <> '' UNION ALL SELECT page_id, 1, 'again ' || page_id, url || '?again' FROM pages")
 def src_rss(spark: SparkSession, d: str) -> DataFrame:
-    """Feeds of three items; an item without title or link is left out."""
+    """Feeds of three items; an item without title or link is left out.  Texts are kept as the feed spells them."""
     title = F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
     item = lambda a, b: F.concat(F.lit("<item>\n<title type='text'> "), a, F.lit("\n</title><link> "), b, F.lit(" </link></item>"))
     feed = F.concat(F.lit("<rss>"), item(title, F.col("url")), item(F.concat(F.lit("again "), "page_id"), F.concat("url", F.lit("?again"))), item(F.lit("no link"), F.lit("")), F.lit("</rss>"))
-    found = readers.items(table(spark, d, "pages").select("page_id", feed.alias("x")), "page_id", "x", "item", {"title": "title", "link": "link"})
+    one = lambda x, f: x.get(f, [""])[0].strip()
+    read = lambda text: [(pos, one(x, "title"), one(x, "link")) for pos, x in enumerate(markup.items(text, "item", ("title", "link"), resolve=False))]
+    found = markup.parsed(table(spark, d, "pages").select("page_id", feed.alias("x")), "x", ["page_id"], read, "pos int, title string, link string")
     return found.where("title <> '' AND link <> ''")
 
 
@@ -104,11 +105,10 @@ def src_atom(spark: SparkSession, d: str) -> DataFrame:
         F.lit("<feed><entry><id>http://papers.example/"), k, F.lit("</id><title>\n "), X.pick(_PAPER, F.col("doc_id")), F.lit(" </title><summary> of\n"), "lang", F.lit("  text </summary><published>2024-01-0"), (F.col("doc_id") % 9 + 1).cast("string"),
         F.lit("</published><author><name>"), F.coalesce("source", F.lit("none")), F.lit("</name></author><author><name> B. Author</name></author>"), pdf, F.lit("</entry></feed>"),
     )
-    fields = {"id": "id", "title": "title", "summary": "summary", "published": "published"}
-    rows = table(spark, d, "documents").select("doc_id", F.explode(readers.all_of(xml, "entry")).alias("e"))
-    flat = lambda c: F.regexp_replace(c, "\\s+", " ")
-    names = F.transform(readers.all_of(F.col("e"), "name"), lambda x: F.trim(x))
-    found = rows.select("doc_id", *(flat(readers.inner(F.col("e"), t)).alias(n) for n, t in fields.items()), F.array_join(names, ",").alias("authors"), F.nullif(F.regexp_extract("e", '<link[^>]*title="pdf"[^>]*href="([^"]+)"', 1), F.lit("")).alias("pdf_url"))
+    flat = lambda x, f: " ".join(x.get(f, [""])[0].split())
+    file = lambda x: next((h for h, t in zip(x.get("link@href", []), x.get("link@title", []), strict=False) if t == "pdf"), None)
+    papers = lambda text: [(*(flat(x, f) for f in ("id", "title", "summary", "published")), ",".join(n.strip() for n in x.get("name", [])), file(x)) for x in markup.items(text, "entry", ("id", "title", "summary", "published", "name", "link"))]
+    found = markup.parsed(table(spark, d, "documents").select("doc_id", xml.alias("x")), "x", ["doc_id"], papers, "id string, title string, summary string, published string, authors string, pdf_url string")
     return found.where(~S.any_of(F.lower(F.concat_ws(" ", "title", "summary")), IRRELEVANT))
 
 
@@ -132,7 +132,14 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     """Pages as Markdown under their title and source: headings, links, lists, emphasis and code stay."""
     html = F.concat(X.pick(X.PAGES, F.col("page_id")), F.col("html"))
     title = F.coalesce(F.nullif(F.trim(F.regexp_extract(html, "<title>([^<]*)</title>", 1)), F.lit("")), F.lit("Untitled"))
-    return table(spark, d, "pages").select("page_id", F.concat(F.lit("# "), title, F.lit("\n\n> Source: "), "url", F.lit("\n\n"), readers.markdown(html)).alias("text"))
+    text = markup.parsed(table(spark, d, "pages").select("page_id", "url", title.alias("title"), html.alias("html")), "html", ["page_id", "url", "title"], lambda t: [(markup.markdown(t),)], "body string")
+    return text.select("page_id", F.concat(F.lit("# "), "title", F.lit("\n\n> Source: "), "url", F.lit("\n\n"), "body").alias("text"))
+
+
+@query()
+def html_readable(spark: SparkSession, d: str) -> DataFrame:
+    """The main text of every page, and how many blocks are part of it or not; navigation, advertisements and footers go."""
+    return markup.parsed(table(spark, d, "pages"), "html", ["page_id"], lambda t: [markup.readable(t)], "text string, kept int, dropped int")
 
 
 _SHAPE = "items array<struct<full_name: string, stargazers_count: long, html_url: string>>"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -12,50 +12,7 @@ def json_state(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def all_of(text: Column, tag: str) -> Column:
-    """Inner texts of every element of a tag."""
-    return F.regexp_extract_all(text, F.lit(f"<{tag}(?:\\s[^>]*)?>([\\s\\S]*?)</{tag}>"), F.lit(1))
-
-
-def trimmed(text: Column) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, "^\\s+|\\s+$", "")
-
-
-def inner(text: Column, tag: str) -> Column:
-    return trimmed(F.regexp_extract(text, f"<{tag}(?:\\s[^>]*)?>([\\s\\S]*?)</{tag}>", 1))
-
-
-def strip_tags(text: Column) -> Column:
-    return F.regexp_replace(text, "<[^>]+>", "")
-
-
-def items(df: DataFrame, key: str, xml: str, tag: str, fields: dict[str, str]) -> DataFrame:
-    """key, pos and one column a field for every element ``tag``."""
-    rows = df.select(key, F.posexplode(all_of(F.col(xml), tag)).alias("pos", "_x"))
-    return rows.select(key, "pos", *(inner(F.col("_x"), t).alias(name) for name, t in fields.items()))
-
-
-def html_rows(df: DataFrame, key: str, html: str) -> DataFrame:
-    """key, pos, cells, link of every table row that has cells."""
-    body = F.regexp_extract(F.col(html), "<tbody>([\\s\\S]*?)</tbody>", 1)
-    rows = df.select(key, F.posexplode(all_of(F.when(body != "", body).otherwise(F.col(html)), "tr")).alias("pos", "_r"))
-    rows = rows.withColumn("cells", F.transform(all_of(F.col("_r"), "td"), lambda c: F.trim(strip_tags(c)))).where("size(cells) > 0")
-    return rows.select(key, "pos", "cells", F.regexp_extract("_r", 'href="([^"]+)"', 1).alias("link"))
-
-
-def html_text(html: Column) -> Column:
-    """Readable text: no head, scripts, styles or navigation, blank lines at block ends."""
-    out = F.regexp_replace(html, "(?is)<(head|script|style|nav|footer|header|aside)(\\s[^>]*)?>.*?</\\1>", " ")
-    out = F.regexp_replace(out, "(?i)</(p|div|h[1-6]|li|tr)>|<br\\s*/?>", "\n")
-    out = strip_tags(out)
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.regexp_replace(out, "[ \\t]+", " ")
-    return F.regexp_replace(F.regexp_replace(out, " ?\\n[ \\n]*", "\n"), "^\\s+|\\s+$", "")
-
-
-#: Steps from HTML to Markdown, in order; none looks behind or ahead.
+#: Steps from HTML to Markdown as SQL has them, in order; ``markup.markdown`` gives the same in one pass.
 MARKDOWN = [
     *((f"(?is)<{t}(\\s[^>]*)?>.*?</{t}>", " ") for t in ("head", "script", "style", "nav", "footer", "header", "aside")),
     ("(?is)<pre(\\s[^>]*)?>\\s*<code(\\s[^>]*)?>(.*?)</code>\\s*</pre>", "\n\n```\n$3\n```\n\n"), ("(?is)<code(\\s[^>]*)?>(.*?)</code>", "`$2`"),
@@ -66,17 +23,6 @@ ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nb
 BLANKS = [("[ \\t]+", " "), (" ?\\n ?", "\n"), ("\\n{3,}", "\n\n"), ("^\\s+|\\s+$", "")]
 
 
-def markdown(html: Column) -> Column:
-    """Markdown of a page: no head, scripts, styles or navigation; headings, links, lists, emphasis and code stay."""
-    for pattern, by in MARKDOWN:
-        html = F.regexp_replace(html, pattern, by)
-    for entity, char in ENTITIES:
-        html = F.replace(html, F.lit(entity), F.lit(char))
-    for pattern, by in BLANKS:
-        html = F.regexp_replace(html, pattern, by)
-    return html
-
-
 def table_of_contents(df: DataFrame, key: str, order: str, kind: str, text: str) -> DataFrame:
     """Entries with the last heading above them as ``parent``."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
