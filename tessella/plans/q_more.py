@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
+from tessella.operators.tables import scratch
 from tessella.plans import _samples as X
 from tessella.plans import _sql as Q
 from tessella.plans.registry import query
-from tessella.sources import markup, readers, sinks
+from tessella.sources import ledger, markup, readers, sinks
 from tessella.sources.tables import table
 
 
@@ -160,11 +162,20 @@ def st_skiplist(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy("k").limit(100)
 
 
+def _answers(body: str, attempt: int) -> bool:
+    """A service that is busy at the first call for some bodies, and always for a few."""
+    busy = zlib.crc32(body.encode()) % 8
+    return busy > 1 or busy == 1 and attempt > 1
+
+
 @query("SELECT vec_id, count(*) AS n, round(sum(x), 5) AS total FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY vec_id")
 def sink_vec_remote(spark: SparkSession, d: str) -> DataFrame:
-    """Points of a vector service in request bodies of 100, read back as that service would."""
-    points = table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 100).alias("batch"), F.struct(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).alias("p"))
-    bodies = points.groupBy("batch").agg(F.to_json(F.struct(F.collect_list("p").alias("points"))).alias("body"))
-    back = bodies.select(F.explode(F.from_json("body", "points array<struct<id: long, vector: array<float>>>")["points"]).alias("p"))
+    """Points of a vector service in request bodies of at most 100: written with their states, and read back; those that fail are sent in a second batch."""
+    bodies = ledger.bodies(table(spark, d, "embeddings"), "vec_id", "embedding")
+    store, schema = ledger.Ledger(spark, scratch(spark)), "body string, n long, tries int, state string"
+    store.write(ledger.delivered(bodies, "body", _answers), 0)
+    again = store.rows(schema).where("batch = 0 AND state = 'failed'").select("body", "n")
+    store.write(ledger.delivered(again, "body", lambda body, attempt: True), 1)
+    back = store.rows(schema).where("state = 'sent'").select(F.explode(F.from_json("body", "points array<struct<id: long, vector: array<float>>>")["points"]).alias("p"))
     values = back.select(F.col("p.id").alias("vec_id"), F.explode("p.vector").alias("x"))
     return values.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("x").cast("double")), 5).alias("total"))

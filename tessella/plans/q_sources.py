@@ -17,6 +17,7 @@ from tessella.operators.automaton import contained
 from tessella.operators.tables import scratch
 from tessella.plans import _sql as Q
 from tessella.plans.registry import query
+from tessella.sources import ledger as Le
 from tessella.sources import readers as Rd
 from tessella.sources import sinks as Si
 from tessella.sources.tables import HIERARCHY_SQL, events, hierarchy_edges, table
@@ -72,7 +73,10 @@ def src_fallback(spark: SparkSession, d: str) -> DataFrame:
 def sink_upsert(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     new = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("k"), F.lit("new").alias("v"))
-    return Si.upsert(o.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v")), new, ["k"])
+    store = Le.Ledger(spark, scratch(spark))
+    for number, batch in ((0, o.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))), (1, new), (0, new.limit(0))):  # the last is a replay
+        store.write(batch, number)
+    return Le.latest(store.rows("k long, v string"), ["k"])
 
 
 @query("SELECT l_orderkey, l_linenumber, l_returnflag AS v FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT o_orderkey, 0, 'p' FROM orders WHERE o_orderstatus = 'P'")
@@ -82,9 +86,12 @@ def sink_replace_doc(spark: SparkSession, d: str) -> DataFrame:
     return Si.replace_documents(old, new, "l_orderkey")
 
 
-@query("SELECT user_id, tries, CASE WHEN ok THEN 'sent' WHEN tries >= 5 THEN 'failed' ELSE 'pending' END AS state FROM (SELECT user_id, count(*) AS tries, bool_or(event_type = 'purchase') AS ok FROM events GROUP BY user_id)")
+@query("SELECT message, tries, CASE WHEN ok THEN 'sent' WHEN tries >= 5 THEN 'failed' ELSE 'pending' END AS state FROM (SELECT user_id * 100 + day(ts) AS message, count(*) AS tries, bool_or(event_type = 'purchase') AS ok FROM events GROUP BY 1)")
 def sink_outbox(spark: SparkSession, d: str) -> DataFrame:
-    return Si.delivery_state(table(spark, d, "events").withColumn("ok", F.col("event_type") == "purchase"), "user_id", "ok")
+    """Messages of a user and day, of which each event is an attempt: a stream whose batches an idempotent sink takes."""
+    e = Li.stream_of(spark, d, "events")
+    attempts = e.select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("message"), (F.col("event_type") == "purchase").alias("ok"))
+    return Le.states(Le.run(attempts, Le.Ledger(spark, scratch(spark)), "message long, ok boolean"), "message", "ok")
 
 
 @query("SELECT 'events_total{type=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type")

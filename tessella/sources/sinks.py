@@ -16,12 +16,6 @@ def replace_documents(chunks: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return chunks.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def delivery_state(attempts: DataFrame, key: str, ok: str, most: int = 5) -> DataFrame:
-    """key, tries, state: sent once one attempt succeeds, failed after ``most`` failures, else pending."""
-    a = attempts.groupBy(key).agg(F.count(F.lit(1)).alias("tries"), F.max(F.col(ok).cast("int")).alias("_ok"))
-    return a.select(key, "tries", F.when(F.col("_ok") == 1, "sent").when(F.col("tries") >= most, "failed").otherwise("pending").alias("state"))
-
-
 def exposition(name: Column, label: str, value: Column, amount: Column) -> Column:
     """A metric line: name{label="value"} amount."""
     return F.format_string(f'%s{{{label}="%s"}} %s', name, value, amount.cast("string"))

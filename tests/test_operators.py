@@ -135,12 +135,10 @@ def test_embedding_is_a_unit_vector():
     assert not vector_of("").any()
 
 
-def test_upsert_and_delivery(spark):
+def test_upsert(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert {tuple(r) for r in sinks.upsert(old, new, ["k"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
-    tries = spark.createDataFrame([(1, False)] * 5 + [(2, False), (2, True), (3, False)], "k int, ok boolean")
-    assert {r.k: r.state for r in sinks.delivery_state(tries, "k", "ok").collect()} == {1: "failed", 2: "sent", 3: "pending"}
 
 
 def test_trust_fold_clamps(spark):
