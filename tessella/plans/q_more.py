@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
@@ -13,7 +13,7 @@ from tessella.operators.tables import scratch
 from tessella.plans import _samples as X
 from tessella.plans import _sql as Q
 from tessella.plans.registry import query
-from tessella.sources import ledger, markup, readers, sinks
+from tessella.sources import ledger, markup, readers, recorded, sinks
 from tessella.sources.tables import table
 
 
@@ -52,14 +52,35 @@ def src_txn(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT s_name AS company, 'Remote' AS location, coalesce(s_acctbal, 0) > 0 AS paid FROM supplier UNION ALL SELECT c_name, 'Remote', true FROM customer")
 def src_free_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """Two job APIs of unlike shapes as JSON, mapped to one schema."""
-    a = table(spark, d, "supplier").select(F.to_json(F.struct(F.struct(F.col("s_name").alias("name")).alias("company"), F.col("s_acctbal").alias("pay"))).alias("j"))
-    b = table(spark, d, "customer").select(F.to_json(F.struct(F.col("c_name").alias("employer"))).alias("j"))
-    x = a.select(F.from_json("j", "company struct<name: string>, pay double").alias("x")).select(F.col("x.company.name").alias("company"), (F.coalesce("x.pay", F.lit(0.0)) > 0).alias("paid"))
-    y = b.select(F.get_json_object("j", "$.employer").alias("company"), F.lit(True).alias("paid"))
+    """Two job APIs of unlike shapes, recorded page by page, mapped to one schema."""
+    a = _pages(table(spark, d, "supplier"), "s_suppkey", F.struct(F.struct(F.col("s_name").alias("name")).alias("company"), F.col("s_acctbal").alias("pay")), _JOBS_A)
+    b = _pages(table(spark, d, "customer"), "c_custkey", F.struct(F.col("c_name").alias("employer")), _JOBS_B)
+    rows = _recorded(spark, a.unionByName(b), _JOBS_A, _JOBS_B)
+    x = recorded.typed(rows, _JOBS_A).select("company", (F.coalesce(F.col("pay").cast("double"), F.lit(0.0)) > 0).alias("paid"))
+    y = recorded.typed(rows, _JOBS_B).select("company", F.lit(True).alias("paid"))
     return x.unionByName(y).select("company", F.lit("Remote").alias("location"), "paid")
 
 
+_JOBS_A = recorded.Api("jobs-a", "jobs", "next", (("company", "$.company.name"), ("pay", "$.pay")))
+_JOBS_B = recorded.Api("jobs-b", "results", "cursor", (("company", "$.employer"),))
+_REPOS = recorded.Api("repos", "items", "next", (("title", "$.full_name"), ("stars", "$.stargazers_count"), ("url", "$.html_url")))
+
+
+def _pages(rows: DataFrame, key: str, item: Column, api: recorded.Api, size: int = 500) -> DataFrame:
+    """Answers of an API: (api, page, body), pages of at most ``size`` neighbouring keys; each but the last names the next."""
+    number = F.floor(F.col(key) / size)
+    last = rows.agg(F.max(number).alias("last"))
+    pages = rows.groupBy(number.alias("n")).agg(F.collect_list(item).alias("found")).crossJoin(F.broadcast(last))  # one row
+    following = F.when(F.col("n") < F.col("last"), (F.col("n") + 1).cast("string"))
+    return pages.select(F.lit(api.name).alias("api"), F.col("n").cast("string").alias("page"), F.to_json(F.struct(F.col("found").alias(api.items), following.alias(api.token))).alias("body"))
+
+
+def _recorded(spark: SparkSession, answers: DataFrame, *apis: recorded.Api) -> DataFrame:
+    folder = scratch(spark)
+    recorded.record(answers, folder)
+    return recorded.read(spark, folder, apis)
+
+
 @query("SELECT c_nationkey, c_name AS company, c_mktsegment AS role, CASE WHEN c_custkey % 5 = 0 THEN 'Remote' ELSE 'City ' || c_custkey END AS location, CASE WHEN c_custkey % 3 = 0 THEN '#' ELSE 'https://jobs.example/' || c_custkey END AS link FROM customer WHERE c_custkey % 7 <> 0")
 def src_html_table(spark: SparkSession, d: str) -> DataFrame:
     """Job lists as HTML tables, of a nation's hundred customers at most: rows of company, role, place and link; missing cells get a default, rows without a company go."""
@@ -144,16 +165,25 @@ def html_readable(spark: SparkSession, d: str) -> DataFrame:
     return markup.parsed(table(spark, d, "pages"), "html", ["page_id"], lambda t: [markup.readable(t)], "text string, kept int, dropped int")
 
 
-_SHAPE = "items array<struct<full_name: string, stargazers_count: long, html_url: string>>"
+def _repositories(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded pages of a repository API; of every tenth there is a second recording, cut off, and the last names one that is not there."""
+    item = F.struct(F.col("p_name").alias("full_name"), F.col("p_size").cast("long").alias("stargazers_count"), F.concat(F.lit("https://example.com/"), "p_partkey").alias("html_url"))
+    pages = _pages(table(spark, d, "part"), "p_partkey", item, _REPOS, 100)
+    cut = pages.where("page % 10 = 0").select("api", F.concat("page", F.lit("-again")).alias("page"), F.substring("body", 1, 50).alias("body"))
+    end = pages.where("page = 0").select("api", F.lit("end").alias("page"), F.lit('{"items": [], "next": "lost"}').alias("body"))
+    return _recorded(spark, pages.unionByName(cut).unionByName(end), _REPOS)
 
 
 @query("SELECT p_name AS title, p_size::BIGINT AS stars, 'https://example.com/' || p_partkey AS url FROM part")
 def src_http(spark: SparkSession, d: str) -> DataFrame:
-    """Answers of a repository API as JSON texts, one a brand, flattened to rows."""
-    item = F.struct(F.col("p_name").alias("full_name"), F.col("p_size").cast("long").alias("stargazers_count"), F.concat(F.lit("https://example.com/"), "p_partkey").alias("html_url"))
-    answers = table(spark, d, "part").groupBy("p_brand").agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("body"))
-    rows = answers.select(F.explode(F.from_json("body", _SHAPE)["items"]).alias("x"))
-    return rows.select(F.col("x.full_name").alias("title"), F.col("x.stargazers_count").alias("stars"), F.col("x.html_url").alias("url"))
+    """Items of all pages that can be read."""
+    return recorded.typed(_repositories(spark, d), _REPOS).select("title", F.col("stars").cast("long").alias("stars"), "url")
+
+
+@query("SELECT 'repos' AS api, p || '-again' AS page, false AS absent FROM (SELECT DISTINCT p_partkey // 100 AS p FROM part) WHERE p % 10 = 0 UNION ALL SELECT 'repos', 'lost', true")
+def src_http_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that could not be read, and the one that was never recorded."""
+    return recorded.errors(_repositories(spark, d)).select("api", "page", (F.col("error") == "not recorded").alias("absent"))
 
 
 @query("SELECT user_id AS k, count(*) AS n FROM events GROUP BY user_id ORDER BY k LIMIT 100")
