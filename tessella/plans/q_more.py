@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
+import contextlib
 import zlib
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,34 +21,24 @@ from tessella.sources.tables import table
 @query("SELECT event_id, event_type FROM events")
 def src_watch_dir(spark: SparkSession, d: str) -> DataFrame:
     """Files that arrive in a folder, as a stream that takes what is there; its rows go to the shared folder."""
-    from tessella.operators.tables import shared_folder
-
     schema = table(spark, d, "events").schema
     files = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/event*.parquet")
-    out = f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}"
+    out = scratch(spark)
     stream = files.select("event_id", "event_type")
     stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
     return spark.read.parquet(f"{out}/rows")
 
 
-@query("SELECT r_regionkey, r_name, 'v2' AS version, 2 AS committed, 1 AS rolled_back FROM region")
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'")
 def src_txn(spark: SparkSession, d: str) -> DataFrame:
-    """Three versions of a table, each written whole; the third fails half-way and is rolled back, so readers see the second."""
-    from tessella.operators.tables import shared_folder
-
-    folder = f"{shared_folder(spark)}/txn-{uuid.uuid4().hex}"
-    r = table(spark, d, "region")
-    bad = r.withColumn("r_name", F.when(F.col("r_regionkey") == 3, F.raise_error(F.lit("a broken row"))).otherwise(F.col("r_name")))
-    committed, failed, current = 0, 0, ""
-    for version, rows in (("v1", r.where("r_regionkey < 0")), ("v2", r), ("v3", bad)):
-        try:
-            current = sinks.write_versioned(rows, folder, version)
-            committed += 1
-        except Exception:  # noqa: BLE001  whatever stops a write, its version is dropped
-            sinks.drop_version(spark, folder, version)
-            failed += 1
-    found = spark.read.parquet(current).withColumn("version", F.lit(current.rpartition("=")[2]))
-    return found.withColumn("committed", F.lit(committed)).withColumn("rolled_back", F.lit(failed))
+    """Orders in three transactions, one a status; the last breaks on a row, so that none of its rows is seen."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    store = ledger.Ledger(spark, scratch(spark))
+    bad = F.when(F.pmod(F.xxhash64("o_orderkey"), F.lit(7)) == 0, F.raise_error(F.lit("a broken row")).cast("string")).otherwise(F.col("o_orderstatus"))
+    for number, (status, value) in enumerate((("F", F.col("o_orderstatus")), ("O", F.col("o_orderstatus")), ("P", bad))):
+        with contextlib.suppress(PySparkException):  # what breaks a transaction rolls it back
+            store.write(o.where(F.col("o_orderstatus") == status).withColumn("o_orderstatus", value), number)
+    return store.rows("o_orderkey long, o_orderstatus string").drop("batch")
 
 
 @query("SELECT s_name AS company, 'Remote' AS location, coalesce(s_acctbal, 0) > 0 AS paid FROM supplier UNION ALL SELECT c_name, 'Remote', true FROM customer")

@@ -267,76 +267,37 @@ def sm_breaker(spark: SparkSession, d: str) -> DataFrame:
     return Fo.fold(e, ["user_id"], ["us", "event_id"], ["us", "bad"], (0, 0, 0), step, lambda s: (s[0], s[2]), "fails int, rejected int")
 
 
-# Simulated traffic
+# Traffic
 
 
-def _uniform(t: Column, name: str) -> Column:
-    """A number in (0, 1) from a digest, the same in every run."""
-    return (F.conv(F.substring(F.md5(F.concat(F.lit(name), t.cast("string"))), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
-
-
-def _normal(t: Column, name: str) -> Column:
-    return F.sqrt(-2 * F.log(_uniform(t, name + "a"))) * F.cos(2 * 3.141592653589793 * _uniform(t, name + "b"))
-
-
-def _u(name: str) -> str:
-    return f"((('0x' || substr(md5('{name}' || t), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0)"
-
-
-def _n(name: str) -> str:
-    return f"(sqrt(-2 * ln({_u(name + 'a')})) * cos(2 * 3.141592653589793 * {_u(name + 'b')}))"
-
-
-MINUTES, HOUR, BASE, PEAK, CHANCE = 600, 6, 100, 5000, 0.1
-TRAFFIC_SQL = f"""
-WITH t AS (SELECT i * 30 AS t FROM range({2 * MINUTES}) r(i)),
-u AS (SELECT t, {_u('s')} AS chance, greatest(0, round({BASE} + {BASE} * 0.15 * {_n('r')})) AS calm, floor(300 + 120 * {_n('d')})::BIGINT AS span, greatest(0.3, least(1.0, 0.7 + 0.15 * {_n('i')})) AS strength, 3 * {_n('c')} AS c, 2 * {_n('m')} AS m FROM t),
-o AS (SELECT list({{'t': t, 'chance': chance, 'span': span, 'strength': strength, 'on': false, 'left': 0::BIGINT, 'power': 0.0::DOUBLE, 'event': '', 'out': []::STRUCT(t BIGINT, spike DOUBLE, event VARCHAR)[]}} ORDER BY t) AS l FROM u),
-f AS (SELECT list_reduce(l, lambda s, x: {{'t': x.t, 'chance': x.chance, 'span': x.span, 'strength': x.strength,
-  'on': (s.on OR x.chance < {CHANCE}) AND (CASE WHEN s.on THEN s.left ELSE x.span END) - 30 > 0, 'left': CASE WHEN s.on OR x.chance < {CHANCE} THEN (CASE WHEN s.on THEN s.left ELSE x.span END) - 30 ELSE 0 END,
-  'power': CASE WHEN s.on THEN s.power ELSE x.strength END, 'event': '',
-  'out': list_append(s.out, {{'t': x.t, 'spike': CASE WHEN s.on OR x.chance < {CHANCE} THEN round({BASE} + {PEAK - BASE} * CASE WHEN s.on THEN s.power ELSE x.strength END) ELSE 0.0 END,
-   'event': CASE WHEN (s.on OR x.chance < {CHANCE}) AND (CASE WHEN s.on THEN s.left ELSE x.span END) - 30 <= 0 THEN 'SPIKE_END' END}})}},
- {{'t': 0::BIGINT, 'chance': 0.0::DOUBLE, 'span': 0::BIGINT, 'strength': 0.0::DOUBLE, 'on': false, 'left': 0::BIGINT, 'power': 0.0::DOUBLE, 'event': '', 'out': []::STRUCT(t BIGINT, spike DOUBLE, event VARCHAR)[]}}).out AS out FROM o),
-e AS (SELECT unnest(out) AS x FROM f),
-r AS (SELECT u.t, greatest(CASE WHEN ({HOUR} + (u.t // 60) / 60.0) % 24 BETWEEN 8 AND 18 THEN round(calm * 1.5) ELSE calm END, x.spike)::BIGINT AS rps, x.event AS event, c, m FROM u JOIN e ON u.t = x.t),
-s AS (SELECT t, rps, least(99, round(20 + rps / 1000.0 * 8 + c))::BIGINT AS cpu, least(98, round(30 + rps / {PEAK}.0 * 50 + m))::BIGINT AS memory, event FROM r)
+#: Half minutes over the times of events a thousandth as far apart, so that each has its load.
+TRAFFIC_SQL = """
+WITH b AS (SELECT ((epoch_us(ts) - 1704067200000000) // 1000 // 30000000)::BIGINT * 30 AS t, count(*) AS rps, least(99, round(20 + avg(value)))::BIGINT AS cpu, least(98, round(30 + max(value) / 8))::BIGINT AS memory FROM events GROUP BY 1),
+a AS (SELECT *, avg(rps) OVER () AS usual FROM b), w AS (SELECT *, rps > 1.15 * usual AS high, lag(rps > 1.15 * usual) OVER (ORDER BY t) AS was FROM a),
+s AS (SELECT t, rps, cpu, memory, CASE WHEN was AND NOT high THEN 'SPIKE_END' END AS event FROM w)
 """
 
 
-def traffic(spark: SparkSession) -> DataFrame:
-    """t, rps, cpu, memory, event every 30 seconds: noise, busier office hours, and spikes that last and differ in strength."""
-    t = F.col("t")
-    u = spark.range(2 * MINUTES).select((F.col("id") * 30).alias("t"))
-    span, strength = F.floor(300 + 120 * _normal(t, "d")), F.greatest(F.lit(0.3), F.least(F.lit(1.0), 0.7 + 0.15 * _normal(t, "i")))
-    u = u.select("t", _uniform(t, "s").alias("chance"), F.greatest(F.lit(0.0), F.round(BASE + BASE * 0.15 * _normal(t, "r"))).alias("calm"), span.alias("span"), strength.alias("strength"), (3 * _normal(t, "c")).alias("c"), (2 * _normal(t, "m")).alias("m"))
-    start = F.struct(F.lit(False).alias("on"), F.lit(0).cast("long").alias("left"), F.lit(0.0).alias("power"), F.array().cast("array<struct<t:bigint,spike:double,event:string>>").alias("out"))
-
-    def step(s, x):
-        on = s["on"] | (x["chance"] < CHANCE)
-        left, power = F.when(s["on"], s["left"]).otherwise(x["span"]) - 30, F.when(s["on"], s["power"]).otherwise(x["strength"])
-        spike = F.when(on, F.round(BASE + (PEAK - BASE) * power)).otherwise(0.0)
-        one = F.struct(x["t"].alias("t"), spike.alias("spike"), F.when(on & (left <= 0), "SPIKE_END").alias("event"))
-        return F.struct((on & (left > 0)).alias("on"), F.when(on, left).otherwise(0).alias("left"), power.alias("power"), F.concat(s["out"], F.array(one)).alias("out"))
-
-    rows = u.agg(F.array_sort(F.collect_list(F.struct("t", "chance", "span", "strength"))).alias("rows"))  # a row for each half minute of a simulation
-    spikes = rows.select(F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("x")).select("x.t", "x.spike", "x.event")
-    hour = (HOUR + F.floor(t / 60) / 60.0) % 24
-    j = u.join(spikes, "t").withColumn("rps", F.greatest(F.when(hour.between(8, 18), F.round(F.col("calm") * 1.5)).otherwise(F.col("calm")), F.col("spike")).cast("long"))
-    return j.select("t", "rps", F.least(F.lit(99), F.round(20 + F.col("rps") / 1000 * 8 + F.col("c"))).cast("long").alias("cpu"), F.least(F.lit(98), F.round(30 + F.col("rps") / PEAK * 50 + F.col("m"))).cast("long").alias("memory"), "event")
+def traffic(spark: SparkSession, d: str) -> DataFrame:
+    """t, rps, cpu, memory, event every half minute: the load of events, and where a spike above 1.15 of the usual load ends."""
+    t = F.floor((F.col("us") - 1704067200000000) / 30_000_000_000) * 30
+    b = events(spark, d).groupBy(t.alias("t")).agg(F.count(F.lit(1)).alias("rps"), F.least(F.lit(99), F.round(20 + F.avg("value"))).cast("long").alias("cpu"), F.least(F.lit(98), F.round(30 + F.max("value") / 8)).cast("long").alias("memory"))
+    a = b.crossJoin(F.broadcast(b.agg(F.avg("rps").alias("usual")))).withColumn("high", F.col("rps") > 1.15 * F.col("usual"))  # one row
+    was = F.lag("high").over(Window.orderBy("t"))  # a row for each half minute
+    return a.select("t", "rps", "cpu", "memory", F.when(was & ~F.col("high"), "SPIKE_END").alias("event"))
 
 
 @query(TRAFFIC_SQL + "SELECT * FROM s")
 def x_traffic_sim(spark: SparkSession, d: str) -> DataFrame:
-    return traffic(spark)
+    return traffic(spark, d)
 
 
-@query(TRAFFIC_SQL + """, a AS (SELECT max(rps) AS rps, max(cpu) AS cpu, max(memory) AS memory, round(avg(rps))::BIGINT AS mean FROM s)
-SELECT 'peak' AS part, NULL AS t, rps, cpu, memory, NULL AS event FROM a UNION ALL SELECT 'mean', NULL, mean, NULL, NULL, NULL FROM a
-UNION ALL (SELECT 'timeline', t, rps, cpu, memory, event FROM s WHERE event IS NOT NULL OR rps > 2 * (SELECT mean FROM a) OR cpu > 80 ORDER BY t LIMIT 10)""")
+@query(TRAFFIC_SQL + """, m AS (SELECT max(rps) AS rps, max(cpu) AS cpu, max(memory) AS memory, round(avg(rps))::BIGINT AS mean FROM s)
+SELECT 'peak' AS part, NULL AS t, rps, cpu, memory, NULL AS event FROM m UNION ALL SELECT 'mean', NULL, mean, NULL, NULL, NULL FROM m
+UNION ALL (SELECT 'timeline', t, rps, cpu, memory, event FROM s WHERE event IS NOT NULL OR rps > 2 * (SELECT mean FROM m) OR cpu > 80 ORDER BY t LIMIT 10)""")
 def x_metric_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Peaks, the mean, and the first ten moments of note of the simulated traffic."""
-    s = traffic(spark)
+    """Peaks, the mean, and the first ten moments of note of the traffic."""
+    s = traffic(spark, d)
     a = s.agg(F.max("rps").alias("rps"), F.max("cpu").alias("cpu"), F.max("memory").alias("memory"), F.round(F.avg("rps")).cast("long").alias("mean"))
     no = lambda kind: F.lit(None).cast(kind)
     peak = a.select(F.lit("peak").alias("part"), no("long").alias("t"), "rps", "cpu", "memory", no("string").alias("event"))

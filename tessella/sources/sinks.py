@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,17 +22,8 @@ def exposition(name: Column, label: str, value: Column, amount: Column) -> Colum
 
 
 def graph_json(edges: DataFrame) -> DataFrame:
-    return edges.select(F.to_json(F.struct("source", "target")).alias("link"))
-
-
-def write_versioned(df: DataFrame, folder: str, version: str) -> str:
-    """Write to a folder of its own and return it: readers switch by name, so a broken write is never seen."""
-    path = f"{folder.rstrip('/')}/version={version}"
-    df.write.mode("errorifexists").parquet(path)
-    return path
-
-
-def drop_version(spark: SparkSession, folder: str, version: str) -> None:
-    """Delete what a broken write has left of a version."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/version={version}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """part and line: each node with its links in both directions counted, and each link, as JSON."""
+    ends = edges.select(F.col("source").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("target").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    nodes = ends.groupBy("id").agg(F.sum("o").alias("out"), F.sum("i").alias("in"))
+    links = edges.select(F.lit("link").alias("part"), F.to_json(F.struct("source", "target")).alias("line"))
+    return nodes.select(F.lit("node").alias("part"), F.to_json(F.struct("id", "out", "in")).alias("line")).unionByName(links)

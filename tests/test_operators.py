@@ -100,13 +100,6 @@ def test_log_latest_wins(spark):
     assert {r.k for r in St.compact(log, "k", "seq", "op", "v", False).collect()} == {"a", "b", "c"}
 
 
-def test_bloom_has_no_false_negatives(spark):
-    rows = spark.createDataFrame([(str(i),) for i in range(3000)] + [(None,)], "x string")
-    bloom = St.Bloom.loads(St.Bloom(3000).build(rows, "x").dumps())
-    assert all(str(i) in bloom for i in range(3000))
-    assert sum(str(i) in bloom for i in range(10_000, 13_000)) < 150
-
-
 def test_nearest_takes_queries_in_blocks(spark, sf, monkeypatch):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
@@ -184,14 +177,3 @@ def test_beta_draws_follow_their_law():
     x, y = gamma_draws(np.full(len(keys), 4.0), keys), gamma_draws(np.full(len(keys), 9.0), keys, 1000)
     b = x / (x + y)
     assert abs(b.mean() - 4 / 13) < 0.003 and abs(b.var() - 4 * 9 / (13**2 * 14)) < 0.001 and abs(x.mean() - 4) < 0.05
-
-
-def test_bloom_in_the_jvm_equals_python(spark):
-    rows = spark.range(2000).select(F.concat(F.lit("é"), F.col("id").cast("string")).alias("x"))
-    bloom = St.Bloom(2000).build(rows, "x")
-    own = St.Bloom(2000)
-    for r in rows.collect():
-        own.add(r.x)
-    assert (own.bits == bloom.bits).all()
-    wrong = spark.range(5000, 15000).select(F.col("id").cast("string").alias("x")).where(bloom.test(F.col("x"))).count()
-    assert rows.where(~bloom.test(F.col("x"))).count() == 0 and wrong < 300
