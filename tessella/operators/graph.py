@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.tables import stage
+from tessella.operators.tables import written as stage
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -30,6 +30,13 @@ def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
+def incident(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges that begin or end at one of the nodes, each once, with all their columns."""
+    own = nodes.select("node").distinct()
+    ends = [edges.join(own.withColumnRenamed("node", c), c, "left_semi") for c in ("source", "target")]
+    return ends[0].unionByName(ends[1].join(own.withColumnRenamed("node", "source"), "source", "left_anti"))
+
+
 def reach_by(edges: DataFrame, start: DataFrame, by: str, depth: int) -> DataFrame:
     """(by, node, depth) as ``reach`` gives it, for every start set (by, node) of its own."""
     edges = stage(edges)

@@ -16,6 +16,8 @@ from tessella.operators.tables import spread, written
 
 #: Queries, or terms of queries, of one broadcast.
 QUERY_BLOCK = 10_000
+#: Entries of a cache that the exact similarity is computed for.
+CACHE_CANDIDATES = 16
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, key: str, vector: str, query: str, k: int, score: Column | None = None) -> DataFrame:
@@ -107,12 +109,18 @@ def fallback(sources: list[DataFrame]) -> DataFrame:
 def cached_answers(queries: DataFrame, cache: DataFrame, threshold: float = 0.92) -> DataFrame:
     """query, entry, similarity, tier, effective: an entry of equal normalised text, else the nearest one.
 
-    ``queries`` has query, q_text, q; ``cache`` has entry, text, vector, tier_weight.
+    ``queries`` has query, q_text, q; ``cache`` has entry, text, vector, tier_weight.  Nearest entries are looked up in a
+    graph index of the cache; the exact cosine ranks the ``CACHE_CANDIDATES`` that it finds and is held against the threshold.
     """
+    from tessella.operators import ann
+
     normal = lambda c: F.regexp_replace(F.trim(F.lower(c)), "\\s+", " ")
     exact = queries.withColumn("_t", normal("q_text")).join(cache.withColumn("_t", normal("text")), "_t").groupBy("query").agg(F.min("entry").alias("entry"))
     exact = exact.select("query", "entry", F.lit(1.0).alias("similarity"), F.lit("exact").alias("tier"), F.lit(1.0).alias("effective"))
     rest = queries.join(exact, "query", "left_anti")
-    near = nearest(cache, rest.select("query", "q"), "entry", "vector", "query", 1).where(F.col("score") >= threshold)
+    index = written(ann.build(cache, "entry", "vector"))
+    found = ann.search(index, rest.select("query", "q"), "query", CACHE_CANDIDATES).select("query", F.col("key").alias("entry"))
+    scored = found.join(cache.select("entry", "vector", "tier_weight"), "entry").join(rest.select("query", "q"), "query").withColumn("score", F.round(cosine(F.col("vector"), F.col("q")), 9))
+    near = top(scored.where(F.col("score") >= threshold), ["query"], "entry", 1)
     near = near.select("query", "entry", F.col("score").alias("similarity"), F.lit("semantic").alias("tier"), (F.col("score") * (0.7 + 0.3 * F.col("tier_weight"))).alias("effective"))
     return exact.unionByName(near)

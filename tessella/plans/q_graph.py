@@ -20,6 +20,14 @@ def g_bfs(spark: SparkSession, d: str) -> DataFrame:
     return G.reach(G.both_ways(trade_edges(spark, d)), start, 2)
 
 
+@query(f"{BOTH}, r(node, depth) AS (SELECT 'p1', 0 UNION SELECT target, depth + 1 FROM r JOIN b ON node = source WHERE depth < 2), n AS (SELECT node FROM r WHERE depth < 2) SELECT source, target, weight FROM ({TRADE_SQL}) WHERE source IN (SELECT node FROM n) OR target IN (SELECT node FROM n)")
+def g_bfs_links(spark: SparkSession, d: str) -> DataFrame:
+    """The links that the search follows: those of all nodes that it expands."""
+    edges = trade_edges(spark, d)
+    start = spark.createDataFrame([("p1",)], "node string")
+    return G.incident(edges, G.reach(G.both_ways(edges), start, 2).where("depth < 2"))
+
+
 def _nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source").alias("node")).unionByName(edges.select(F.col("target").alias("node"))).distinct()
 

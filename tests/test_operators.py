@@ -177,3 +177,10 @@ def test_beta_draws_follow_their_law():
     x, y = gamma_draws(np.full(len(keys), 4.0), keys), gamma_draws(np.full(len(keys), 9.0), keys, 1000)
     b = x / (x + y)
     assert abs(b.mean() - 4 / 13) < 0.003 and abs(b.var() - 4 * 9 / (13**2 * 14)) < 0.001 and abs(x.mean() - 4) < 0.05
+
+
+def test_incident_links_of_expanded_nodes(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("c", "d", 3), ("a", "a", 4), ("x", "y", 5)], "source string, target string, w int")
+    near = G.reach(G.both_ways(edges), spark.createDataFrame([("a",)], "node string"), 2).where("depth < 2")
+    assert {tuple(r) for r in G.incident(edges, near).select("source", "target", "w").collect()} == {("a", "b", 1), ("b", "c", 2), ("a", "a", 4)}
+    assert G.incident(edges, near).count() == 3

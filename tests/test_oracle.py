@@ -39,7 +39,8 @@ def test_runs(spark, sf, name):
 DECIDING = {
     "filt_audit": "risk", "filt_log": "healthy", "sc_persona": "persona", "sc_category": "category", "sc_antipattern": "grade", "sc_complexity": "rating", "sc_cmd_match": "score", "sc_codeblocks": "language",
     "sc_query_quality": "domain", "x_url_type": "kind", "x_url_bloom": "fresh", "x_domain_rules": "domain", "x_backfill": "changed", "ret_sem_cache": "tier", "ret_federated": "src", "dl_verify": "status",
-    "g_schedule": "hours", "g_mastery": "status", "agg_usage": "unused", "sq_quiz_update": "best_streak", "x_traffic_sim": "event", "x_metric_summary": "part",
+    "g_schedule": "hours", "g_mastery": "status", "agg_usage": "unused", "sq_quiz_update": "best_streak", "x_traffic_sim": "event", "x_metric_summary": "part", "sink_outbox": "state", "sq_patterns": "confidence", "x_topic_ttl": "accepted",
+    "src_json_nested": "url", "sm_ratelimit": "accepted", "sm_alert": "state", "st_coalesce": "event_id", "src_http_errors": "absent", "sink_graph_json": "part",
 }
 
 
