@@ -51,9 +51,9 @@ def _rest(url: Column) -> Column:
 
 
 def write_index(rules: Iterable[Rule], path: str) -> None:
-    """The file: counts, sorted keys, offsets of the strings, verdicts, lengths of rule paths, strings."""
+    """The file: counts and the longest host, sorted keys, offsets of the strings, verdicts, lengths of rule paths, strings."""
     unique = {host + path_: verdict == "allow" for host, path_, verdict in (r for r in rules)}
-    lengths = sorted({len(r[1]) for r in rules})
+    lengths, longest = sorted({len(r[1]) for r in rules}), max((len(r[0]) for r in rules), default=0)
     texts = [s.encode() for s in unique]
     keys = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64)
     order = np.argsort(keys, kind="stable")
@@ -62,7 +62,7 @@ def write_index(rules: Iterable[Rule], path: str) -> None:
     np.cumsum([len(t) for t in texts], out=offsets[1:])
     allow = np.array(list(unique.values()), np.uint8)[order] if texts else np.zeros(0, np.uint8)
     with open(path, "wb") as out:
-        np.array([len(texts), len(lengths)], np.int64).tofile(out)
+        np.array([len(texts), len(lengths), longest], np.int64).tofile(out)
         keys[order].tofile(out)
         offsets.tofile(out)
         np.array(lengths, np.int64).tofile(out)
@@ -74,8 +74,8 @@ class DigestIndex:
     """A memory-mapped index file."""
 
     def __init__(self, path: str):
-        n, m = (int(x) for x in np.fromfile(path, np.int64, 2))
-        at = 16
+        n, m, self.longest = (int(x) for x in np.fromfile(path, np.int64, 3))
+        at = 24
         raw = np.memmap(path, np.uint8, "r")
         self.keys, at = raw[at : at + 8 * n].view(np.uint64), at + 8 * n
         self.offsets, at = raw[at : at + 8 * (n + 1)].view(np.int64), at + 8 * (n + 1)
@@ -104,8 +104,10 @@ class DigestIndex:
         probes: list[bytes] = []
         ends: list[int] = []
         for host, path in zip(hosts, paths, strict=True):
-            at = 0
-            while host and at >= 0:
+            at = max(0, len(host) - self.longest)  # no longer suffix is a rule's host
+            if at and host[at - 1] != ".":
+                at = host.find(".", at) + 1 or -1
+            while host and 0 <= at <= len(host):
                 suffix = host[at:]
                 probes += [(suffix + path[:n]).encode() for n in self.lengths if n <= len(path)]
                 at = host.find(".", at) + 1 or -1

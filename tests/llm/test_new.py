@@ -273,3 +273,29 @@ def test_sums_of_partitions_are_exact_integers(spark):
     df = spark.range(1000).repartition(7)
     got = whitening.summed(df, lambda batches: np.array([sum(b.num_rows for b in batches), 2**70], object))
     assert got[0] == 1000 and got[1] == 7 * 2**70
+
+
+# 1
+
+
+def test_hosts_of_very_many_labels_cost_little(tmp_path):
+    """Only suffixes as long as a rule's host are looked up."""
+    import tracemalloc
+
+    from tessella.llm import urlfilter
+
+    rules = [("x.b.example", "/", "block"), ("example", "/a", "allow"), ("ample", "/", "block")]
+    urlfilter.write_index(rules, str(tmp_path / "i"))
+    index = urlfilter.DigestIndex(str(tmp_path / "i"))
+    long = "l." * 50_000
+    hosts = ["b.example", "x.b.example", "y.x.b.example", "yx.b.example", "example", long + "example", long + "x.b.example", long + "other", "example.", "", "." * 50_000]
+    tracemalloc.start()
+    found = list(index.judge(hosts, ["/a"] * len(hosts)))
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+
+    def plain(host):
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and "/a".startswith(p)]
+        return max(fits)[1:] if fits else (None, "allow")
+
+    assert found == [plain(h) for h in hosts]
