@@ -4,9 +4,8 @@ A document is the set of its distinct word n-grams.  The n-grams are hashed into
 becomes the point of its group counts; the overlap of two documents is at most the sum over groups of
 the smaller count.
 
-Candidates.  An R-tree over such points prunes little between the parts of a cluster: dealt by size and the
-widest group into parts of 200 points, 155 of 190 pairs of parts still meet, so as the only step it would
-compare nearly all parts with each other.  What brings documents together is therefore a signature: for sizes
+Candidates.  An R-tree over such points prunes little between the parts of a cluster beyond what their sizes do (the
+README has figures), so as the only step it would compare most parts of like size with each other.  What brings documents together is therefore a signature: for sizes
 up to ``hi`` two linked sets differ in at most ``D`` n-grams, so if the n-grams are dealt into more than ``D``
 blocks, some blocks of both sets are equal.  The digest of a block is a row (it sums a hash of each n-gram in
 the block, so it tells the n-grams themselves and not just how many there are); sets that share a digest meet.
