@@ -119,27 +119,34 @@ _GUESS = Q.case([(Q.any_of("c", w), n) for w, n in W.CODE_LANGUAGES], "'cpp'")
 _FENCE = Q.text("```(\\w+)?\\n([\\s\\S]*?)```")
 
 
-@query(f"""WITH t AS (SELECT event_id, {X.pick_sql(X.BLOCKS, 'event_id')} AS t FROM events), f AS (SELECT event_id, t, regexp_extract_all(t, {_FENCE}, 1) AS m, list_transform(regexp_extract_all(t, {_FENCE}, 2), lambda x: {_trim('x')}) AS c FROM t),
+_BLOCK_SQL = X.pick_sql(X.BLOCKS, "event_id") + " || chr(10) || '```' || CASE WHEN event_id % 2 = 0 THEN 'js' ELSE '' END || chr(10) || 'const ' || event_type || ' = ' || coalesce(props, 'null') || ';' || chr(10) || '```'"
+
+
+@query(f"""WITH t AS (SELECT event_id, {_BLOCK_SQL} AS t FROM events), f AS (SELECT event_id, t, regexp_extract_all(t, {_FENCE}, 1) AS m, list_transform(regexp_extract_all(t, {_FENCE}, 2), lambda x: {_trim('x')}) AS c FROM t),
  l AS (SELECT event_id, t, list_filter(list_transform(range(1, len(c) + 1), lambda i: {{'m': m[i], 'c': c[i]}}), lambda x: length(x.c) > 20) AS f FROM f),
  b AS (SELECT event_id, CASE WHEN len(f) > 0 THEN f ELSE list_transform(regexp_extract_all(t, {Q.text(W.FUNCTIONS)}), lambda x: {{'m': '', 'c': x}}) END AS b FROM l),
  u AS (SELECT event_id, unnest(range(len(b))) AS pos, unnest(b) AS b FROM b)
  SELECT event_id, pos::INT AS pos, CASE WHEN b.m <> '' THEN b.m ELSE {_GUESS} END AS language, length(b.c)::INT AS n, md5(b.c) AS digest FROM (SELECT event_id, pos, b, b.c AS c FROM u)""")
 def sc_codeblocks(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "events").select("event_id", F.posexplode(C.code_blocks(X.pick(X.BLOCKS, F.col("event_id")))).alias("pos", "b"))
+    own = F.concat(F.lit("\n```"), F.when(F.col("event_id") % 2 == 0, "js").otherwise(""), F.lit("\nconst "), "event_type", F.lit(" = "), F.coalesce("props", F.lit("null")), F.lit(";\n```"))
+    text = F.concat(X.pick(X.BLOCKS, F.col("event_id")), own)  # of every event its properties as code, behind a sample
+    b = table(spark, d, "events").select("event_id", F.posexplode(C.code_blocks(text)).alias("pos", "b"))
     return b.select("event_id", "pos", F.col("b.language").alias("language"), F.length("b.code").alias("n"), F.md5("b.code").alias("digest"))
 
 
-_TERMS = ["track", "example"]
+_TERMS = ["track", "example.com"]
+_FETCH_SQL = "chr(10) || 'Fetch page ' || page_id || chr(10) || '```bash' || chr(10) || 'curl ' || url || chr(10) || '```' || chr(10)"
 
 
-@query(f"""WITH t AS (SELECT page_id, string_split({X.pick_sql(X.MANUALS, 'page_id')}, chr(10)) AS l FROM pages), f AS (SELECT page_id, l, list_filter(range(1, len(l) + 1), lambda i: starts_with({_trim('l[i]')}, '```')) AS f FROM t),
+@query(f"""WITH t AS (SELECT page_id, string_split({X.pick_sql(X.MANUALS, 'page_id')} || {_FETCH_SQL}, chr(10)) AS l FROM pages), f AS (SELECT page_id, l, list_filter(range(1, len(l) + 1), lambda i: starts_with({_trim('l[i]')}, '```')) AS f FROM t),
  b AS (SELECT page_id, l, unnest(range(1, len(f) // 2 + 1)) AS k, f FROM f), p AS (SELECT page_id, l, k, f[2 * k - 1] AS s, f[2 * k] AS e FROM b),
  c AS (SELECT page_id, k, {_trim("array_to_string(l[s + 1:e - 1], chr(10))")} AS command, lower(array_to_string(l[greatest(1, s - 3):least(len(l), e + 1)], chr(10))) AS near, substr({_trim("regexp_replace(CASE WHEN s > 1 THEN l[s - 1] ELSE '' END, '^[-*#\\s]+', '')")}, 1, 100) AS said, regexp_extract({_trim('l[s]')}, '^```(\\w*)', 1) AS mark FROM p),
  r AS (SELECT *, {' + '.join(f"CASE WHEN contains(lower(command), '{t}') THEN 2 WHEN contains(near, '{t}') THEN 1 ELSE 0 END" for t in _TERMS)} AS score FROM c WHERE length(command) BETWEEN 1 AND 1999)
  SELECT page_id, command, CASE WHEN said <> '' THEN said ELSE 'CLI command (' || coalesce(nullif(mark, ''), 'shell') || ')' END AS description, score::INT AS score, place::INT AS place
  FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, k) AS place FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) AS i FROM r WHERE score > 0) WHERE i <= 10) WHERE place <= 5""")
 def sc_cmd_match(spark: SparkSession, d: str) -> DataFrame:
-    found = F.slice(C.commands(X.pick(X.MANUALS, F.col("page_id")), _TERMS), 1, 10)  # twice as many as are given, in order
+    fetch = F.concat(F.lit("\nFetch page "), F.col("page_id").cast("string"), F.lit("\n```bash\ncurl "), "url", F.lit("\n```\n"))
+    found = F.slice(C.commands(F.concat(X.pick(X.MANUALS, F.col("page_id")), fetch), _TERMS), 1, 10)  # twice as many as are given, in order
     b = table(spark, d, "pages").select("page_id", F.posexplode(found).alias("k", "b"))
     place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("b.score"), "k"))
     return b.withColumn("place", place).where("place <= 5").select("page_id", "b.command", "b.description", "b.score", "place")
@@ -161,13 +168,14 @@ def sc_md_section(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snippets(spark: SparkSession, d: str) -> DataFrame:
-    """Source code in several languages, one piece for each part."""
+    """Source code in several languages, one piece for each part, with as many steps as its size says."""
     key = F.col("p_partkey")
-    code = F.replace(X.pick([c for _, c in X.CODE], key), F.lit("KEY"), key.cast("string"))
+    more = F.repeat(F.concat(F.lit("\nif (a"), key.cast("string"), F.lit(" > b) { step('"), "p_name", F.lit("'); }")), (F.col("p_size") % 15).cast("int"))
+    code = F.concat(F.replace(X.pick([c for _, c in X.CODE], key), F.lit("KEY"), key.cast("string")), more)
     return table(spark, d, "part").select("p_partkey", X.pick([n for n, _ in X.CODE], key).alias("language"), code.alias("code"))
 
 
-_SNIPPETS = f"SELECT p_partkey, {X.pick_sql([n for n, _ in X.CODE], 'p_partkey')} AS language, replace({X.pick_sql([c for _, c in X.CODE], 'p_partkey')}, 'KEY', p_partkey::VARCHAR) AS code FROM part"
+_SNIPPETS = f"SELECT p_partkey, {X.pick_sql([n for n, _ in X.CODE], 'p_partkey')} AS language, replace({X.pick_sql([c for _, c in X.CODE], 'p_partkey')}, 'KEY', p_partkey::VARCHAR) || repeat(chr(10) || 'if (a' || p_partkey || ' > b) {{ step(''' || p_name || '''); }}', p_size % 15) AS code FROM part"
 _BARE = "regexp_replace(regexp_replace(code, '(?m)//.*$', '', 'g'), '/\\*[\\s\\S]*?\\*/', '', 'g')"
 _BARE_PY = f"regexp_replace(regexp_replace(regexp_replace({_BARE}, '(?m)#.*$', '', 'g'), '\"\"\"[\\s\\S]*?\"\"\"', '', 'g'), '''''''[\\s\\S]*?''''''', '', 'g')"
 _NET = "(len(regexp_extract_all(x, '[{(\\[]')) - len(regexp_extract_all(x, '[})\\]]')))"
@@ -213,16 +221,17 @@ def sc_antipattern(spark: SparkSession, d: str) -> DataFrame:
     return m.withColumn("grade", C.grade(F.col("score")))
 
 
-_LINE = X.pick_sql(X.LOGS, "event_id")
+_LINE = f"CASE WHEN event_id % 3 = 0 THEN {X.pick_sql(X.LOGS, 'event_id // 3')} ELSE 'GET /' || event_type || ' status ' || (400 + floor(value)::INT % 40) END"
 _LOG_TYPE = Q.case([(f"regexp_matches(lower(line), {Q.text(p)})", t) for p, t, _ in W.LOG_RULES], "NULL")
 _LOG_SEVERITY = Q.case([(f"regexp_matches(lower(line), {Q.text(p)})", s) for p, _, s in W.LOG_RULES], "NULL")
 
 
 @query(f"""WITH l AS (SELECT user_id, event_id, {_LINE} || ' ' || event_id AS line, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events), t AS (SELECT user_id, {_LOG_TYPE} AS type, {_LOG_SEVERITY} AS severity FROM l WHERE r <= 4)
- SELECT user_id, count(*) AS lines, count(type) AS errors, count(*) FILTER (severity = 'critical') = 0 AS healthy, array_to_string(list_sort(list_distinct(list(type || ':' || severity) FILTER (type IS NOT NULL))), ',') AS types FROM t GROUP BY user_id""")
+ SELECT user_id, count(*) AS lines, count(type) AS errors, count(*) FILTER (severity = 'critical') = 0 AS healthy, coalesce(array_to_string(list_sort(list_distinct(list(type || ':' || severity) FILTER (type IS NOT NULL))), ','), '') AS types FROM t GROUP BY user_id""")
 def filt_log(spark: SparkSession, d: str) -> DataFrame:
     """Each user's log: of the last four lines the first rule that fits each, and whether none is critical."""
-    line = F.lower(F.concat(X.pick(X.LOGS, F.col("event_id")), F.lit(" "), F.col("event_id").cast("string")))
+    answer = F.concat(F.lit("GET /"), "event_type", F.lit(" status "), (400 + F.floor("value") % 40).cast("string"))
+    line = F.lower(F.concat(F.when(F.col("event_id") % 3 == 0, X.pick(X.LOGS, F.floor(F.col("event_id") / 3))).otherwise(answer), F.lit(" "), F.col("event_id").cast("string")))
     last = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     rows = table(spark, d, "events").select("user_id", line.alias("line"), F.row_number().over(last).alias("r")).where("r <= 4")
     rule = F.when(F.lit(False), F.struct(F.lit("").alias("type"), F.lit("").alias("severity")))
@@ -276,14 +285,15 @@ def _domain_sql(name: str, category: str) -> str:
     return Q.case([(Q.any_of(text, w), n) for n, w in W.DOMAIN_RULES] + [(f"{category} = {Q.text(c)}", n) for c, n in W.CATEGORY_DOMAINS], Q.text("general"))
 
 
-_NAMED = f"(SELECT p_partkey, {X.pick_sql(X.NAMES, 'p_partkey')} AS name, {X.pick_sql(X.CATEGORIES, 'p_partkey // 3')} AS category, CASE p_partkey % 4 WHEN 0 THEN 'kept' WHEN 1 THEN 'general' END AS domain FROM part)"
+_NAMED = f"(SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' ' || p_type ELSE {X.pick_sql(X.NAMES, 'p_partkey')} END AS name, {X.pick_sql(X.CATEGORIES, 'p_partkey // 3')} AS category, CASE p_partkey % 4 WHEN 0 THEN 'kept' WHEN 1 THEN 'general' END AS domain FROM part)"
 
 
 def entities_of(spark: SparkSession, d: str) -> DataFrame:
     """Named entities with a category; some have a domain."""
     k = F.col("p_partkey")
     own = F.when(k % 4 == 0, "kept").when(k % 4 == 1, "general")
-    return table(spark, d, "part").select("p_partkey", X.pick(X.NAMES, k).alias("name"), X.pick(X.CATEGORIES, F.floor(k / 3)).alias("category"), own.alias("domain"))
+    name = F.when(k % 3 == 0, F.concat_ws(" ", "p_name", "p_type")).otherwise(X.pick(X.NAMES, k))
+    return table(spark, d, "part").select("p_partkey", name.alias("name"), X.pick(X.CATEGORIES, F.floor(k / 3)).alias("category"), own.alias("domain"))
 
 
 @query(f"SELECT p_partkey, {_domain_sql('name', 'category')} AS domain FROM {_NAMED}")
@@ -299,6 +309,17 @@ def x_backfill(spark: SparkSession, d: str) -> DataFrame:
     return entities_of(spark, d).select("p_partkey", F.when(open_, found).otherwise(F.col("domain")).alias("domain"), (open_ & ~found.eqNullSafe(F.col("domain"))).alias("changed"))
 
 
+_FILLED = f"SELECT CASE WHEN domain IS NULL OR domain = 'general' THEN {_domain_sql('name', 'category')} ELSE domain END AS domain, (domain IS NULL OR domain = 'general') AND ({_domain_sql('name', 'category')}) IS DISTINCT FROM domain AS changed FROM {_NAMED}"
+
+
+@query(f"SELECT domain, count(*) AS n, count(*) FILTER (changed) AS changed, round(100.0 * count(*) / (SELECT count(*) FROM part), 2) AS percent FROM ({_FILLED}) GROUP BY domain")
+def x_backfill_totals(spark: SparkSession, d: str) -> DataFrame:
+    """How entities are spread over domains once these are filled, and how many of each changed."""
+    n = x_backfill(spark, d).groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("changed"))
+    whole = table(spark, d, "part").agg(F.count(F.lit(1)).alias("whole"))
+    return n.crossJoin(F.broadcast(whole)).select("domain", "n", "changed", F.round(100.0 * F.col("n") / F.col("whole"), 2).alias("percent"))  # one row
+
+
 _URL = f"CASE WHEN page_id % 2 = 0 THEN {X.pick_sql(X.URLS, 'page_id // 2')} || (page_id // 40) ELSE url END"
 _URL_KINDS = [(["github.com"], "github"), (["youtube.com", "youtu.be"], "youtube"), (["arxiv.org"], "arxiv"), (["stackoverflow.com"], "stackoverflow")]
 
