@@ -340,12 +340,10 @@ def sm_alert(spark: SparkSession, d: str) -> DataFrame:
     return found.select("rule", "severity", "instance", F.unix_seconds("at").alias("minute"), F.round("value", 6).alias("value"), "state")
 
 
-@query(f"""WITH p AS (SELECT event_type, {_NUMBER} AS b, count(*) AS n FROM events GROUP BY ALL), q AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY b) AS seen, sum(n) OVER (PARTITION BY event_type) AS total FROM p),
- m AS (SELECT event_type, min(b) FILTER (seen > floor(0.5::DOUBLE * (total - 1))) AS m50, min(b) FILTER (seen > floor(0.95::DOUBLE * (total - 1))) AS m95 FROM q GROUP BY event_type)
- SELECT event_type, round({_MIDDLE.replace('b ', 'm50 ')}, 6) AS p50, round({_MIDDLE.replace('b ', 'm95 ')}, 6) AS p95 FROM m""")
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def sm_p95(spark: SparkSession, d: str) -> DataFrame:
-    s = Qu.sketched(table(spark, d, "events"), ["event_type"], "value")
-    return Qu.merged(s, ["event_type"]).select("event_type", *(F.round(Qu.quantile(F.col("sketch"), q), 6).alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"))))
+    found = Qu.exact(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    return found.select("event_type", *(F.round(n, 6).alias(n) for n in ("p50", "p95")))
 
 
 # Other kernels
