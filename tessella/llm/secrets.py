@@ -2,7 +2,7 @@
 
 Two models of character pairs, one of random strings and one of ordinary identifiers and words, are
 trained from labelled samples: keys and identifiers made by rule, and, where labelled documents are given,
-strings of a bounded sample of them that are surely one or the other (``fit``).  Every run of at least
+strings of all of them that are surely one or the other (``fit``).  Every run of at least
 ``MIN_RUN`` characters of a key alphabet is scored by the ratio of both; a run that the random model explains
 better by a margin, in bits a character, becomes a span of kind ``random``, unless a pattern's span covers it.
 The margin is ``MARGIN``, or with labelled documents a larger one that leaves few false spans on their prose and
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import _text
-from tessella.llm._util import slim
+from tessella.llm._util import slim, staged
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -36,8 +36,10 @@ _HEX = _text.mask_of("0123456789abcdef")
 _KEY = _text.mask_of(string.ascii_letters + string.digits + "+/_=-")
 _LETTER, _UPPER, _LOWER_CASE = (_text.mask_of(x) for x in (string.ascii_letters, string.ascii_uppercase, string.ascii_lowercase))
 MIN_RUN, MARGIN = 16, 1.0
-#: Strings made by rule, and labelled documents at most, that train both models; those with the least hash.
-SAMPLES, LABELLED_ROWS = 20_000, 6000
+#: Strings made by rule that train both models.
+SAMPLES = 20_000
+#: Labelled keys up to which their list is broadcast.
+BROADCAST_LABELS = 1_000_000
 #: Spans in a million words of labelled documents that the margin may leave.
 FALSE_SPANS = 1.0
 #: Share of unseen keys made by rule that the margin must leave.
@@ -217,25 +219,29 @@ def key_recall_margin(scorer: RatioScorer, recall: float = KEY_RECALL, seed: int
     return float(np.quantile(scorer.score(data, offsets[:-1], offsets[1:]), 1 - recall))
 
 
-def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id", rows: int = LABELLED_ROWS) -> RatioScorer:
-    """Models of the samples made by rule and of labelled documents, and the margin by their other half.
+def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_key: str = "doc_id") -> RatioScorer:
+    """Models of the samples made by rule and of all labelled documents, and the margin by all of them.
 
     A long run that no pattern holds may be a key or a word: nothing says which, so it trains no model.  The
     ordinary model learns from runs too short to be a key, the random one from long runs in patterns' spans.  False
-    spans are counted among long runs shaped like prose, and the margin never goes beyond the one that still finds
-    ``KEY_RECALL`` of unseen keys made by rule.  So secrets in labelled documents, however many, cost no recall.
+    spans are counted among long runs shaped like prose, in each half of the documents by models that the other half
+    trained, and the margin never goes beyond the one that still finds ``KEY_RECALL`` of unseen keys made by rule.
+    So secrets in labelled documents, however many, cost no recall.
 
-    What comes to the driver is a table of character pairs for each kind and a histogram, whatever the corpus.
+    What comes to the driver is a table of character pairs for each half and kind and a histogram, whatever the corpus.
     """
     if label_key not in labels.columns or key not in df.columns:
         raise ValueError(f"labels need the column {label_key}, documents {key}")
-    drawn = labels.select(F.col(label_key).alias("k")).where("k IS NOT NULL").distinct().orderBy(F.xxhash64("k"), "k").limit(rows)
-    some = slim(df).select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(drawn), "k")  # bounded by rows
+    own = staged(labels.select(F.col(label_key).alias("k")).where("k IS NOT NULL").distinct(), "labelled")
+    if own.count() <= BROADCAST_LABELS:
+        own = F.broadcast(own)
+    half = F.pmod(F.xxhash64("k"), F.lit(2)).alias("half")
+    some = slim(df).select(F.col(key).alias("k"), F.col(text).alias("t")).join(own, "k", "left_semi").select(half, "t")
     made = labelled_samples()
     plain = RatioScorer(made, margin=np.inf)  # patterns only
 
-    def split(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of the key alphabet in a slice: bytes, starts, ends, and whether a pattern's span holds them."""
+    def split(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """Runs of the key alphabet in a slice: bytes, starts, ends, whether a pattern's span holds them, and their half."""
         data, offsets = _text.flat(part.column("t"))
         starts, ends = _text.runs(_KEY[data], offsets)
         row = np.searchsorted(offsets, starts, "right") - 1
@@ -243,38 +249,41 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
         point = starts - offsets[row] - (later[starts] - later[offsets[row]])
         held = np.zeros(len(starts), bool)
         for i, spans in enumerate(scan(part.column("t"), plain)):
+            first, last = np.searchsorted(row, [i, i + 1])
             for s, _, e in spans:
-                held |= (row == i) & (point + (ends - starts) > s) & (point < e)
-        return data, starts, ends, held
+                held[first:last] |= (point[first:last] + (ends - starts)[first:last] > s) & (point[first:last] < e)
+        return data, starts, ends, held, part.column("half").to_numpy(zero_copy_only=False)[row]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros((128, 128), np.int64) for _ in range(2)]
+        sums = np.zeros((2, 2, 128, 128), np.int64)
         for part in (x for batch in batches for x in _text.slices(batch, "t")):
-            data, starts, ends, held = split(part)
+            data, starts, ends, held, halves = split(part)
             size = ends - starts
-            for k, own in enumerate((held & (size >= MIN_RUN), ~held & (size >= 4) & (size < MIN_RUN))):
-                sums[k] += pair_counts(data, starts[own], ends[own])
-        for k, x in enumerate(sums):
-            at = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(x.ravel()[at])], ["kind", "pair", "n"])
-
-    half = F.pmod(F.xxhash64("k"), F.lit(2)) == 0
-    more = np.zeros((2, 128 * 128))
-    for r in some.where(half).select("t").mapInArrow(pairs, "kind long, pair long, n long").groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect():  # 2 x 128 x 128 at most
-        more[r.kind, r.pair] = r.n
-    scorer = RatioScorer(made, tuple(more.reshape(2, 128, 128)))
+            for h in range(2):
+                for k, own in enumerate((held & (size >= MIN_RUN), ~held & (size >= 4) & (size < MIN_RUN))):
+                    of = own & (halves == h)
+                    sums[h, k] += pair_counts(data, starts[of], ends[of])
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.ravel()[at])], ["pair", "n"])
+
+    more = np.zeros(2 * 2 * 128 * 128)
+    for r in some.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # 4 x 128 x 128 at most
+        more[r.pair] = r.n
+    more = more.reshape(2, 2, 128, 128)
+    scorer, unseen = RatioScorer(made, tuple(more.sum(0))), [RatioScorer(made, tuple(more[1 - h])) for h in range(2)]
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, n = np.zeros(STEPS + 1, np.int64), 0
         for part in (x for batch in batches for x in _text.slices(batch, "t")):
-            data, starts, ends, held = split(part)
+            data, starts, ends, held, halves = split(part)
             n += len(starts)
             long = ~held & (ends - starts >= MIN_RUN) & prose_shaped(data, starts, ends)
-            found = scorer.score(data, starts[long], ends[long])
-            bins += np.bincount(np.clip((found[found >= MARGIN] - MARGIN) // STEP, 0, STEPS).astype(np.int64), minlength=STEPS + 1)
+            for h in range(2):
+                found = unseen[h].score(data, starts[long & (halves == h)], ends[long & (halves == h)])
+                bins += np.bincount(np.clip((found[found >= MARGIN] - MARGIN) // STEP, 0, STEPS).astype(np.int64), minlength=STEPS + 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, STEPS + 1)), pa.array(np.append(n, bins))], ["bin", "n"])
 
-    bins = {r.bin: r.n for r in some.where(~half).select("t").mapInArrow(scores, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
+    bins = {r.bin: r.n for r in some.mapInArrow(scores, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
     words, above, at = bins.pop(-1, 0), sum(bins.values()), 0
     while at <= STEPS and above > FALSE_SPANS * words / 1e6:
         above -= bins.get(at, 0)
