@@ -2,7 +2,8 @@
 
 Passages are windows of words over the benchmark's vocabulary, weighted by TF-IDF with document
 frequencies of the whole corpus.  A randomised SVD, whose products are summed over the executors, gives
-the latent space; it is fitted on the items and the passages of a bounded sample of documents.  Every
+the latent space; it is fitted on the items and the passages of all documents, whose words of the benchmark
+are written once as numbers.  Every
 passage of every document is compared with every item by cosine, in blocks of items.  A long item is
 cut into pieces that fit a passage wherever they begin; a hit on any is a candidate for the whole item.  No word is without
 weight, and passages that hold enough of an item's runs of ``GRAM`` words are candidates too, so that a
@@ -27,18 +28,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import _text
-from tessella.llm._util import sampled, slim, staged
+from tessella.llm._util import discard, slim, staged
 
 #: Items of one pass; a larger benchmark takes several passes over the documents.
 ITEM_BLOCK = 4096
-#: Documents whose passages fit the latent space, features of a passage, dimensions, extra columns.
-SAMPLE, FEATURES, RANK, OVER = 1000, 8192, 96, 16
-#: Weight of an item's passages against the sample's in the fit.
-ITEM_WEIGHT = 100.0
+#: Features of a passage, dimensions, extra columns.
+FEATURES, RANK, OVER = 8192, 96, 16
+#: Weight of an item's passages against those of so many documents in the fit; against more it grows with them.
+ITEM_WEIGHT, AGAINST = 100.0, 1000
+#: Matrices of a product that reach the driver, each the sum of those of many tasks.
+SUMS = 4
 #: Bytes of text whose words' vectors are held at a time, and candidates' words compared at a time.
 SLICE, PAIRS = 1 << 19, 1 << 18
 #: Words in a block; a passage is this many blocks.
@@ -288,71 +292,115 @@ def _load(items: list, key: str, text: str, answer: str | None) -> Benchmark:
     return Benchmark([items[i][key] for i in filled], [each[i] for i in filled], [answers[i] for i in filled], vocabulary)
 
 
-def _weigh(docs: DataFrame, b: Benchmark) -> None:
-    """Set idf weights from the documents that each word occurs in."""
+def _encoded(docs: DataFrame, b: Benchmark) -> DataFrame:
+    """v, first, bounds, n: of each slice of texts the numbers of the vocabulary's words, the first of each block and of
+    each text, as bytes, and the texts that are not null."""
     shared = docs.sparkSession.sparkContext.broadcast(b)
+    kind = _number(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = shared.value
-        seen, n = np.zeros(len(bench.vocabulary), np.int64), 0
         for batch in batches:
             for part in _text.slices(batch, "t", SLICE):
-                hashes, bounds = words(part.column("t"))
-                v = bench.place(hashes)
-                at = np.flatnonzero(v >= 0)
-                pairs = np.unique((np.searchsorted(bounds, at, "right") - 1) * len(seen) + v[at])
-                seen += np.bincount(pairs % len(seen), minlength=len(seen))
-                n += part.num_rows
+                v, first, doc, *_ = shared.value.passages(part.column("t"))
+                bounds = first[np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))] if len(v) else first
+                cells = [pa.array([x.tobytes()], pa.binary()) for x in (v.astype(kind), first.astype(np.int32), bounds.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*cells, pa.array([part.num_rows - part.column("t").null_count]), pa.array([part.num_rows])], ["v", "first", "bounds", "n", "every"])
+
+    return docs.select("t").mapInArrow(run, "v binary, first binary, bounds binary, n long, every long")
+
+
+def _number(b: Benchmark) -> type:
+    return np.uint16 if len(b.vocabulary) < 1 << 16 else np.uint32
+
+
+def _slices(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, dict]]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            yield np.frombuffer(r["v"], kind), np.frombuffer(r["first"], np.int32), np.frombuffer(r["bounds"], np.int32), r
+
+
+def _weigh(encoded: DataFrame, b: Benchmark) -> int:
+    """Set idf weights from the documents that each word occurs in; the number of texts."""
+    size, kind = len(b.vocabulary), _number(b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n, texts = np.zeros(size, np.int64), 0, 0
+        for v, _, bounds, r in _slices(batches, kind):
+            pairs = np.unique(np.repeat(np.arange(len(bounds)), np.diff(np.append(bounds, len(v)))) * size + v)
+            seen += np.bincount(pairs % max(size, 1), minlength=size)
+            n += r["every"]
+            texts += r["n"]
         hit = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(seen[hit], n))], ["v", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, [-1, -2])), pa.array(np.append(seen[hit], [n, texts]))], ["v", "n"])
 
     # at most a row for each word of the block of items
-    found = {r.v: r.n for r in docs.mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).toLocalIterator()}
-    total = found.pop(-1, 0)
+    found = {r.v: r.n for r in encoded.mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).toLocalIterator()}
+    total, texts = found.pop(-1, 0), found.pop(-2, 0)
     df = np.zeros(len(b.vocabulary))
     df[list(found)] = list(found.values())
     b.weight = np.log((2 + total) / (1 + df)).astype(np.float32)
     n = min(FEATURES, max(len(b.vocabulary), 1))
     b.feature = (b.vocabulary % np.uint64(n)).astype(np.int64) if len(b.vocabulary) > n else np.arange(len(b.vocabulary))
+    return texts
 
 
+def _gram(v: np.ndarray, first: np.ndarray, weight: np.ndarray, feature: np.ndarray, m: np.ndarray, out: np.ndarray) -> None:
+    """Add X' X m of some passages, as unit vectors, to ``out``."""
+    if not len(v):
+        return
+    f, w = feature[v], weight[v]
+    sizes = np.diff(np.append(first, len(v)))
+    y = np.add.reduceat(m[f] * w[:, None], first, axis=0)
+    y /= np.maximum(np.add.reduceat(w * w, first), 1e-12)[:, None]
+    order = np.argsort(f, kind="stable")
+    of, at = np.unique(f[order], return_index=True)
+    out[of] += np.add.reduceat(y[np.repeat(np.arange(len(first)), sizes)[order]] * w[order][:, None], at, axis=0)
 
 
-def _product(passages: DataFrame, b: Benchmark, matrix: np.ndarray) -> np.ndarray:
-    """X' X M over all passages; each task sends one matrix of the features' size."""
-    shared = passages.sparkSession.sparkContext.broadcast((b, matrix))
+def _product(encoded: DataFrame, b: Benchmark, matrix: np.ndarray) -> np.ndarray:
+    """X' X M over all passages of documents; sums of tasks meet in ``SUMS`` matrices of the features' size."""
+    shared = encoded.sparkSession.sparkContext.broadcast((b.weight, b.feature, matrix))
+    kind = _number(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench, m = shared.value
-        out = np.zeros(m.shape, np.float32)
+        weight, feature, m = shared.value
+        out = np.zeros(m.shape)
+        for v, first, _, _ in _slices(batches, kind):
+            _gram(v, first, weight, feature, m, out)
+        p = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([p % SUMS]), pa.array([p]), pa.array([out.tobytes()], pa.binary())], ["g", "p", "m"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(matrix.shape)
         for batch in batches:
-            for part in _text.slices(batch, "t", SLICE):
-                v, first, doc, *_ = bench.passages(part.column("t"))
-                if len(v):
-                    weighted = bench.weight[v][:, None]
-                    f = bench.feature[v]
-                    y = np.add.reduceat(weighted * m[f], first, axis=0)
-                    sizes = np.diff(np.append(first, len(v)))
-                    norm = np.sqrt(np.add.reduceat(weighted[:, 0] ** 2, first))
-                    y *= np.where(part.column("item").to_numpy(zero_copy_only=False)[doc], ITEM_WEIGHT, 1.0)[:, None] / np.maximum(norm, 1e-6)[:, None] ** 2
-                    order = np.argsort(f, kind="stable")
-                    of, at = np.unique(f[order], return_index=True)
-                    out[of] += np.add.reduceat((weighted * np.repeat(y, sizes, axis=0))[order], at, axis=0)
+            for x in batch.column("m"):
+                out += np.frombuffer(x.as_buffer(), np.float64).reshape(out.shape)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["m"])
 
-    return sum((np.frombuffer(bytes(r.m), np.float32).reshape(matrix.shape) for r in passages.mapInArrow(run, "m binary").toLocalIterator()), np.zeros(matrix.shape, np.float32))
+    parts = encoded.select("v", "first", "bounds", "n", "every").mapInArrow(run, "g long, p long, m binary")
+    parts = parts.repartition(SUMS, "g").sortWithinPartitions("p").mapInArrow(add, "m binary")
+    total = np.zeros(matrix.shape)
+    for r in parts.toLocalIterator():
+        total += np.frombuffer(bytes(r.m), np.float64).reshape(matrix.shape)
+    shared.unpersist()
+    return total
 
 
-def _project(docs: DataFrame, items: DataFrame, b: Benchmark) -> None:
+def _project(encoded: DataFrame, texts: int, items: list, b: Benchmark) -> None:
     """Set latent vectors by a randomised SVD with one power iteration."""
     n = int(b.feature.max()) + 1 if len(b.feature) else 1
     columns = min(RANK + OVER, n)
-    sample = sampled(docs.where("t IS NOT NULL"), SAMPLE).select("t", F.lit(False).alias("item"))
-    passages = staged(sample.unionByName(items.select("t", F.lit(True).alias("item"))).repartition(6), "passages")
+    own = b.passages(pa.array(items, pa.string()))[:2]
+
+    def product(m: np.ndarray) -> np.ndarray:
+        of_items = np.zeros(m.shape)
+        _gram(*own, b.weight, b.feature, m, of_items)
+        return _product(encoded, b, m) + ITEM_WEIGHT * max(1.0, texts / AGAINST) * of_items
+
     q = np.random.default_rng(5).standard_normal((n, columns)).astype(np.float32)
     for _ in range(2):
-        q = np.linalg.qr(_product(passages, b, q))[0]
-    small = q.T @ _product(passages, b, q)
+        q = np.linalg.qr(product(q))[0].astype(np.float32)
+    small = q.T @ product(q)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     basis = (q @ vectors[:, np.argsort(-values)[:RANK]]).astype(np.float32)
     b.latent = b.weight[:, None] * basis[b.feature]
@@ -380,9 +428,9 @@ def blocks(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: s
         if held and (row is None or len(held) >= ITEM_BLOCK):
             b = _load(held, "i", "t", "a" if answer else None)
             if b.ids:
-                _weigh(docs, b)
-                items = docs.sparkSession.createDataFrame([(r["t"],) for r in held], "t string")
-                _project(docs, items, b)
+                encoded = staged(_encoded(docs, b), "passages")
+                _project(encoded, _weigh(encoded, b), [r["t"] for r in held], b)
+                discard(encoded)
                 b.index()
                 yield b
             held = []
