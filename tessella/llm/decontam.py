@@ -41,8 +41,8 @@ ITEM_BLOCK = 4096
 FEATURES, RANK, OVER = 8192, 96, 16
 #: Weight of an item's passages against those of so many documents in the fit; against more it grows with them.
 ITEM_WEIGHT, AGAINST = 100.0, 1000
-#: Matrices of a product that reach the driver, each the sum of those of many tasks.
-SUMS = 4
+#: Matrices of a product that reach the driver; rows of a band of the passages' matrix, cells of it that a task sums at a time.
+SUMS, BAND, CELLS = 4, 256, 12_000_000
 #: Bytes of text whose words' vectors are held at a time, and candidates' words compared at a time.
 SLICE, PAIRS = 1 << 19, 1 << 18
 #: Words in a block; a passage is this many blocks.
@@ -344,63 +344,113 @@ def _weigh(encoded: DataFrame, b: Benchmark) -> int:
     return texts
 
 
-def _gram(v: np.ndarray, first: np.ndarray, weight: np.ndarray, feature: np.ndarray, m: np.ndarray, out: np.ndarray) -> None:
-    """Add X' X m of some passages, as unit vectors, to ``out``."""
-    if not len(v):
-        return
-    f, w = feature[v], weight[v]
+def _pairs(v: np.ndarray, first: np.ndarray, weight: np.ndarray, feature: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i * (n + 1) + j, product) of all pairs i <= j of a passage's features, of passages as unit vectors; n stands for none."""
     sizes = np.diff(np.append(first, len(v)))
-    y = np.add.reduceat(m[f] * w[:, None], first, axis=0)
-    y /= np.maximum(np.add.reduceat(w * w, first), 1e-12)[:, None]
-    order = np.argsort(f, kind="stable")
-    of, at = np.unique(f[order], return_index=True)
-    out[of] += np.add.reduceat(y[np.repeat(np.arange(len(first)), sizes)[order]] * w[order][:, None], at, axis=0)
-
-
-def _product(encoded: DataFrame, b: Benchmark, matrix: np.ndarray) -> np.ndarray:
-    """X' X M over all passages of documents; sums of tasks meet in ``SUMS`` matrices of the features' size."""
-    shared = encoded.sparkSession.sparkContext.broadcast((b.weight, b.feature, matrix))
+    row = np.repeat(np.arange(len(first)), sizes)
+    column = np.arange(len(v)) - first[row]
+    w = weight[v].astype(np.float64)
+    f, u = np.full((len(first), BLOCK), n), np.zeros((len(first), BLOCK))
+    f[row, column] = feature[v]
+    u[row, column] = w / np.sqrt(np.maximum(np.add.reduceat(w * w, first), 1e-12))[row]
+    yield (f * (n + 2)).ravel(), (u * u).ravel()
+    for k in range(1, int(sizes.max())):
+        i, j, x = f[:, :-k], f[:, k:], u[:, :-k] * u[:, k:]
+        x[i == j] *= 2  # a word that occurs again: both orders are the diagonal's
+        yield (np.minimum(i, j) * (n + 1) + np.maximum(i, j)).ravel(), x.ravel()
+
+
+def _gram(encoded: DataFrame, b: Benchmark) -> DataFrame:
+    """low, m: X' X over all passages of documents, in bands of ``BAND`` rows from column ``low`` on.
+
+    A task sums as many rows at a time as ``CELLS`` allow, so a large vocabulary takes several passes.  As each task hands
+    on a matrix, there are no more tasks than cores.
+    """
+    n = int(b.feature.max()) + 1 if len(b.feature) else 1
+    shared = encoded.sparkSession.sparkContext.broadcast((b.weight, b.feature))
     kind = _number(b)
+    rows = max(BAND, CELLS // (n + 1) // BAND * BAND)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, feature, m = shared.value
-        out = np.zeros(m.shape)
-        for v, first, _, _ in _slices(batches, kind):
-            _gram(v, first, weight, feature, m, out)
-        p = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([p % SUMS]), pa.array([p]), pa.array([out.tobytes()], pa.binary())], ["g", "p", "m"])
+    def summed(start: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weight, feature = shared.value
+            end = min(n, start + rows)
+            out = np.zeros((end - start + 1) * (n + 1))  # the last row is for what lies outside
+            for v, first, _, _ in _slices(batches, kind):
+                for low in range(0, len(first), 4096):
+                    part = first[low : low + 4096]
+                    stop = first[low + 4096] if low + 4096 < len(first) else len(v)
+                    for at, x in _pairs(v[part[0] : stop], part - part[0], weight, feature, n):
+                        at -= start * (n + 1)
+                        if rows < n:
+                            own = (at >= 0) & (at < (end - start) * (n + 1))
+                            at, x = at[own], x[own]
+                        np.add.at(out, at, x)
+            out = out.reshape(-1, n + 1)
+            for low in range(start, end, BAND):
+                band = out[low - start : min(low + BAND, end) - start, low:n].astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([low]), pa.array([TaskContext.get().partitionId()]), pa.array([band.tobytes()], pa.binary())], ["low", "p", "m"])
+
+        return run
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        for batch in batches:
+            for low, m in zip(batch.column("low").to_pylist(), batch.column("m"), strict=True):
+                if low != now:
+                    if now is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([total.tobytes()], pa.binary())], ["low", "m"])
+                    now, total = low, 0.0
+                total = total + np.frombuffer(m.as_buffer(), np.float32).astype(np.float64)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([total.tobytes()], pa.binary())], ["low", "m"])
+
+    few = encoded.select("v", "first", "bounds").coalesce(encoded.sparkSession.sparkContext.defaultParallelism)
+    parts = None
+    for start in range(0, n, rows):
+        now = few.mapInArrow(summed(start), "low long, p long, m binary")
+        parts = now if parts is None else parts.unionByName(now)
+    return staged(parts.repartition("low").sortWithinPartitions("low", "p").mapInArrow(add, "low long, m binary"), "gram")
+
+
+def _product(gram: DataFrame, matrix: np.ndarray) -> np.ndarray:
+    """X' X M, by bands; a band's part has no more numbers than M."""
+    n = len(matrix)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(matrix.shape)
         for batch in batches:
-            for x in batch.column("m"):
-                out += np.frombuffer(x.as_buffer(), np.float64).reshape(out.shape)
+            for low, m in zip(batch.column("low").to_pylist(), batch.column("m"), strict=True):
+                band = np.frombuffer(m.as_buffer(), np.float64).reshape(-1, n - low)
+                high = low + len(band)
+                square = np.triu(band[:, : high - low])
+                out[low:high] += (square + np.triu(square, 1).T) @ matrix[low:high] + band[:, high - low :] @ matrix[high:]
+                out[high:] += band[:, high - low :].T @ matrix[low:high]
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["m"])
 
-    parts = encoded.select("v", "first", "bounds", "n", "every").mapInArrow(run, "g long, p long, m binary")
-    parts = parts.repartition(SUMS, "g").sortWithinPartitions("p").mapInArrow(add, "m binary")
-    total = np.zeros(matrix.shape)
-    for r in parts.toLocalIterator():
-        total += np.frombuffer(bytes(r.m), np.float64).reshape(matrix.shape)
-    shared.unpersist()
-    return total
+    return sum((np.frombuffer(bytes(r.m), np.float64).reshape(matrix.shape) for r in gram.coalesce(SUMS).mapInArrow(run, "m binary").toLocalIterator()), np.zeros(matrix.shape))
 
 
 def _project(encoded: DataFrame, texts: int, items: list, b: Benchmark) -> None:
     """Set latent vectors by a randomised SVD with one power iteration."""
     n = int(b.feature.max()) + 1 if len(b.feature) else 1
     columns = min(RANK + OVER, n)
-    own = b.passages(pa.array(items, pa.string()))[:2]
+    own = np.zeros((n + 1) * (n + 1), np.float32)
+    v, first, *_ = b.passages(pa.array(items, pa.string()))
+    for at, x in _pairs(v, first, b.weight, b.feature, n):
+        np.add.at(own, at, x.astype(np.float32))
+    own = np.triu(own.reshape(n + 1, n + 1)[:n, :n])
+    own += np.triu(own, 1).T
+    gram = _gram(encoded, b)
 
     def product(m: np.ndarray) -> np.ndarray:
-        of_items = np.zeros(m.shape)
-        _gram(*own, b.weight, b.feature, m, of_items)
-        return _product(encoded, b, m) + ITEM_WEIGHT * max(1.0, texts / AGAINST) * of_items
+        return _product(gram, m.astype(np.float64)) + ITEM_WEIGHT * max(1.0, texts / AGAINST) * (own @ m)
 
     q = np.random.default_rng(5).standard_normal((n, columns)).astype(np.float32)
     for _ in range(2):
         q = np.linalg.qr(product(q))[0].astype(np.float32)
     small = q.T @ product(q)
+    discard(gram)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     basis = (q @ vectors[:, np.argsort(-values)[:RANK]]).astype(np.float32)
     b.latent = b.weight[:, None] * basis[b.feature]
