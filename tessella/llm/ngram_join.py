@@ -13,8 +13,9 @@ This loses no link: ``m = D + 1 + z`` blocks leave ``z + 1`` equal ones, so a se
 without rare n-grams need not show those, and frequent n-grams, found in a bounded sample, can be left out of
 digests altogether.
 
-Verification.  Pairs of points that meet are left if their bound falls short (of a digest that many
-points share, one pair each stays unseen).  What still meets, directly or over others, is a cluster.  A cluster is dealt into chunks
+Verification.  Pairs of points that meet are left if their bound falls short.  Of a digest that many sets share, which is
+crowded, each is joined with one of them unseen; but a set need not show the most crowded ones of its digests, as
+linked sets share several (``_stars``).  What still meets, directly or over others, is a cluster.  A cluster is dealt into chunks
 of bounded size, and every pair of chunks is a task with a packed R-tree over the points: a node stores
 the largest counts below it, subtrees and points whose summed minima fall short are left, and the rest
 is verified on the sets themselves.  Only a spanning forest of the links leaves a task, so the rows that
@@ -33,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import _text
@@ -42,18 +43,22 @@ from tessella.llm._util import discard, fresh, sampled, slim, staged
 
 #: Size classes grow by this ratio.
 RATIO = 1.3
-#: Blocks beyond D + 1, as a share of D.
-SPARE = 0.2
+#: Blocks beyond D + 1, as a share of D and at least: so many crowded digests a set may leave out.
+SPARE, LEAST_SPARE = 0.2, 8
 #: Documents whose frequent n-grams are left out of digests; fitting only, every list gives all links.
 SAMPLE = 4000
 FREQUENT = 50_000
-#: Groups of the R-tree's points, its leaf size, and the n-grams and documents of one chunk.
+#: Groups of the R-tree's points and its leaf size; n-grams and documents of one chunk, and those of chunks that a cluster
+#: may have a few of.  Each document goes to as many tasks as its cluster has chunks.
 GROUPS, LEAF = 64, 24
-CHUNK_NGRAMS, CHUNK_DOCS = 400_000, 1000
+CHUNK_NGRAMS, CHUNK_DOCS = 2_000_000, 5000
+FEW_CHUNKS, SMALL_NGRAMS, SMALL_DOCS = 4, 400_000, 1000
 #: Sets of one digest up to which all their pairs are compared by point before clusters are formed.
 FEW = 6
 #: Documents up to which the list of those to verify is broadcast (16 bytes each).
 BROADCAST_DOCS = 1_000_000
+#: Bits of a digest that hold its size class; there are 105 classes.
+_CLASS = np.uint64(127)
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -99,8 +104,13 @@ class Blocks:
         last = int(np.searchsorted(self.tops, n * self.den // self.num))
         yield from range(c, last + 1)
 
-    def digests(self, s: np.ndarray) -> np.ndarray:
-        out = []
+    def digests(self, s: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """The digests of all classes, each with its class in the lowest bits, and (class, t) for each class.
+
+        A set that is linked with this one shows at least ``t`` of the class's digests too: of the ``m - D`` equal blocks
+        at most those without rare n-grams are hidden, unless this set shows them and the other does not.
+        """
+        out, shared = [], []
         at = np.searchsorted(self.frequent, s)
         rare = np.ones(len(s), bool)
         if len(self.frequent):
@@ -110,7 +120,7 @@ class Blocks:
                 differ = 2 * self.tops[c] * (self.den - self.num) // (self.den + self.num)
                 if not differ:
                     continue  # only equal sets are linked
-                m = differ + 1 + int(np.ceil(SPARE * differ))
+                m = differ + 1 + max(LEAST_SPARE, int(np.ceil(SPARE * differ)))
                 h = _text.mix(s + np.uint64(c) * _B)
                 block = (((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
                 group = _text.mix((h & np.uint64(0xFFFFFFFF)) + _A)
@@ -118,12 +128,13 @@ class Blocks:
                 np.add.at(sums, block[rare], group[rare])
                 low = np.bincount(block[rare], minlength=m) == 0
                 shown = ~low
+                shared.append((c, max(1, m - differ - int(low.sum()))))
                 if int(low.sum()) > m - 1 - differ:
                     shown[:] = True
                     np.add.at(sums, block[~rare], np.where(low[block[~rare]], group[~rare], np.uint64(0)))
                 names = np.arange(m, dtype=np.uint64) + (np.uint64(c) << np.uint64(42))
-                out.append(_text.mix(sums ^ _text.mix(names + _B))[shown])
-        return np.concatenate(out) if out else s[:0]
+                out.append(_text.mix(sums ^ _text.mix(names + _B))[shown] & ~_CLASS | np.uint64(c))
+        return np.concatenate(out) if out else s[:0], shared
 
 
 class RTree:
@@ -199,17 +210,16 @@ def may_link(a: bytes | None, b: bytes | None, num: int, den: int) -> bool:
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (x, y, sure) of rows sorted by digest and set, each once a batch.
+    """Of rows sorted by digest and set: pairs of sets (x, y), and sets with crowded digests (x, y), each once a batch.
 
-    Of a digest with up to ``FEW`` sets all pairs, of one with more each set with the first; these are
-    sure to be kept, as a pair that is left out could be a link.
+    Of a digest with up to ``FEW`` sets all pairs; of one with more, which is crowded, each set with the digest.
     """
 
     def out(pairs: list[np.ndarray], stars: list[np.ndarray]) -> pa.RecordBatch:
         empty = np.zeros((0, 2), np.int64)
         p, q = (np.unique(np.concatenate([empty, *x]), axis=0) for x in (pairs, stars))
         both = np.concatenate([p, q])
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) >= len(p))], ["x", "y", "sure"])
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) >= len(p))], ["x", "y", "crowded"])
 
     def pairs_of(s: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
         found = []
@@ -219,7 +229,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return found
 
     left_d = left_s = np.zeros(0, np.int64)
-    star: tuple[int, int] | None = None  # digest and first set of the last large group
+    last: int | None = None  # digest of the last large group
     for batch in batches:
         d, s = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((left_d, "d"), (left_s, "s")))
         if not len(d):
@@ -230,16 +240,15 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
         size = np.diff(np.append(start, len(d)))
         large = size > FEW
-        first = s[start]
-        if star and d[0] == star[0]:
-            large[0], first[0] = True, star[1]
+        if last is not None and d[0] == last:
+            large[0] = True
         keep = len(d) if large[-1] else start[-1]
-        star = (int(d[-1]), int(first[-1])) if large[-1] else None
+        last = int(d[-1]) if large[-1] else None
         left_d, left_s = d[keep:], s[keep:]
         whole = np.repeat(large, size)
-        stars = np.stack([s[whole], np.repeat(first, size)[whole]], 1)
+        stars = np.stack([s[whole], d[whole]], 1)
         ends = slice(None) if large[-1] else slice(-1)
-        yield out(pairs_of(s, start[ends][~large[ends]], size[ends][~large[ends]]), [stars[stars[:, 0] != stars[:, 1]]])
+        yield out(pairs_of(s, start[ends][~large[ends]], size[ends][~large[ends]]), [stars])
     if len(left_d):
         yield out(pairs_of(left_s, np.array([0]), np.array([len(left_s)])), [])
 
@@ -260,6 +269,27 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
     return np.sort(rows.column("g").to_numpy().view(np.uint64)) if rows.num_rows else np.zeros(0, np.uint64)
 
 
+def _listed(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_DOCS else df
+
+
+def _stars(crowd: DataFrame, docs: DataFrame, first: DataFrame, shares) -> DataFrame:
+    """Pairs (x, y) that join the sets of each crowded digest, but for the most crowded ones of a set that it need not show.
+
+    ``crowd`` has s and d.  Sets that are linked share ``t`` digests of a class or more.  In one order of all digests, by
+    the sets that show them, their first common one has ``t - 1`` common ones behind it, so a set that leaves out its last
+    ``t - 1`` still shows it.  So what very many sets have in common by chance, as a line, does not make them one cluster.
+    """
+    some = crowd.select("s").distinct().join(first.select("s", "k"), "s")
+    least = docs.where("t IS NOT NULL").join(_listed(staged(some, "crowded")), "k").select("s", "t").mapInArrow(shares, "s long, c long, t long")
+    own = crowd.join(crowd.groupBy("d").agg(F.count(F.lit(1)).alias("sets")), "d").withColumn("c", F.col("d").bitwiseAND(F.lit(int(_CLASS))))
+    place = F.row_number().over(Window.partitionBy("s", "c").orderBy(F.desc("sets"), F.desc("d")))
+    kept = own.withColumn("place", place).join(least.distinct(), ["s", "c"], "left").where("place >= coalesce(t, 1)")
+    kept = staged(kept.select("s", "d"), "stars")
+    return kept.join(kept.groupBy("d").agg(F.min("s").alias("y")), "d").where("s <> y").select(F.col("s").alias("x"), "y").distinct()
+
+
 def classes_of(df: DataFrame, n: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id of every row; sets are linked from a similarity of ``num / den`` on."""
     kind = df.schema[key].dataType.simpleString()
@@ -272,6 +302,12 @@ def classes_of(df: DataFrame, n: int, num: int, den: int, key: str = "doc_id", t
                 found = [(len(s), set_key(s), point_of(s)) for s in ngram_sets(part.column("t"), n)]
                 yield pa.RecordBatch.from_arrays([part.column("k"), *(pa.array([x[i] for x in found], kind_) for i, kind_ in enumerate((pa.int64(), pa.int64(), pa.binary())))], ["k", "n", "s", "p"])
 
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _text.slices(batch, "t"):
+                found = [(x, c, t) for x, s in zip(part.column("s").to_pylist(), ngram_sets(part.column("t"), n), strict=True) if set_key(s) == x for c, t in blocks.digests(s)[1] if t > 1]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], ["s", "c", "t"])
+
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies met by this task give their rows once
         for batch in batches:
@@ -283,7 +319,7 @@ def classes_of(df: DataFrame, n: int, num: int, den: int, key: str = "doc_id", t
                     x = set_key(s)
                     if len(s) and x not in seen:
                         seen.add(x)
-                        rows.append(blocks.digests(s))
+                        rows.append(blocks.digests(s)[0])
                         keys.append(np.full(len(rows[-1]), x, np.int64))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows).view(np.int64)), pa.array(np.concatenate(keys))], ["d", "s"])
@@ -291,23 +327,24 @@ def classes_of(df: DataFrame, n: int, num: int, den: int, key: str = "doc_id", t
     sets = staged(docs.mapInArrow(light, f"k {kind}, n long, s long, p binary"), "sets")
     # equal digests lie next to each other in a partition, so one shuffle of the rows is enough
     rows = docs.select("t").mapInArrow(digests, "d long, s long").repartition("d").sortWithinPartitions("d", "s")
-    met = staged(rows.mapInArrow(_meetings, "x long, y long, sure boolean").groupBy("x", "y").agg(F.max("sure").alias("sure")), "met")
+    met = staged(rows.mapInArrow(_meetings, "x long, y long, crowded boolean").distinct(), "met")
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([may_link(x, y, num, den) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     points = sets.where("n > 0").groupBy("s").agg(F.first("p").alias("p"))
-    pairs = met.where("NOT sure").join(points.select(F.col("s").alias("x"), F.col("p").alias("px")), "x").join(points.select(F.col("s").alias("y"), F.col("p").alias("py")), "y")
-    clusters = components(met.where("sure").select("x", "y").unionByName(pairs.where(near("px", "py")).select("x", "y")))
-    discard(met)
-    # one document of each set to verify, with its cluster and the chunks of that
+    # one document of each set
     first = sets.where("n > 0 AND k IS NOT NULL").groupBy("s").agg(F.min("k").alias("k"), F.min("n").alias("n"))
+    stars = _stars(met.where("crowded").select(F.col("x").alias("s"), F.col("y").alias("d")), docs, first, shares)
+    pairs = met.where("NOT crowded").join(points.select(F.col("s").alias("x"), F.col("p").alias("px")), "x").join(points.select(F.col("s").alias("y"), F.col("p").alias("py")), "y")
+    clusters = components(stars.unionByName(pairs.where(near("px", "py")).select("x", "y")))
+    discard(met)
+    # the document of each set to verify, with its cluster and the chunks of that
     chosen = staged(clusters.withColumnRenamed("u", "s").join(first, "s"), "chosen")
-    chunks = chosen.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / CHUNK_NGRAMS), F.ceil(F.count(F.lit(1)) / CHUNK_DOCS)).cast("int").alias("chunks"))
-    chosen = chosen.join(chunks, "root").select("k", "s", "root", "chunks")
-    if chosen.count() <= BROADCAST_DOCS:
-        chosen = F.broadcast(chosen)
+    parts = [F.greatest(F.ceil(F.sum("n") / grams), F.ceil(F.count(F.lit(1)) / docs_)) for grams, docs_ in ((CHUNK_NGRAMS, CHUNK_DOCS), (SMALL_NGRAMS, SMALL_DOCS))]
+    chunks = chosen.groupBy("root").agg(F.greatest(parts[0], F.least(parts[1], F.lit(FEW_CHUNKS))).cast("int").alias("chunks"))
+    chosen = _listed(chosen.join(chunks, "root").select("k", "s", "root", "chunks"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
