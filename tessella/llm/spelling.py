@@ -9,7 +9,8 @@ A word is joined by these bigrams alone.  As a shared bigram is untouched, the e
 the join key holds the bigram, its position counted from the untouched end, the untouched end itself, and one
 half of the other end, of which one half is untouched too.  So the position limit and most of the verification
 are part of the key, and a bigram that very many words share does not bring them all together.  What meets
-is verified by edit distance.
+is verified by edit distance.  Tables of words are joined by sort and merge: by the size of their files the planner would
+broadcast some, which take many times that in the driver's memory.
 
 A null text has no words, and a null key is written as an empty text.  Repeated rows count each by itself.
 An empty table gives no rows.
@@ -135,7 +136,7 @@ def near_pairs(words: DataFrame, order: dict[str, int]) -> DataFrame:
     signed = words.select("word", "n").mapInArrow(run, "h long, longer boolean, word string, n long")
     a = signed.where(~F.col("longer")).select("h", F.col("word").alias("a"), F.col("n").alias("na"))
     b = signed.select("h", "longer", F.col("word").alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, "h").where(F.when(F.col("longer"), F.length("b") == F.length("a") + 1).otherwise((F.length("b") == F.length("a")) & (F.col("a") < F.col("b"))))
+    met = a.join(b.hint("merge"), "h").where(F.when(F.col("longer"), F.length("b") == F.length("a") + 1).otherwise((F.length("b") == F.length("a")) & (F.col("a") < F.col("b"))))
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "na", "b", "nb").distinct()
 
 
@@ -147,7 +148,7 @@ def roots_of(forms: DataFrame) -> DataFrame:
     now = staged(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         further = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        then = staged(now.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        then = staged(now.join(further.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         discard(now)
         if not then.where("moved").limit(1).count():
             return then.select("word", "root")
@@ -164,9 +165,9 @@ def group_variants(df: DataFrame, key: str = "doc_id", text: str = "text", least
     pairs = staged(near_pairs(words, bigram_order(words)), "pairs")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("nb").alias("m")).unionAll(pairs.select("b", "a", "na"))
     near = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
-    joined = words.join(near, "word", "left")
+    joined = words.join(near.hint("merge"), "word", "left")
     own = F.col("best.m") * -1 >= F.col("n") * ratio
     named = staged(joined.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(own, F.col("best.other")).alias("form"), F.when(own, -F.col("best.m")).alias("form_n")), "forms")
     discard(words, pairs)
     roots = roots_of(named.where("form IS NOT NULL"))
-    return named.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return named.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
